@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.llm import quality
+from stratlas.llm import decontam, neardup, quality
 from stratlas.llm.textops import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,5 +26,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op10_quality_rules": op10_quality_rules}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, result = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.col(result)["items"]
+    return out.select(
+        "doc_id",
+        F.col(result)["n_words"].alias("n_words"),
+        decontam.n_hit(result).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        decontam.is_contaminated(result).alias("contaminated"),
+    )
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+QUERIES: dict[str, Query] = {
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES: dict[str, str] = {}
