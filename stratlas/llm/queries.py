@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.llm import decontam, neardup, quality
+from stratlas.llm import decontam, lm, mixing, neardup, quality, sharding
 from stratlas.llm.textops import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = sharding.shard(table(spark, sf_dir, "documents"), ["doc_id"])
+    p = F.col(name)
+    return out.select("doc_id", p["size"].alias("size"), p["text_crc32"].alias("text_crc32"), F.lit("bytes").alias("law"), p["shard"].alias("shard"), p["slot"].alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score_documents(docs, docs.filter(~lm.held_out("doc_id")))
+    return out.select("doc_id", lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, result = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -40,12 +52,21 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["doc_id"])
+    m = F.col(name)
+    return out.select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken", "positions")])
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 QUERIES: dict[str, Query] = {
+    "op4_kd_tree_sharding": op4_kd_tree_sharding,
+    "op5_ppm_scoring": op5_ppm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_curriculum_mixing": op8_curriculum_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
