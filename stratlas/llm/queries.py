@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.llm import decontam, lm, mixing, neardup, quality, sharding
+from stratlas.llm import chat, decontam, lm, mixing, neardup, quality, sharding, urlfilter
 from stratlas.llm.textops import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = urlfilter.filter_urls(table(spark, sf_dir, "pages"), ["page_id"])
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = sharding.shard(table(spark, sf_dir, "documents"), ["doc_id"])
     p = F.col(name)
@@ -38,6 +43,23 @@ def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    out = chat.format_conversations(turns.union(own))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = out.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    return out.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, result = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -63,11 +85,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_url_filters": op3_url_filters,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
     "op5_ppm_scoring": op5_ppm_scoring,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_curriculum_mixing": op8_curriculum_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.oracle()}
