@@ -7,8 +7,11 @@
 3. Classes that share a band key meet in a bucket.  Each member is paired with
    the bucket's smallest id (a star, not all pairs), pairs are confirmed on the
    full sets, and components are formed.
-4. Only pairs of one bucket whose ends are still in different components remain;
-   all of them are confirmed too, so no link found by the bands is lost.
+4. Only pairs of one bucket whose ends are still in different components remain.
+   All of them are looked at, in blocks: members of a bucket meet in groups of at
+   most ``2 * BLOCK``, where one matrix product gives all intersections of their
+   sketches, and only pairs that pass leave the group, to be confirmed like the
+   others.  So no link found by the bands is lost and no list of pairs is made.
 5. Components are contracted by alternating large-star and small-star.
 
 With 42 bands of 7 rows a pair at exactly 0.8 similarity meets in a bucket with
@@ -34,6 +37,10 @@ from stratlas.llm.textops import SPACE_WORD, Words, cut, mix, slices, windows
 BANDS, ROWS = 42, 7
 #: Up to so many ids (16 bytes each) are sent to all executors; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 512
+#: Shingles that a sketch keeps whole.
+SKETCH = 512
 _U = np.uint64
 
 
@@ -119,6 +126,79 @@ def _confirmer(percent: int):
     return confirm
 
 
+def _sketch(grams: bytes) -> np.ndarray:
+    """The set in 32-bit values: whole up to ``SKETCH`` shingles, else those whose low t bits are zero, about ``SKETCH`` at most."""
+    x = mix(np.frombuffer(grams, np.uint64) ^ _U(0x5BD1E995)).astype(np.uint32)
+    t = _level(len(x))
+    return np.unique(x[(x & np.uint32((1 << t) - 1)) == 0])
+
+
+def _level(n: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(n, 1) / SKETCH))))
+
+
+def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [_sketch(x.as_buffer()).tobytes() for x in batch.column("grams")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["rep", "sketch"])
+
+
+def _alike(n: np.ndarray, parts: list[np.ndarray], allowed: np.ndarray, percent: int) -> np.ndarray:
+    """Which allowed pairs of a group may be similar enough; exact for whole sketches, else within 4.5 deviations."""
+    level = np.array([_level(int(x)) for x in n])
+    good = np.zeros(allowed.shape, bool)
+    for t in np.unique(level):
+        at = np.flatnonzero(level <= t)
+        want = allowed[np.ix_(at, at)] & (np.maximum.outer(level[at], level[at]) == t)
+        if not want.any():
+            continue
+        kept = [parts[i][(parts[i] & np.uint32((1 << int(t)) - 1)) == 0] for i in at]
+        size = np.array([len(x) for x in kept])
+        row = np.repeat(np.arange(len(at)), size)
+        universe, column = np.unique(np.concatenate(kept), return_inverse=True)
+        both = np.zeros((len(at), len(at)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for c in range(0, len(universe), 4096):
+            lo, hi = np.searchsorted(column, [c, c + 4096])
+            m = np.zeros((len(at), min(4096, len(universe) - c)), np.float32)
+            m[row[lo:hi], column[lo:hi] - c] = 1
+            both += m @ m.T
+        union = np.maximum(size[:, None] + size[None, :] - both, 1)
+        slack = 0.0 if t == 0 else 4.5 * np.sqrt(0.25 / union)
+        good[np.ix_(at, at)] |= want & (both >= (percent / 100 - slack) * union - 1e-3)
+    return good
+
+
+def _blocks(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for i, j, group in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("m"), strict=True):
+                v = group.values
+                rep, n, c, block = (v.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "c", "block"))
+                allowed = (c[:, None] != c[None, :]) & (rep[:, None] < rep[None, :])
+                allowed &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+                if i != j:
+                    allowed &= block[:, None] != block[None, :]
+                if allowed.any():
+                    x, y = np.nonzero(_alike(n, [np.frombuffer(s.as_buffer(), np.uint32) for s in v.field("sketch")], allowed, percent))
+                    a.extend(rep[x].tolist())
+                    b.extend(rep[y].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return compare
+
+
+def alike_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket (key, rep, n, c) but different components c that may be similar enough."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    x = members.join(sizes, "key").join(sets.mapInArrow(_sketcher, "rep long, sketch binary"), "rep")
+    x = x.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = x.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "n", "c", "block", "sketch")).alias("m"))
+    return groups.filter(F.size("m") > 1).select("i", "j", "m").mapInArrow(_blocks(percent), "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
@@ -173,11 +253,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
     placed = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     open_ = cut(placed.join(mixed, "key"))
-    other = open_.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = open_.join(other, "key").filter("c <> c2 and rep < rep2 and " + near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    more = cut(confirmed(rest, sets, percent))
+    more = cut(confirmed(alike_across(open_, sets, percent), sets, percent))
     if not more.isEmpty():
-        label = components(edges.union(more))
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     classes = classes.select("d1", "d2", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
