@@ -47,9 +47,10 @@ class Index:
     def __init__(self, keys: np.ndarray):
         self.bits = max(4, len(keys).bit_length() + 1)
         slot = self._slot(keys)
-        self.order = np.argsort(slot, kind="stable")
-        self.keys = np.append(keys[self.order], _U(0))
-        self.first = np.searchsorted(slot[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        order = np.argsort(slot, kind="stable")
+        self.keys = np.append(keys[order], _U(0))
+        self.first = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.order: np.ndarray | None = order
         self.longest = int(np.diff(self.first).max(initial=0))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -98,10 +99,11 @@ class PPM:
             below = (gram, n)
             gi, ci = Index(gram), Index(context)
             self.grams.append(gi)
-            self.n.append(n[gi.order])
+            self.n.append(n[gi.order].astype(np.float32))
             self.contexts.append(ci)
             for kept, x in ((self.total, total), (self.kinds, kinds), (self.rest, rest), (self.rest_kinds, rest_kinds)):
-                kept.append(x[ci.order])
+                kept.append(x[ci.order].astype(np.float32))
+            gi.order = ci.order = None  # only needed to arrange the values
         del self._plain
         #: The common case, a byte seen after its whole context, is one lookup.
         if len(self.n[depth]):
@@ -168,7 +170,7 @@ def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counter(depth: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, at in slices(batch, "text"):
+            for _, data, at in slices(batch, "text", 1 << 20):
                 for kind, keys in ((0, _tokens(data, at)[0]), (1, byte_windows(data, at, depth)[0])):
                     key, n = np.unique(keys, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
@@ -201,7 +203,7 @@ def _scorer(model: Broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm, heavy, known = model.value
         for batch in batches:
-            for part, data, at in slices(batch, "text"):
+            for part, data, at in slices(batch, "text", 1 << 18):
                 window, first = byte_windows(data, at, ppm.depth)
                 bits = np.add.reduceat(ppm.log10(window), first[:-1])
                 token, start = _tokens(data, at)
@@ -245,7 +247,9 @@ def score_documents(docs: DataFrame, train: DataFrame, id: str = "doc_id", text:
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     key, n = _arrays(words.filter(F.col("n") * F.lit(HEAVY) >= F.lit(total)))
     heavy = Index(key)
-    model = docs.sparkSession.sparkContext.broadcast((byte_model(counts, depth), heavy, np.log10(n[heavy.order] + 1.0)))
+    known = np.log10(n[heavy.order] + 1.0)
+    heavy.order = None
+    model = docs.sparkSession.sparkContext.broadcast((byte_model(counts, depth), heavy, known))
 
     raw = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = raw.schema["id"].dataType.simpleString()

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15 | 1)
