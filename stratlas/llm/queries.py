@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.llm import chat, decontam, lm, mixing, neardup, quality, sharding, urlfilter
+from stratlas.llm import chat, decontam, license, lm, mixing, neardup, quality, sharding, urlfilter
 from stratlas.llm.textops import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = license.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    x = F.col(name)
+    firsts = F.transform(x["base"], lambda s: s["first"])
+    label = lambda a: F.transform(a, lambda s: s["label"])
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    sure = F.array_max(F.transform(F.concat(x["base"], x["found"]), lambda s: s["priority"]))
+    return out.select(
+        "doc_id",
+        x["n_words"].alias("n_words"),
+        F.size(x["base"]).cast("long").alias("n_base"),
+        F.array_min(firsts).cast("long").alias("first_word"),
+        F.array_max(firsts).cast("long").alias("last_word"),
+        joined(label(x["base"])).alias("base_labels"),
+        joined(F.concat(label(x["base"]), label(x["found"]))).alias("labels"),
+        (F.coalesce(sure, F.lit(0)) / 100).alias("score"),
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = urlfilter.filter_urls(table(spark, sf_dir, "pages"), ["page_id"])
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -85,6 +104,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_license_scans": op2_license_scans,
     "op3_url_filters": op3_url_filters,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
     "op5_ppm_scoring": op5_ppm_scoring,
