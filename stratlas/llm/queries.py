@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.llm import chat, decontam, license, lm, mixing, neardup, quality, sharding, urlfilter
+from stratlas.llm import chat, decontam, html_extract, license, lm, mixing, neardup, quality, sharding, urlfilter
 from stratlas.llm.textops import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
+    text = F.col(name)["text"]
+    return out.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = license.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     x = F.col(name)
@@ -104,6 +110,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_license_scans": op2_license_scans,
     "op3_url_filters": op3_url_filters,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
