@@ -136,7 +136,13 @@ def ablation(ledgers: DataFrame, fail_mask: Column, policy: str = "v3") -> DataF
 
 
 def quality_rules(docs: DataFrame, text: str = "text", policy: str = "v3") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with the columns they came with."""
+    """The rows of ``docs`` that the policy keeps, with the columns they came with.
+
+    The row number in the condition keeps the optimizer from moving the filter
+    below the measurements, where it would take them apart and repeat them.
+    """
     out = ledger(docs, text)
     name = out.columns[-1]
-    return out.filter(passes(F.col(name)["fail_mask"], policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (row,) = fresh(out.columns, "row")
+    out = out.withColumn(row, F.monotonically_increasing_id())
+    return out.filter(passes(F.col(name)["fail_mask"], policy) & (F.col(row) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -42,6 +42,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
 
+def _root():
+    """The root's number, 0, for each row; not a literal, which would turn the first level's join into one without a key."""
+    return F.least(F.lit(0), F.col("size")).cast("int")
+
+
 def _descend(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Each row's node (its first shard) after the given levels; rows have lo and k (the keys of all dimensions)."""
     for level in levels:
@@ -61,7 +66,7 @@ def build(rows: DataFrame, dims: int, shards: int) -> list[DataFrame]:
     sizes = {0: shards}
     spread = None
     while any(m > 1 for m in sizes.values()):
-        here = _descend(rows.withColumn("lo", F.lit(0)), levels)
+        here = _descend(rows.withColumn("lo", _root()), levels)
         coordinate = [F.shiftright(F.get("k", F.lit(i)), 2 * _CELL) for i in range(dims)]
         stats = here.groupBy("lo").agg(F.sum("size").cast("double").alias("bytes"), *[(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(coordinate)])
         wide = [f"w{i}" for i in range(dims)]
@@ -108,7 +113,7 @@ def shard(docs: DataFrame, carry: list[str], shards: int | None = 8, target_byte
     levels = build(rows, len(metadata), shards)
 
     def placed(df: DataFrame) -> DataFrame:
-        return _descend(df.withColumn("lo", F.lit(0)), levels).withColumn("bucket", F.shiftrightunsigned("h", 64 - _CELL))
+        return _descend(df.withColumn("lo", _root()), levels).withColumn("bucket", F.shiftrightunsigned("h", 64 - _CELL))
 
     counts = placed(rows).groupBy("lo", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("lo").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
