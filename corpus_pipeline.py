@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratlas.llm import quality
+from stratlas.llm import decontam, mixing, neardup, quality, sharding
 from stratlas.llm.textops import shared_dir, table
 
 
@@ -20,8 +21,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class (sets of five-word shingles, similarity 0.8 or more)."""
+    return neardup.deduplicate(docs, shingle=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth stands in the benchmark."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target takes it, sorted by training position."""
+    return mixing.curriculum(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes; each row with its shard and its slot there."""
+    out, name = sharding.shard(docs, docs.columns)
+    return out.select(*docs.columns, *[F.col(name)[c].alias(c) for c in ("size", "text_crc32", "shard", "slot")])
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mix_sources),
+    ("sharding", shard),
 ]
 
 #: Near-duplicate components are a fixed point over pairs of long texts, which SQL can't state at any useful cost.
