@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratlas.llm.textops import ALNUM_WORD, Words, fresh, mix, slices
+from stratlas.llm.textops import ALNUM_WORD, Words, for_python, fresh, mix, slices
 
 WINDOW = 13
 #: About 25 MB of word hashes, shift tables and texts.
@@ -172,7 +172,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     keep = list(docs.columns) if keep is None else keep
     (result,) = fresh(docs.columns, "contamination")
     (extra,) = fresh([*docs.columns, result], "contamination_text")
-    out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)], F.col(f"`{text}`").alias(extra))
+    out = for_python(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)], F.col(f"`{text}`").alias(extra))
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).distinct()
     found = blocks(((r["i"], r["t"]) for r in rows.sort("i", "t").toLocalIterator()), window)
     before: str | None = None

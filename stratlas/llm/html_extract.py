@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratlas.llm.html_blocks import DIMS, Block, blocks, features
-from stratlas.llm.textops import fresh
+from stratlas.llm.textops import for_python, fresh
 
 HIDDEN = 16
 TRAIN_PAGES = 900
@@ -315,6 +315,6 @@ def extract_pages(pages: DataFrame, keep: list[str], html: str = "html") -> tupl
     keep = list(dict.fromkeys(keep))
     (result,) = fresh(pages.columns, "main")
     (body,) = fresh([*pages.columns, result], "page_html")
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias(body))
+    rows = for_python(pages).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias(body))
     value = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_main", T.LongType())])
     return rows.mapInPandas(_extractor(fitted(), body, keep, result), T.StructType([*[rows.schema[c] for c in keep], T.StructField(result, value)])), result

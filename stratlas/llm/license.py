@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratlas.llm.license_rules import Signature, signatures
-from stratlas.llm.textops import ALNUM_WORD, Words, fresh, slices
+from stratlas.llm.textops import ALNUM_WORD, Words, for_python, fresh, slices
 
 _SPAN = pa.struct([("label", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("priority", pa.int32())])
 _ARROW = pa.struct([("n_words", pa.int64()), ("base", pa.list_(_SPAN)), ("found", pa.list_(_SPAN))])
@@ -100,6 +100,6 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text") -> tuple
     keep = list(dict.fromkeys(keep))
     (result,) = fresh(docs.columns, "licenses")
     (body,) = fresh([*docs.columns, result], "license_text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
+    rows = for_python(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField(result, T._parse_datatype_string(_RESULT))])
     return rows.mapInArrow(_scanner(body, keep, result), schema), result

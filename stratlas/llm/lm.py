@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratlas.llm.textops import _LOWER, SPACE_WORD, Words, cut, mix, slices
+from stratlas.llm.textops import _LOWER, SPACE_WORD, Words, cut, for_python, mix, slices
 
 DEPTH = 5
 MODEL_ROWS = 1 << 24
@@ -242,7 +242,7 @@ def score_documents(docs: DataFrame, train: DataFrame, id: str = "doc_id", text:
     Rows with one text share the sums of their rare words, which are joined by
     the text's 64-bit fingerprint.
     """
-    counts = corpus_counts(train.select(F.col(f"`{text}`").alias("text")), depth)
+    counts = corpus_counts(for_python(train).select(F.col(f"`{text}`").alias("text")), depth)
     words = counts.filter("kind = 0")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     key, n = _arrays(words.filter(F.col("n") * F.lit(HEAVY) >= F.lit(total)))

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratlas.llm.textops import SPACE_WORD, Words, cut, mix, slices, windows
+from stratlas.llm.textops import SPACE_WORD, Words, cut, for_python, mix, slices, windows
 
 BANDS, ROWS = 42, 7
 #: Up to so many ids (16 bytes each) are sent to all executors; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that are compared with as many others at once.
-BLOCK = 512
+BLOCK = 256
 #: Shingles that a sketch keeps whole.
 SKETCH = 512
 _U = np.uint64
@@ -159,9 +159,9 @@ def _alike(n: np.ndarray, parts: list[np.ndarray], allowed: np.ndarray, percent:
         both = np.zeros((len(at), len(at)), np.float32)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        for c in range(0, len(universe), 4096):
-            lo, hi = np.searchsorted(column, [c, c + 4096])
-            m = np.zeros((len(at), min(4096, len(universe) - c)), np.float32)
+        for c in range(0, len(universe), 2048):
+            lo, hi = np.searchsorted(column, [c, c + 2048])
+            m = np.zeros((len(at), min(2048, len(universe) - c)), np.float32)
             m[row[lo:hi], column[lo:hi] - c] = 1
             both += m @ m.T
         union = np.maximum(size[:, None] + size[None, :] - both, 1)
@@ -232,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per row of ``docs``."""
-    raw = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    raw = for_python(docs).select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = cut(raw.mapInArrow(_signer(shingle, bands, rows), "id long, n long, d1 long, d2 long, keys array<long>"))
     classes = signed.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("rep"))
     classes = cut(classes)

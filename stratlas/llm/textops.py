@@ -16,7 +16,11 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
+
+#: Arrow batches between Spark and Python.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15 | 1)
@@ -62,6 +66,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or "/tmp/checkpoints/stratlas"
 
 
+def for_python(df: DataFrame) -> DataFrame:
+    """``df``, which goes to Python next, in batches of at most ``BATCH_BYTES``, so a task's memory doesn't follow the length of its texts."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_KEY, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and forget the lineage."""
     shared_dir(df.sparkSession)

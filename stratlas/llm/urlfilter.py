@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratlas.llm.textops import fresh
+from stratlas.llm.textops import for_python, fresh
 
 MAX_RULES = 200_000
 TOKEN = r"[a-z0-9]+"
@@ -136,7 +136,7 @@ def filter_urls(pages: DataFrame, keep: list[str], url: str = "url", rules: list
     names = fresh(keep, "host", "path", "rule", "verdict", "n_tested")
     h, p = fresh([*pages.columns, *names], "url_host", "url_path")
     host, path = split_url(url)
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias(h), path.alias(p))
+    rows = for_python(pages).select(*[F.col(f"`{c}`") for c in keep], host.alias(h), path.alias(p))
     rules = index_rules(rows, rules, h, p)
     fields = [T.StructField(n, T.LongType() if i == 4 else T.StringType()) for i, n in enumerate(names)]
     return rows.mapInPandas(_judge(rules, keep, names, h, p), T.StructType([*[rows.schema[c] for c in keep], *fields])), names
