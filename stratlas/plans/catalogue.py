@@ -1,12 +1,16 @@
-"""All queries of the library and the SQL that states the same result."""
+"""All queries of the library on the driver's tables, and SQL that states the same results.
+
+Each query is one operator (or a chain of them) applied to a whole table that
+stands in for the atlas data; the modules beside this one register them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from stratlas.plans.registry import ORACLES, QUERIES
 
-Query = Callable[[SparkSession, str], DataFrame]
+for _module in ("spatial", "trees", "measurements", "anchors"):
+    importlib.import_module(f"stratlas.plans.{_module}")
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
