@@ -53,10 +53,11 @@ class Group:
         self.length, self.block = length, min(2, length)
         most = length - self.block + 1
         self.bits = max(12, min(22, int(len(hashes) * most).bit_length() + 3))
-        self.shift = np.full(1 << self.bits, most, np.int64)
+        shift = np.full(1 << self.bits, most, np.int16)
         for end in range(self.block - 1, length):
             slot = self._suffix(hashes, end) >> np.uint64(64 - self.bits)
-            np.minimum.at(self.shift, slot, length - 1 - end)
+            np.minimum.at(shift, slot, length - 1 - end)
+        self.shift = shift
         suffix = self._suffix(hashes, length - 1)
         order = np.argsort(suffix, kind="stable")
         self.suffix, self.hashes = suffix[order], hashes[order]
@@ -171,16 +172,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     """
     keep = list(docs.columns) if keep is None else keep
     (result,) = fresh(docs.columns, "contamination")
-    (extra,) = fresh([*docs.columns, result], "contamination_text")
-    out = for_python(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)], F.col(f"`{text}`").alias(extra))
+    keep = list(dict.fromkeys(keep))
+    carried = keep if text in keep else [*keep, text]
+    out = for_python(docs).select(*[F.col(f"`{c}`") for c in carried])
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).distinct()
     found = blocks(((r["i"], r["t"]) for r in rows.sort("i", "t").toLocalIterator()), window)
     before: str | None = None
     for groups in [next(found, []), *found]:
-        fields = [*[out.schema[c] for c in keep], out.schema[extra]]
-        out = out.mapInArrow(_scanner(groups, extra, [*keep, extra], result, before), T.StructType([*fields, T.StructField(result, RESULT)]))
+        fields = [out.schema[c] for c in carried]
+        out = out.mapInArrow(_scanner(groups, text, carried, result, before), T.StructType([*fields, T.StructField(result, RESULT)]))
         before = result
-    return out.drop(extra), result
+    return out.select(*[F.col(f"`{c}`") for c in keep], result), result
 
 
 def n_hit(result: str):
