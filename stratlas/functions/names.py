@@ -58,7 +58,9 @@ def species_key(name: Column) -> Column:
 
 
 def species_name(key: Column) -> Column:
-    return F.regexp_replace(F.initcap(F.replace(F.lower(key), F.lit("_"), F.lit(" "))), "^(.)", "$1")
+    """``HOMO_SAPIENS`` as ``Homo sapiens``."""
+    plain = F.replace(F.lower(key), F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2)))
 
 
 def rgb(hex_colour: Column) -> Column:

@@ -52,6 +52,7 @@ def members(archives: DataFrame, suffix: str = "") -> DataFrame:
 def only_member(archives: DataFrame, suffix: str) -> DataFrame:
     """The one file of each archive with a suffix; an error where there is none or more."""
     found = members(archives, suffix).groupBy("archive").agg(F.count("*").alias("n"), F.first("path").alias("path"), F.first("content").alias("content"))
+    found = archives.select(F.col("path").alias("archive")).join(found, "archive", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     checked = F.when(F.col("n") == 1, F.col("content")).otherwise(F.raise_error(F.concat(F.col("n").cast("string"), F.lit(f" files end with {suffix} in "), F.col("archive"))))
     return found.select("archive", "path", checked.alias("content"))
 
