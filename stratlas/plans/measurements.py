@@ -25,15 +25,15 @@ def _tops(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 0.0), (2, 0.105), (3, 0.205), (4, 0.355), (5, 0.405), (6, 0.555), (7, 0.705)], "layer int, top double")
 
 
-@query(f"WITH {CONN} SELECT src, dst, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM conn GROUP BY src, dst")
+@query(f"WITH {CONN} SELECT src, dst, round(avg(value), 9) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM conn GROUP BY src, dst")
 def mean_connectivity(spark, sf_dir):
     got = tabular.mean_std(conn(spark, sf_dir), ["src", "dst"])
-    return got.select("src", "dst", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+    return got.select("src", "dst", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
-@query(f"WITH {CONN}, m AS (SELECT src, dst, round(avg(value), 6) AS value FROM conn GROUP BY src, dst) SELECT src AS region, value FROM m WHERE dst = 3 AND value > 5 ORDER BY value DESC, src LIMIT 10")
+@query(f"WITH {CONN}, m AS (SELECT src, dst, round(avg(value), 9) AS value FROM conn GROUP BY src, dst) SELECT src AS region, value FROM m WHERE dst = 3 AND value > 5 ORDER BY value DESC, src LIMIT 10")
 def connectivity_profile(spark, sf_dir):
-    mean = tabular.mean_std(conn(spark, sf_dir), ["src", "dst"]).select("src", "dst", F.round("mean", 6).alias("value"))
+    mean = tabular.mean_std(conn(spark, sf_dir), ["src", "dst"]).select("src", "dst", F.round("mean", 9).alias("value"))
     return tabular.profile(mean, 3, minimum=5, rows=10)
 
 
@@ -50,12 +50,12 @@ def named_connectivity(spark, sf_dir):
     return tabular.label_positions(total, labels, "src", "dst").select("src", "dst", "value")
 
 
-@query("SELECT p_size % 10 AS pos, round(avg(s_acctbal), 6) AS x, round(avg(-s_acctbal), 6) AS y, round(avg(s_nationkey), 6) AS z FROM part JOIN supplier ON p_partkey % 100 = s_suppkey GROUP BY 1")
+@query("SELECT p_size % 10 AS pos, round(avg(s_acctbal), 9) AS x, round(avg(-s_acctbal), 9) AS y, round(avg(s_nationkey), 9) AS z FROM part JOIN supplier ON p_partkey % 100 = s_suppkey GROUP BY 1")
 def label_centroids(spark, sf_dir):
     labels = table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("pos"), (F.col("p_partkey") % 100).alias("region"))
     at = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("region"), F.col("s_acctbal").alias("x"), (-F.col("s_acctbal")).alias("y"), F.col("s_nationkey").cast("double").alias("z"))
     got = tabular.region_centroids(labels, at)
-    return got.select("pos", *[F.round(c, 6).alias(c) for c in "xyz"])
+    return got.select("pos", *[F.round(c, 9).alias(c) for c in "xyz"])
 
 
 @query("SELECT p_partkey, p_name || repeat('*', CAST(row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1 AS INTEGER)) AS unique_label FROM part")
@@ -63,19 +63,19 @@ def unique_labels(spark, sf_dir):
     return tabular.unique_labels(table(spark, sf_dir, "part"), "p_name", "p_partkey", "p_brand").select("p_partkey", "unique_label")
 
 
-@query("SELECT event_id, round((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 0.72::DOUBLE, 6) AS t FROM events")
+@query("SELECT event_id, round((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 0.72::DOUBLE, 9) AS t FROM events")
 def time_axis(spark, sf_dir):
-    return tabular.time_axis(table(spark, sf_dir, "events"), 0.72, "event_id", "user_id").select("event_id", F.round("t", 6).alias("t"))
+    return tabular.time_axis(table(spark, sf_dir, "events"), 0.72, "event_id", "user_id").select("event_id", F.round("t", 9).alias("t"))
 
 
 _BOLD = "bold AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS t, event_type AS region, value FROM events)"
 
 
-@query(f"WITH {_BOLD} SELECT t, region, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM bold GROUP BY t, region")
+@query(f"WITH {_BOLD} SELECT t, region, round(avg(value), 9) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM bold GROUP BY t, region")
 def mean_timeseries(spark, sf_dir):
     x = tabular.time_axis(table(spark, sf_dir, "events"), 1.0, "event_id", "user_id", "event_type").withColumn("t", F.col("t").cast("long"))
     got = tabular.mean_std(x.withColumnRenamed("event_type", "region"), ["t", "region"])
-    return got.select("t", "region", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+    return got.select("t", "region", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
 _THICK = "thick AS (SELECT l_orderkey AS vertex, l_linenumber AS layer, sum(CASE WHEN l_orderkey % 11 = 0 THEN 0 ELSE l_quantity END) AS thickness FROM lineitem GROUP BY ALL)"
@@ -87,11 +87,11 @@ def layer_depths(spark, sf_dir):
     return tabular.layer_depths(rows, "thickness", "layer", "vertex").select("vertex", "layer", F.round("depth", 9).alias("depth"))
 
 
-@query(f"WITH {TOPS}, r AS (SELECT l_tax * 10 AS depth, l_quantity AS value FROM lineitem), a AS (SELECT r.value, (SELECT max(layer) FROM tops WHERE top < depth) AS layer FROM r) SELECT layer, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM a WHERE layer BETWEEN 1 AND 6 GROUP BY layer")
+@query(f"WITH {TOPS}, r AS (SELECT l_tax * 10 AS depth, l_quantity AS value FROM lineitem), a AS (SELECT r.value, (SELECT max(layer) FROM tops WHERE top < depth) AS layer FROM r) SELECT layer, round(avg(value), 9) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM a WHERE layer BETWEEN 1 AND 6 GROUP BY layer")
 def layer_statistics(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_tax") * 10).alias("depth"), F.col("l_quantity").alias("value"))
     got = tabular.layer_statistics(rows, _tops(spark))
-    return got.select("layer", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+    return got.select("layer", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
 @query("WITH layers(layer, area) AS (VALUES (1, 1200.0), (2, 3400.5), (3, 800.0), (4, 950.25)), c AS (SELECT l_returnflag AS section, l_linenumber AS layer, count(*) AS counts FROM lineitem GROUP BY ALL) SELECT section, layer, counts, round(area * 20 * cbrt(1.931) / 1000000, 9) AS volume, round(counts / (area * 20 * cbrt(1.931) / 1000000), 5) AS density FROM c JOIN layers USING (layer)")
@@ -108,17 +108,17 @@ def grid_counts(spark, sf_dir):
     return tabular.grid_counts(table(spark, sf_dir, "events").select(F.col("value").alias("x"), (F.col("event_id") % 1000).alias("y")))
 
 
-@query("SELECT l_linestatus, CAST(least(floor((l_quantity - 0.5) / 50 * 10), 9) AS BIGINT) AS bin, round(avg(l_tax), 6) AS mean, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_linestatus, CAST(least(floor((l_quantity - 0.5) / 50 * 10), 9) AS BIGINT) AS bin, round(avg(l_tax), 9) AS mean, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def depth_profile(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_linestatus", ((F.col("l_quantity") - 0.5) / 50).alias("depth"), F.col("l_tax").alias("value"))
     got = tabular.depth_profile(rows, 10, "depth", "value", "l_linestatus")
-    return got.select("l_linestatus", "bin", F.round("mean", 6).alias("mean"), "n")
+    return got.select("l_linestatus", "bin", F.round("mean", 9).alias("mean"), "n")
 
 
-@query("WITH m AS (SELECT user_id, event_type, median(10 * log10(value)) AS m FROM events GROUP BY ALL) SELECT event_type AS freq, round(avg(m), 6) AS power, count(m) AS files FROM m GROUP BY event_type")
+@query("WITH m AS (SELECT user_id, event_type, median(10 * log10(value)) AS m FROM events GROUP BY ALL) SELECT event_type AS freq, round(avg(m), 9) AS power, count(m) AS files FROM m GROUP BY event_type")
 def spectrum(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("freq"), "value")
-    return tabular.spectrum(rows, tabular.decibel(F.col("value"))).select("freq", F.round("power", 6).alias("power"), "files")
+    return tabular.spectrum(rows, tabular.decibel(F.col("value"))).select("freq", F.round("power", 9).alias("power"), "files")
 
 
 _KEYS = "e AS (SELECT event_type, nullif(user_id % 5, 0) AS quality FROM events)"
@@ -167,9 +167,9 @@ def gene_expressions(spark, sf_dir):
     return x.select("probe_id", "gene", "sample", "level", "race", "age", F.get("place", F.lit(0)).alias("px"), F.get("place", F.lit(1)).alias("py"))
 
 
-@query("WITH d AS (SELECT p_size AS x, p_partkey % 20 AS y, avg(p_retailprice) AS depth FROM part GROUP BY ALL), b AS (SELECT DISTINCT p_size AS x, p_partkey % 20 AS y, p_size % 4 AS boundary FROM part WHERE p_size < 30) SELECT boundary, round(avg(depth), 6) AS depth FROM b JOIN d USING (x, y) GROUP BY boundary")
+@query("WITH d AS (SELECT p_size AS x, p_partkey % 20 AS y, avg(p_retailprice) AS depth FROM part GROUP BY ALL), b AS (SELECT DISTINCT p_size AS x, p_partkey % 20 AS y, p_size % 4 AS boundary FROM part WHERE p_size < 30) SELECT boundary, round(avg(depth), 9) AS depth FROM b JOIN d USING (x, y) GROUP BY boundary")
 def boundary_depth(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_size").alias("x"), (F.col("p_partkey") % 20).alias("y"), "p_retailprice")
     depths = p.groupBy("x", "y").agg(F.avg("p_retailprice").alias("depth"))
     edge = p.filter("x < 30").select("x", "y", (F.col("x") % 4).alias("boundary")).distinct()
-    return tabular.mean_depth(edge, depths).select("boundary", F.round("depth", 6).alias("depth"))
+    return tabular.mean_depth(edge, depths).select("boundary", F.round("depth", 9).alias("depth"))

@@ -47,12 +47,12 @@ def rounded(df: DataFrame, *keys: str, places: int = 6) -> DataFrame:
     return df.select(*keys, *[F.round(c, places).alias(c) for c in df.columns if c not in keys])
 
 
-@query(f"WITH {GRID} SELECT 'region ' || g.volume AS region, count(*) AS n, round(avg(c.x), 6) AS x, round(avg(c.y), 6) AS y, round(avg(c.z), 6) AS z, round(avg(g.value), 6) AS map_value FROM cloud c JOIN grid g ON g.x = CAST(trunc(c.x * 8 + 8.5) AS INTEGER) AND g.y = CAST(trunc(c.y * 8 + 8.5) AS INTEGER) AND g.z = CAST(trunc(c.z * 8 + 8.5) AS INTEGER) WHERE g.value > 1 GROUP BY 1")
+@query(f"WITH {GRID} SELECT 'region ' || g.volume AS region, count(*) AS n, round(avg(c.x), 6) AS x, round(avg(c.y), 6) AS y, round(avg(c.z), 6) AS z, round(avg(g.value), 9) AS map_value FROM cloud c JOIN grid g ON g.x = CAST(trunc(c.x * 8 + 8.5) AS INTEGER) AND g.y = CAST(trunc(c.y * 8 + 8.5) AS INTEGER) AND g.z = CAST(trunc(c.z * 8 + 8.5) AS INTEGER) WHERE g.value > 1 GROUP BY 1")
 def assign_points(spark, sf_dir):
     g = grid(spark, sf_dir)
     got = assignment.assign_points(cloud(spark, sf_dir), g, index(g), TO_VOXEL, threshold=1.0)
     c = F.col("centroid")
-    return got.groupBy("region").agg(F.count("*").alias("n"), *[F.round(F.avg(c[i]), 6).alias(a) for i, a in enumerate("xyz")], F.round(F.avg("map_value"), 6).alias("map_value"))
+    return got.groupBy("region").agg(F.count("*").alias("n"), *[F.round(F.avg(c[i]), 6).alias(a) for i, a in enumerate("xyz")], F.round(F.avg("map_value"), 9).alias("map_value"))
 
 
 @query(f"WITH {GRID} SELECT c.idx, g.volume, g.value FROM cloud c JOIN grid g ON g.x = CAST(trunc(c.x * 8 + 8) AS INTEGER) AND g.y = CAST(trunc(c.y * 8 + 8) AS INTEGER) AND g.z = CAST(trunc(c.z * 8 + 8) AS INTEGER)")
@@ -120,10 +120,10 @@ def cloud_centroid(spark, sf_dir):
     return rounded(locations.centroid(cloud(spark, sf_dir), "label"), "label", "n")
 
 
-@query(f"WITH {GRID} SELECT volume AS region, round(avg(x) / 8 - 1, 6) AS x, round(avg(y) / 8 - 1, 6) AS y, round(avg(z) / 8 - 1, 6) AS z, count(*) AS voxels, round(count(*) / 512.0, 9) AS volume FROM grid GROUP BY 1")
+@query(f"WITH {GRID} SELECT volume AS region, round(avg(x) / 8 - 1, 9) AS x, round(avg(y) / 8 - 1, 9) AS y, round(avg(z) / 8 - 1, 9) AS z, count(*) AS voxels, round(count(*) / 512.0, 9) AS volume FROM grid GROUP BY 1")
 def region_spatial_props(spark, sf_dir):
     got = voxels.spatial_props(grid(spark, sf_dir).withColumnRenamed("volume", "region"), TO_MM, "region")
-    return got.select("region", *[F.round(c, 6).alias(c) for c in "xyz"], "voxels", F.round("volume", 9).alias("volume"))
+    return got.select("region", *[F.round(c, 9).alias(c) for c in "xyz"], "voxels", F.round("volume", 9).alias("volume"))
 
 
 def _compared(n: str, over: str) -> str:
