@@ -8,9 +8,12 @@ number of different successors); symbol exclusion takes a context's successors
 out of the next shorter context, whose successors are a superset, so the
 remaining total is one number per context and every code length is a lookup.
 
-Bounds.  The windows go to all executors only while there are at most
-``MODEL_ROWS`` of them; otherwise the depth is lowered, and at depth 2 there are
-never more than 2^24.  Of the word counts only words with at least 1/``HEAVY`` of
+Bounds.  The model goes to the executors in parts of about ``MODEL_ROWS`` windows.
+A part holds all windows whose context ends with certain pairs of bytes, so with
+the small tables of orders 0 and 1 it holds the whole way from a context to its
+shorter ones, and the score is the sum over parts.  One part is the common case;
+each further part is one more pass over the rows, without a shuffle, and the
+model is the same at every size.  Of the word counts only words with at least 1/``HEAVY`` of
 all tokens are sent (never more than ``HEAVY`` words); occurrences of all other
 words are joined by shuffle, and these are the words that can't be skewed.
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from stratlas.llm.textops import _LOWER, SPACE_WORD, Words, cut, for_python, mix, slices
 
 DEPTH = 5
-MODEL_ROWS = 1 << 24
+MODEL_ROWS = 1 << 22
 HEAVY = 1 << 19
 END, START = 0xFF, 0xFE
 _END_TOKEN = np.uint64(0x6A09E667F3BCC909)
@@ -73,16 +76,20 @@ class Index:
 
 
 class PPM:
-    """Log10 probabilities of bytes after contexts of up to ``depth`` bytes."""
+    """Log10 probabilities of bytes after contexts of up to ``depth`` bytes; of a part, for its windows only.
 
-    def __init__(self, windows: np.ndarray, counts: np.ndarray, depth: int):
+    ``low`` has the counts of all windows of two bytes.
+    """
+
+    def __init__(self, windows: np.ndarray, counts: np.ndarray, depth: int, low: tuple[np.ndarray, np.ndarray]):
         self.depth = depth
         self.grams, self.n, self.contexts, self.total, self.kinds, self.rest, self.rest_kinds = [], [], [], [], [], [], []
         below: tuple[np.ndarray, np.ndarray] | None = None
         for k in range(depth + 1):
-            key = windows & _U((1 << 8 * (k + 1)) - 1)
+            source, weight = (windows, counts) if k > 1 else low
+            key = source & _U((1 << 8 * (k + 1)) - 1)
             gram, inverse = np.unique(key, return_inverse=True)
-            n = np.bincount(inverse, counts, len(gram))
+            n = np.bincount(inverse, weight, len(gram))
             context, first = np.unique(gram >> _U(8), return_index=True)
             total = np.add.reduceat(n, first) if len(n) else np.zeros(0)
             kinds = np.diff(np.append(first, len(gram))).astype(float)
@@ -188,24 +195,53 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
 
 
-def byte_model(counts: DataFrame, depth: int) -> PPM:
-    """The deepest model whose windows number at most ``MODEL_ROWS``."""
+def _part_of(windows: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds a window: by the two bytes before its last one."""
+    pair = (windows >> _U(8)) & _U(0xFFFF)
+    return ((pair * _U(40503)) & _U(0xFFFF)) * _U(parts) >> _U(16)
+
+
+def byte_models(counts: DataFrame, depth: int, rows: int) -> Iterator[PPM]:
+    """The model in parts of about ``rows`` windows, one after the other."""
     grams = counts.filter("kind = 1").select("key", "n")
-    while depth > 2 and grams.count() > MODEL_ROWS:
-        depth -= 1
-        grams = cut(grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
-    key, n = _arrays(grams)
-    order = np.argsort(key)
-    return PPM(key[order], n[order], depth)
+    parts = max(1, -(-grams.count() // rows))
+    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    part = F.shiftright((pair * 40503).bitwiseAND(F.lit(0xFFFF)) * parts, 16)
+    low = _arrays(grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")))
+    for i in range(parts):
+        key, n = _arrays(grams.filter(part == i) if parts > 1 else grams)
+        order = np.argsort(key)
+        yield PPM(key[order], n[order], depth, low)
+
+
+def _row_scores(ppm: PPM, window: np.ndarray, first: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """What the windows of one part add to the score of each row."""
+    if parts == 1:
+        return np.add.reduceat(ppm.log10(window), first[:-1])
+    out = np.zeros(len(window))
+    own = np.flatnonzero(_part_of(window, parts) == part)
+    out[own] = ppm.log10(window[own])
+    return np.add.reduceat(out, first[:-1])
+
+
+def _adder(model: Broadcast, part: int, parts: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ppm = model.value
+        for batch in batches:
+            for rows, data, at in slices(batch, "text"):
+                more = _row_scores(ppm, *byte_windows(data, at, ppm.depth), part, parts)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("text"), pa.array(more + rows.column("more").to_numpy())], ["id", "text", "more"])
+
+    return add
 
 
-def _scorer(model: Broadcast):
+def _scorer(model: Broadcast, words: Broadcast, parts: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, heavy, known = model.value
+        ppm, (heavy, known) = model.value, words.value
         for batch in batches:
-            for part, data, at in slices(batch, "text", 1 << 18):
+            for part, data, at in slices(batch, "text"):
                 window, first = byte_windows(data, at, ppm.depth)
-                bits = np.add.reduceat(ppm.log10(window), first[:-1])
+                bits = _row_scores(ppm, window, first, 0, parts) + part.column("more").to_numpy()
                 token, start = _tokens(data, at)
                 find = heavy.find(token)
                 common = find >= 0
@@ -236,7 +272,7 @@ def held_out(id: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def score_documents(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+def score_documents(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str = "text", depth: int = DEPTH, model_rows: int = MODEL_ROWS) -> DataFrame:
     """Per row of ``docs``: tokens, known tokens, unigram score and the byte model's score (both log10), learnt from ``train``.
 
     Rows with one text share the sums of their rare words, which are joined by
@@ -249,11 +285,14 @@ def score_documents(docs: DataFrame, train: DataFrame, id: str = "doc_id", text:
     heavy = Index(key)
     known = np.log10(n[heavy.order] + 1.0)
     heavy.order = None
-    model = docs.sparkSession.sparkContext.broadcast((byte_model(counts, depth), heavy, known))
+    send = docs.sparkSession.sparkContext.broadcast
+    models = [send(m) for m in byte_models(counts, depth, model_rows)]
 
-    raw = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    raw = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.lit(0.0).alias("more"))
     kind = raw.schema["id"].dataType.simpleString()
-    scored = cut(raw.mapInArrow(_scorer(model), f"id {kind}, same long, n_tokens long, common long, log double, score double, rare array<long>"))
+    for i, model in enumerate(models[1:], 1):
+        raw = raw.mapInArrow(_adder(model, i, len(models)), f"id {kind}, text string, more double")
+    scored = cut(raw.mapInArrow(_scorer(models[0], send((heavy, known)), len(models)), f"id {kind}, same long, n_tokens long, common long, log double, score double, rare array<long>"))
     rare = scored.select("same", F.explode("rare").alias("key")).join(words.select("key", F.col("n").alias("c")), "key")
     rows = scored.groupBy("same").agg(F.count("*").alias("rows"))
     sums = rare.groupBy("same").agg(F.count("*").alias("hits"), F.sum(F.log10(F.col("c") + 1)).alias("sum"))

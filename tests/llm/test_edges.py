@@ -151,3 +151,10 @@ def test_pages(spark):
     got = [(r.page_id, r[name].text) for r in out.collect()]
     assert name == "_main" and got[0] == (1, "") and got[1] == (2, "") and got[2] == got[3] == (3, "Title & more One two three ©")
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, html string"), ["page_id"])[0].count() == 0
+
+
+def test_scoring_in_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id"))).select("doc_id", F.round("score", 3).alias("score")).collect()}
+    got = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id")), model_rows=9_000).select("doc_id", F.round("score", 3).alias("score")).collect()}
+    assert len(got) == len(want) and len(got - want) <= 2
