@@ -98,7 +98,8 @@ def mean_depth(boundary: DataFrame, depths: DataFrame) -> DataFrame:
 
 
 def decibel(power: Column) -> Column:
-    return F.when(power > 0, 10 * F.log10(power))
+    """10 log10 of a power: minus infinity for 0, null below."""
+    return F.when(power > 0, 10 * F.log10(power)).when(power == 0, float("-inf"))
 
 
 def spectrum(rows: DataFrame, value: Column, *by: str) -> DataFrame:
