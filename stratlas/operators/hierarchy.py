@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratlas.functions.names import words
-from stratlas.session import materialise
+from stratlas.session import is_small, materialise
 
 MAX_DEPTH = 64
+MAX_SPECS = 10_000
 
 
 def with_paths(nodes: DataFrame, id: str = "id", parent: str = "parent", order: str | None = None) -> DataFrame:
@@ -113,8 +114,11 @@ def resolve(tree: DataFrame, specs: DataFrame, match: Column, id: str = "id", pa
     ``specs`` has a column spec, and ``match`` is a condition on spec and node.
     A node of exactly this name or key is taken at once (the first, if several);
     else matches are pruned, and if more remain, the one all of whose words are
-    in the spec, if only one is such.
+    in the spec, if only one is such.  Specs are what a user asks for: more than
+    ``MAX_SPECS`` are refused.
     """
+    if not is_small(specs, MAX_SPECS):
+        raise ValueError(f"more than {MAX_SPECS} specs")
     pairs = materialise(tree.join(F.broadcast(specs), match | (F.col("spec") == F.col(name)) | (F.col("spec") == F.col(key))))
     exact = pairs.filter((F.col("spec") == F.col(name)) | (F.col("spec") == F.col(key))).groupBy("spec").agg(F.min_by(id, F.struct("depth", id)).alias("exact"))
     hit = pairs.filter(match).select("spec", F.col(id).alias("n"), F.col(parent).alias("p"), F.col(name).alias("name"))

@@ -135,7 +135,7 @@ def fingerprint_value(x: Column) -> Column:
 def neurotransmitters(rows: DataFrame, vocabulary: DataFrame, receptor: str = "receptor") -> DataFrame:
     """Receptors with their transmitter's name, '(undeciphered)' where the vocabulary has none."""
     v = vocabulary.select(F.col("symbol").alias(receptor), F.col("transmitter").alias("_t"))
-    return rows.join(F.broadcast(v), receptor, "left").withColumn("neurotransmitter", F.coalesce("_t", F.lit("(undeciphered)"))).drop("_t")
+    return rows.join(v, receptor, "left").withColumn("neurotransmitter", F.coalesce("_t", F.lit("(undeciphered)"))).drop("_t")
 
 
 def expressions(probes: DataFrame, samples: DataFrame, donors: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.operators import assignment, features, hierarchy, locations
+from stratlas.operators import assignment, features, hierarchy, locations, selection
 from stratlas.plans.registry import query, table
 from stratlas.plans.spatial import _MEET, BOXES, boxes, cloud
 from stratlas.plans.trees import tree
@@ -110,3 +110,38 @@ def dataset_names(spark, sf_dir):
 def qualifications(spark, sf_dir):
     code = (F.col("p_size") % 7 + 1).cast("int")
     return table(spark, sf_dir, "part").select("p_partkey", assignment.invert(code).alias("inverse"), assignment.describe(F.col("p_name"), code, F.col("p_type")).alias("sentence"))
+
+
+_SCALES = "s AS (SELECT p_partkey % 50 AS volume_id, p_size % 4 AS scale, 0.02 * power(2, p_size % 4) AS res, 8192 // power(2, p_size % 4) AS n FROM part GROUP BY ALL)"
+
+
+@query(f"WITH {_SCALES}, w AS (SELECT volume_id, max(scale) FILTER (res <= 0.05) AS wished FROM s GROUP BY volume_id) SELECT s.volume_id, CAST(wished AS INTEGER) AS wished, CAST(min(scale) FILTER (scale >= wished AND n * n * n <= 3e10) AS INTEGER) AS scale FROM s JOIN w USING (volume_id) GROUP BY 1, 2")
+def select_scales(spark, sf_dir):
+    k = F.col("p_size") % 4
+    res, n = 0.02 * F.pow(F.lit(2.0), k), F.floor(8192 / F.pow(F.lit(2.0), k))
+    s = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("volume_id"), k.cast("int").alias("scale"), *[res.alias(f"res_{a}") for a in "xyz"], *[n.alias(f"n_{a}") for a in "xyz"], F.lit(1).alias("item_bytes")).distinct()
+    return selection.select_scales(s, 0.05, max_bytes=3e10).select("volume_id", "wished", "scale")
+
+
+@query("WITH h AS (SELECT DISTINCT p_brand AS map_id, p_name AS region FROM part), m AS (SELECT p_brand AS map_id, min(p_partkey) AS ord FROM part GROUP BY p_brand) SELECT region, arg_min(map_id, ord) AS map_id FROM h JOIN m USING (map_id) GROUP BY region")
+def regional_maps(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("map_id"), F.col("p_name").alias("region"), "p_partkey")
+    return selection.regional_maps(p, p.groupBy("map_id").agg(F.min("p_partkey").alias("ord")), p)
+
+
+@query("SELECT DISTINCT p_brand AS map_id, p_size AS label, CAST(p_size AS INTEGER) AS r, CAST(p_size % 3 AS INTEGER) AS g, 7 AS b FROM part WHERE p_size % 4 > 0")
+def map_colours(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    index = p.select(F.col("p_brand").alias("map_id"), F.col("p_size").alias("label"), F.col("p_partkey").alias("region"))
+    colour = F.when(F.col("p_size") % 4 > 0, F.struct(F.col("p_size").alias("r"), (F.col("p_size") % 3).alias("g"), F.lit(7).alias("b")))
+    return selection.colormap(index, p.select(F.col("p_partkey").alias("region"), colour.alias("rgb")))
+
+
+@query("SELECT p_name AS region, 'dataset/' || p_partkey AS dataset_id, p_type AS name, CASE WHEN p_size % 2 = 0 THEN 'v' || p_size END AS version FROM part WHERE p_size % 3 > 0 AND p_type <> 'PROMO' AND p_brand <> 'Brand#13'")
+def listed_datasets(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_size") % 2 == 0, F.concat("p_type", F.lit(" (v"), "p_size", F.lit(")"))).otherwise(F.col("p_type"))
+    one = F.struct(F.concat(F.when(F.col("p_size") % 3 > 0, "dataset/").otherwise("other/"), "p_partkey").alias("id"), name.alias("name"), F.col("p_brand").alias("species"))
+    regions = p.select(F.lit(None).cast("string").alias("alias"), F.col("p_name").alias("name"), F.array(one).alias("datasets"))
+    known = p.select(F.col("p_brand").alias("species")).distinct().filter("species <> 'Brand#13'")
+    return selection.listed_datasets(regions, known, blocked=("promo",))

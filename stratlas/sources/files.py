@@ -144,7 +144,7 @@ def cells(spark: SparkSession, path: str) -> DataFrame:
     heads = head.select("path", names.alias("names"))
     data = lines.join(head.select("path", "value"), ["path", "value"], "left_anti").select("path", F.split(F.trim("value"), " +").alias("v"))
     at = lambda name: F.try_element_at("v", F.array_position("names", F.lit(name)).cast("int")).cast("double")
-    return data.join(F.broadcast(heads), "path").select("path", at("x").alias("x"), at("y").alias("y"), at("layer").cast("int").alias("layer"), at("label").cast("int").alias("label"))
+    return data.join(heads, "path").select("path", at("x").alias("x"), at("y").alias("y"), at("layer").cast("int").alias("layer"), at("label").cast("int").alias("label"))
 
 
 def read_sparse(spark: SparkSession, base: str) -> DataFrame:

@@ -304,3 +304,21 @@ def test_result_does_not_depend_on_partitions(spark, sf):
         assert sorted(map(str, QUERIES["compare_regions_with_parts"](spark, sf).collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_atlas_facade(spark):
+    from stratlas.plans.atlas import Atlas
+
+    regions = spark.createDataFrame([(i, p, n, i.upper(), "p1") for i, p, n in TREE], "id string, parent string, name string, key string, parcellation_id string")
+    maps = spark.createDataFrame([(0, "m", "s", "p1", "STATISTICAL")], "ord int, id string, space_id string, parcellation_id string, maptype string")
+    index = spark.createDataFrame([("m", "Area hOc1", 0, None, None), ("m", "Area 4p", 1, None, None)], "map_id string, region string, volume int, fragment string, label double")
+    v = blob(spark, [(1, 1, 1, 0.5)]).union(spark.createDataFrame([("m", 1, None, 1, 1, 1, 0.25), ("m", 1, None, 2, 1, 1, 0.75)], "map_id string, volume int, fragment string, x int, y int, z int, value double"))
+    atlas = Atlas(regions, maps, index, v)
+    assert [r.id for r in atlas.find_regions("hoc1").collect()] == ["a1"]
+    assert atlas.get_regions(spark.createDataFrame([("4p",)], "spec string"), "p1").first().id == "b1"
+    assert atlas.get_map(space="s").first().id == "m" and atlas.get_map(space="t").isEmpty()
+    assert atlas.region_voxels("a").count() == 1 and atlas.region_voxels("r").count() == 2
+    grid = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1]]
+    p = spark.createDataFrame([(7, 1.0, 1.0, 1.0)], "idx int, x double, y double, z double")
+    assert {(r.region, r.map_value) for r in atlas.assign(p, grid).collect()} == {("Area hOc1", 0.5), ("Area 4p", 0.25)}
+    assert atlas.assign(p, grid, sigma_voxels=1.0).count() == 2
