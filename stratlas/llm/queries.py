@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratlas.llm import chat, decontam, html_extract, license, lm, mixing, neardup, quality, sharding, urlfilter
+from stratlas.llm.oracles import ORACLES
 from stratlas.llm.textops import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,4 +122,6 @@ QUERIES: dict[str, Query] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.oracle()}
+
+
+__all__ = ["ORACLES", "QUERIES"]
