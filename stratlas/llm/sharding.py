@@ -6,7 +6,9 @@ node is one shard.  The quantile is found on a 36-bit key (12 bits of coordinate
 12 of the text's hash, 12 of the row's), 12 bits at a time: sums over 4096 cells
 per node, pre-aggregated before the shuffle, then the cells of the one crossing
 cell, then theirs.  So a coordinate, source or text that holds most of a node is
-cut within itself, and copies of one text stay side by side.
+cut within itself.  The metadata are by default such that copies of one text share
+them; a cut goes round a cell of few texts, and only through one that holds over
+1/128 of the side's bytes, so copies stay together unless they are that many.
 
 Bounds: the driver runs one job per tree level; tables of a level have a row per
 node and are broadcast while they number at most ``BROADCAST_NODES``.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from stratlas.llm.textops import cut, fresh
 
 BROADCAST_NODES = 100_000
+#: A cell of text hashes is cut within only if it holds more than this part of what a cut has to reach.
+WHOLE = 128
 _CELL = 12
 
 
@@ -79,17 +83,21 @@ def build(rows: DataFrame, dims: int, shards: int) -> list[DataFrame]:
         nodes = stats.select("lo", (-best["i"]).alias("dim"), (F.col("bytes") * half[F.col("lo")] / parts[F.col("lo")]).alias("need"), (F.col("lo") + half[F.col("lo")]).alias("right")).filter("need is not null")
         nodes = cut(nodes)
         keyed = here.join(_small(nodes), "lo").select("lo", "size", F.get("k", F.col("dim")).alias("key"))
-        found = nodes.select("lo", "need", F.lit(0).cast("long").alias("at"))
+        found, steps = nodes.select("lo", "need", F.lit(0).cast("long").alias("at")), []
         for shift in (2 * _CELL, _CELL, 0):
             inside = keyed.join(_small(found), "lo").filter(F.shiftright("key", shift + _CELL) == F.col("at")) if shift < 2 * _CELL else keyed.join(_small(found), "lo")
             cells = inside.groupBy("lo", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("b"), F.first("need").alias("need"))
             found = cut(_crossing(cells).select("lo", "need", F.col("cell").alias("at"), "b"))
-        levels.append(_small(cut(nodes.join(found.select("lo", (F.col("at") - F.when(2 * F.col("need") < F.col("b"), 1).otherwise(0)).alias("at")), "lo").select("lo", "dim", "at", "right"))))
+            end = F.col("at") + F.when(2 * F.col("need") < F.col("b"), 0).otherwise(1)
+            steps.append(found.select("lo", (end * (1 << shift) - 1).alias(f"at{shift}"), F.col("b").alias(f"b{shift}")))
+        ends = nodes.join(steps[1], "lo").join(steps[2], "lo")
+        whole = F.when(F.col(f"b{_CELL}") * WHOLE <= F.col("need"), F.col(f"at{_CELL}")).otherwise(F.col("at0"))
+        levels.append(_small(cut(ends.select("lo", "dim", whole.alias("at"), "right"))))
         sizes = {k: v for lo, m in sizes.items() for k, v in (((lo, m // 2), (lo + m // 2, m - m // 2)) if m > 1 else ((lo, m),))}
     return levels
 
 
-def shard(docs: DataFrame, carry: list[str], shards: int | None = 8, target_bytes: int | None = None, metadata: tuple[str, ...] = ("source", "lang", "n_chars"), id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+def shard(docs: DataFrame, carry: list[str], shards: int | None = 8, target_bytes: int | None = None, metadata: tuple[str, ...] = ("lang", "n_chars"), id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
     """The columns ``carry`` of each document and a struct (name returned): size, text_crc32, shard, slot (gapless in the shard).
 
     Without ``shards``, as many as ``target_bytes`` asks for.
