@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The digits, the sign after a negative number, the separator.
+# The digits, the sign after a negative number, the separator, and the view's orientation.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
 NEGATIVE = "~"
 SEPARATOR = "."
+ORIENTATION = "0.0.0.-W000.._eCwg.2-FUe3._-s_W.2_evlu.."
 
 
 def point_id(space: Column, x: Column, y: Column, z: Column) -> Column:
@@ -91,7 +92,7 @@ def encode_view(root: str, atlas: Column, space: Column, parcellation: Column, x
     safe = lambda c: F.replace(c, F.lit("/"), F.lit(":"))
     nav = F.concat_ws(SEPARATOR, *[encode_number(F.floor(v * 1e6)) for v in (x, y, z)])
     return F.concat(
-        F.lit(f"{root}#/a:"), safe(atlas), F.lit("/t:"), safe(space), F.lit("/p:"), safe(parcellation), F.lit("/@:0.0.0.-W000.._eCwg.2-FUe3._-s_W.2_evlu.."), encode_number(perspective), F.lit(".."), nav, F.lit(".."), encode_number(zoom)
+        F.lit(f"{root}#/a:"), safe(atlas), F.lit("/t:"), safe(space), F.lit("/p:"), safe(parcellation), F.lit("/@:" + ORIENTATION), encode_number(perspective), F.lit(".."), nav, F.lit(".."), encode_number(zoom)
     )
 
 

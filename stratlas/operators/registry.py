@@ -61,3 +61,24 @@ def map_types(index: DataFrame) -> DataFrame:
 def duplicate_indices(index: DataFrame) -> DataFrame:
     """Indices that more than one region of a map has."""
     return index.groupBy("map_id", "volume", "label", "fragment").agg(F.count("*").alias("regions")).filter("regions > 1")
+
+
+def region_of(index: DataFrame, map_id: str, volume: int = 0, label: int | None = None, fragment: str | None = None) -> DataFrame:
+    """The regions that an index of a map means; nulls equal nulls."""
+    at = F.col("label").eqNullSafe(F.lit(label)) & F.col("fragment").eqNullSafe(F.lit(fragment))
+    return index.filter((F.col("map_id") == map_id) & (F.col("volume") == volume) & at).select("region")
+
+
+def indices_of(index: DataFrame, regions: DataFrame) -> DataFrame:
+    """The indices of each region: its own, or else those of the regions below it (region, ancestor)."""
+    below = regions.select("ancestor", "region")
+    own = index.join(regions.select(F.col("ancestor").alias("region")).distinct(), "region").select(F.col("region").alias("ancestor"), "map_id", "volume", "label", "fragment")
+    rest = below.join(own.select("ancestor").distinct(), "ancestor", "left_anti").join(index, "region").select("ancestor", "map_id", "volume", "label", "fragment")
+    return own.union(rest)
+
+
+def unique_index(found: DataFrame) -> DataFrame:
+    """Found indices (ancestor, ...) with an error where a region has not exactly one."""
+    one = found.groupBy("ancestor").agg(F.count("*").alias("n"), F.first("map_id").alias("map_id"), F.first("volume").alias("volume"), F.first("label").alias("label"), F.first("fragment").alias("fragment"))
+    bad = F.raise_error(F.concat(F.col("ancestor"), F.lit(" has "), F.col("n").cast("string"), F.lit(" indices")))
+    return one.select("ancestor", F.when(F.col("n") == 1, F.col("map_id")).otherwise(bad).alias("map_id"), "volume", "label", "fragment")

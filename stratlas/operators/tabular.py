@@ -145,3 +145,12 @@ def expressions(probes: DataFrame, samples: DataFrame, donors: DataFrame) -> Dat
     m = F.col("affine")
     at = [F.bround(F.get(m, F.lit(4 * r)) * F.col("x") + F.get(m, F.lit(4 * r + 1)) * F.col("y") + F.get(m, F.lit(4 * r + 2)) * F.col("z") + F.get(m, F.lit(4 * r + 3)), 2) for r in range(3)]
     return placed.select(F.col("v.level").alias("level"), F.col("v.zscore").alias("zscore"), "gene", "race", "gender", (F.col("age_days") / 365).cast("int").alias("age"), F.array(*at).alias("place"), "sample", "probe_id", "donor_id")
+
+
+def faulty_profiles(profiles: DataFrame, boundaries: DataFrame, by: str = "feature_id") -> DataFrame:
+    """Profiles that break a rule: depths in 0 to 1 and different, boundaries rising in 0 to 1, seven or none of them."""
+    p = profiles.groupBy(by).agg(F.bool_or(~F.col("depth").between(0, 1)).alias("outside"), (F.count("*") > F.count_distinct("depth")).alias("twice"))
+    order = Window.partitionBy(by).orderBy("layer")
+    b = boundaries.withColumn("_fall", F.col("depth") < F.lag("depth").over(order)).groupBy(by).agg(F.bool_or("_fall").alias("falling"), F.bool_or(~F.col("depth").between(0, 1)).alias("beyond"), (F.count("*") != 7).alias("count"))
+    x = p.join(b, by, "full_outer").fillna(False)
+    return x.filter("outside or twice or falling or beyond or count")

@@ -322,3 +322,55 @@ def test_atlas_facade(spark):
     p = spark.createDataFrame([(7, 1.0, 1.0, 1.0)], "idx int, x double, y double, z double")
     assert {(r.region, r.map_value) for r in atlas.assign(p, grid).collect()} == {("Area hOc1", 0.5), ("Area 4p", 0.25)}
     assert atlas.assign(p, grid, sigma_voxels=1.0).count() == 2
+
+
+def test_surfaces(spark, tmp_path):
+    import base64
+    import struct
+    import zlib
+
+    from stratlas.sources import surfaces
+
+    def array(intent, kind, data, packed=True):
+        raw = base64.b64encode(zlib.compress(data.tobytes())).decode() if packed else " ".join(map(str, data.ravel()))
+        dims = " ".join(f'Dim{i}="{n}"' for i, n in enumerate(data.shape))
+        return f'<DataArray Intent="NIFTI_INTENT_{intent}" DataType="NIFTI_TYPE_{kind}" Encoding="{"GZipBase64Binary" if packed else "ASCII"}" Endian="LittleEndian" Dimensionality="{data.ndim}" {dims}><Data>{raw}</Data></DataArray>'
+
+    verts, tri, lab = np.eye(3, dtype="<f4"), np.array([[0, 1, 2]], dtype="<i4"), np.array([4, 0, 4], dtype="<i4")
+    (tmp_path / "s.gii").write_text(f"<GIFTI>{array('POINTSET', 'FLOAT32', verts)}{array('TRIANGLE', 'INT32', tri)}{array('LABEL', 'INT32', lab, False)}</GIFTI>")
+    f = files.binary(spark, str(tmp_path), ".gii")
+    assert [(r.vid, r.x, r.y, r.z) for r in surfaces.vertices(f).collect()] == [(0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)]
+    assert [(r.v0, r.v1, r.v2) for r in surfaces.faces(f).collect()] == [(0, 1, 2)] and [r.label for r in surfaces.labels(f).collect()] == [4, 0, 4]
+
+    word = lambda s: struct.pack(">i", len(s) + 1) + s.encode() + b"\0"
+    table = [("unknown", 1, 1, 1), ("area", 10, 20, 30)]
+    body = struct.pack(">i", 3) + struct.pack(">6i", 0, 10 + (20 << 8) + (30 << 16), 1, 0, 2, 1 + (1 << 8) + (1 << 16))
+    body += struct.pack(">iii", 1, -2, 2) + word("table") + struct.pack(">i", 2)
+    for i, (name, *rgb) in enumerate(table):
+        body += struct.pack(">i", i) + word(name) + struct.pack(">4i", *rgb, 0)
+    (tmp_path / "a.annot").write_bytes(body)
+    got = surfaces.annotation(files.binary(spark, str(tmp_path), ".annot"))
+    assert [(r.label, r.name) for r in got.orderBy("vid").collect()] == [(1, "area"), (-1, None), (0, "unknown")]
+    assert [r.label for r in meshes.clear_background(got).orderBy("vid").collect()] == [1, 0, 0]
+
+    head = b"mrtrix tracks\ndatatype: Float32LE\nfile: . 60\nEND\n"
+    data = np.array([[1, 2, 3], [4, 5, 6], [np.nan] * 3, [7, 8, 9], [np.nan] * 3, [np.inf] * 3], dtype="<f4")
+    (tmp_path / "t.tck").write_bytes(head.ljust(60, b"\0") + data.tobytes())
+    assert [(r.track, r.idx, r.x) for r in surfaces.tracks(files.binary(spark, str(tmp_path), ".tck")).collect()] == [(0, 0, 1), (0, 1, 4), (1, 0, 7)]
+
+
+def test_map_indices(spark):
+    index = spark.createDataFrame([("m", "a1", 0, 1, None), ("m", "a2", 0, 2, None), ("m", "b", 1, None, "left")], "map_id string, region string, volume int, label int, fragment string")
+    assert registry.region_of(index, "m", 0, 2).first().region == "a2" and registry.region_of(index, "m", 1, None, "left").first().region == "b"
+    below = spark.createDataFrame([("a", "a"), ("a", "a1"), ("a", "a2"), ("b", "b"), ("a1", "a1")], "ancestor string, region string")
+    found = registry.indices_of(index, below)
+    assert {(r.ancestor, r.label) for r in found.collect()} == {("a", 1), ("a", 2), ("b", None), ("a1", 1)}
+    assert registry.unique_index(found.filter("ancestor <> 'a'")).count() == 2
+    with pytest.raises(Exception, match="has 2 indices"):
+        registry.unique_index(found).collect()
+
+
+def test_faulty_profiles(spark):
+    p = spark.createDataFrame([(f, d) for f, ds in ((1, (0.0, 0.5)), (2, (0.0, 0.0)), (3, (0.1, 1.2))) for d in ds], "feature_id int, depth double")
+    b = spark.createDataFrame([(f, k, k / 7) for f in (1, 4) for k in range(7 if f == 1 else 5)], "feature_id int, layer int, depth double")
+    assert {r.feature_id for r in tabular.faulty_profiles(p, b).collect()} == {2, 3, 4}
