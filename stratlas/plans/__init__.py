@@ -1 +1 @@
-
+"""Queries on the driver's tables, and the atlas facade."""

@@ -1 +1 @@
-
+"""Empty on purpose: the atlas data are finite tables, and no operator of the library needs a stream."""
