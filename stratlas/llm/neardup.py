@@ -19,7 +19,8 @@ probability 1 - 5e-5, at 0.85 with 1 - 6e-8.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is
 kept; a null id has no component and is kept; rows that share an id are one node
-of the graph; an empty table gives an empty result; other columns are not read.
+of the graph; ids are integers; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
