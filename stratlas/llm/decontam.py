@@ -34,6 +34,8 @@ WINDOW = 13
 #: About 25 MB of word hashes, shift tables and texts.
 BLOCK_WINDOWS = 100_000
 _LANE = 64
+#: Larger slices than elsewhere: each step of the lanes has a fixed cost, and a slice needs little memory here.
+_SLICE = 1 << 20
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 RESULT = T.StructType(
@@ -133,7 +135,7 @@ def blocks(items: Iterator[tuple[str | None, str | None]], window: int = WINDOW,
 def _scanner(groups: list[Group], text: str, keep: list[str], result: str, before: str | None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in slices(batch, text):
+            for part, data, at in slices(batch, text, _SLICE):
                 words = Words(data, at, ALNUM_WORD)
                 h = words.hashes()
                 delta = np.zeros(len(h) + 1, np.int64)
