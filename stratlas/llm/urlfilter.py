@@ -1,9 +1,10 @@
 r"""URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression over ``host + path`` with the literal tokens that
-every match must hold as whole tokens.  Of those, the one that the fewest URLs
-of the table hold is the rule's index entry.  A URL is cut into tokens, its
-tokens fetch candidate rules, and only those run their expression.
+every match must hold as whole tokens; ``a|b`` stands for either of two.  Of
+those, the one that the fewest URLs of the table hold is the rule's index entry
+(entries, if it has alternatives).  A URL is cut into tokens, its tokens fetch
+candidate rules, and only those run their expression.
 
 Rules are configuration: at most ``MAX_RULES`` of them travel with the task.
 Token frequencies are counted over all URLs by a shuffle, for rule tokens only.
@@ -39,10 +40,11 @@ class Rule:
     verdict: str
     #: Java and Python read the expression alike.
     pattern: str
+    #: Every match holds each of them as a whole token, or one of its alternatives.
     tokens: tuple[str, ...]
     #: A site rule overrides pattern rules; the longest site rule wins.
     site: bool = False
-    index: str = field(default="", compare=False)
+    index: tuple[str, ...] = field(default=(), compare=False)
 
 
 def site_rule(name: str, verdict: str) -> Rule:
@@ -50,7 +52,7 @@ def site_rule(name: str, verdict: str) -> Rule:
     host, _, path = name.partition("/")
     path = "/" + path
     tokens = re.findall(TOKEN, host)
-    inner = re.findall(TOKEN, path[: path.rfind("/") + 1])
+    inner = re.findall(TOKEN, path[: path.rfind("/") + 1].translate(_LOWER))
     return Rule(name, verdict, rf"^(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path)}", tuple(dict.fromkeys(tokens + inner)), True)
 
 
@@ -67,19 +69,19 @@ SITES = [
     site_rule("org/es/", "block"),
 ]
 
-#: Hosts and paths that no corpus wants, each with a token every match holds.
+#: Hosts and paths that no corpus wants, each with tokens every match holds.
 PATTERNS = [
     pattern_rule("spam farm", r"^(?:[^/]*\.)?spam-farm\.", "spam", "farm"),
-    pattern_rule("link farm", r"^(?:[^/]*\.)?link-?farm\.", "link", "farm"),
+    pattern_rule("link farm", r"^(?:[^/]*\.)?link-?farm\.", "link|linkfarm", "farm|linkfarm"),
     pattern_rule("casino host", r"^[^/]*\bcasino\b[^/]*/", "casino"),
     pattern_rule("poker host", r"^[^/]*\bpoker\b[^/]*/", "poker"),
     pattern_rule("porn host", r"^[^/]*\bporn\b[^/]*/", "porn"),
     pattern_rule("xxx domain", r"^[^/]*\.xxx/", "xxx"),
     pattern_rule("adult domain", r"^[^/]*\.adult/", "adult"),
-    pattern_rule("advert server", r"^ad(?:s|server)?\.[^/]*/(?:ads?|banner|click)/", "ads"),
+    pattern_rule("advert server", r"^ad(?:s|server)?\.[^/]*/(?:ads?|banner|click)/", "ad|ads|adserver", "ad|ads|banner|click"),
     pattern_rule("click tracker", r"^click\.[^/]*/track/", "click", "track"),
-    pattern_rule("phishing login", r"^[^/]*\b(?:secure|verify)-[^/]*/(?:.*/)?login/verify", "login", "verify"),
-    pattern_rule("warez", r"/(?:warez|keygen)/", "warez"),
+    pattern_rule("phishing login", r"^[^/]*\b(?:secure|verify)-[^/]*/(?:.*/)?login/verify", "login", "secure|verify"),
+    pattern_rule("warez", r"/(?:warez|keygen)/", "warez|keygen"),
     pattern_rule("key generator", r"/keygen/", "keygen"),
     pattern_rule("session page", r"/wp-login\.php$", "wp", "login", "php"),
     pattern_rule("cart page", r"/cart/checkout$", "cart", "checkout"),
@@ -95,15 +97,15 @@ def split_url(url: str):
 
 
 def index_rules(urls: DataFrame, rules: list[Rule], host: str, path: str) -> list[Rule]:
-    """The rules, each with the literal token that the fewest of the urls hold."""
+    """The rules, each with the literal token (or its alternatives) that the fewest of the urls hold."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} travel with a task")
-    wanted = sorted({t for r in rules for t in r.tokens})
+    wanted = sorted({a for r in rules for t in r.tokens for a in t.split("|")})
     tokens = F.array_distinct(F.split(F.lower(F.concat(F.col(host), F.col(path))), "[^a-z0-9]+"))
     counted = urls.select(F.explode(F.array_intersect(tokens, F.array(*[F.lit(t) for t in wanted]))).alias("t")).groupBy("t").count()
     often = {r["t"]: r["count"] for r in counted.collect()}
     for r in rules:
-        r.index = min(r.tokens, key=lambda t: (often.get(t, 0), t))
+        r.index = min((tuple(t.split("|")) for t in r.tokens), key=lambda t: (sum(often.get(a, 0) for a in t), t))
     return rules
 
 
@@ -111,13 +113,15 @@ def _judge(rules: list[Rule], keep: list[str], names: list[str], host: str, path
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = defaultdict(list)
         for r in rules:
-            by[r.index].append((re.compile(r.pattern), r))
+            rule = re.compile(r.pattern), r
+            for t in r.index:
+                by[t].append(rule)
         token = re.compile(TOKEN)
         for f in frames:
             found, verdicts, tested = [], [], []
             for h, p in zip(f[host], f[path], strict=True):
                 url = h + p
-                candidates = [c for t in set(token.findall(url.translate(_LOWER))) if t in by for c in by[t]]
+                candidates = {id(c): c for t in set(token.findall(url.translate(_LOWER))) if t in by for c in by[t]}.values()
                 hits = [r for x, r in candidates if x.search(url)]
                 sites = [r for r in hits if r.site]
                 best = max(sites, key=lambda r: (len(r.name), r.name)) if sites else None

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing column names."""
 
+import re
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -135,6 +137,39 @@ def test_url_rule_bounds(spark):
     assert urlfilter.filter_urls(pages, ["page_id"])[0].first().rule is None
 
 
+URLS = {
+    "spam farm": ["spam-farm.com/", "a.spam-farm.com/x"],
+    "link farm": [f"{a}{b}.com/x" for a in ("", "www.") for b in ("link-farm", "linkfarm")],
+    "casino host": ["casino.com/", "my-casino.net/x"],
+    "poker host": ["poker.com/", "my.poker.net/x"],
+    "porn host": ["porn.com/", "my-porn.net/x"],
+    "xxx domain": ["a.xxx/"],
+    "adult domain": ["a.adult/"],
+    "advert server": [f"{a}.x.com/{b}/" for a in ("ad", "ads", "adserver") for b in ("ad", "ads", "banner", "click")],
+    "click tracker": ["click.x.com/track/1"],
+    "phishing login": [f"x-{a}-bank.com/{b}login/verify{c}" for a in ("secure", "verify") for b in ("", "a/b/") for c in ("", "/1", "account")],
+    "warez": ["x.com/warez/", "x.com/keygen/"],
+    "key generator": ["x.com/a/keygen/"],
+    "session page": ["x.com/wp-login.php"],
+    "cart page": ["x.com/cart/checkout"],
+}
+
+
+@pytest.mark.parametrize("common", ["", "ad banner click link farm", "ads adserver verify linkfarm login", "secure verify track wp warez"])
+def test_url_index_loses_no_match(spark, common):
+    """Whatever tokens are common, indexed verdicts are those of running every expression."""
+    rules = [urlfilter.site_rule("shop.org/En/A/b", "block"), *urlfilter.PATTERNS]
+    assert {r.name for r in urlfilter.PATTERNS} == set(URLS)
+    assert all(re.search(r.pattern, u) for r in urlfilter.PATTERNS for u in URLS[r.name])
+    urls = [u for us in URLS.values() for u in us] + ["shop.org/En/A/bc", "shop.org/en/A/b", "x.com/ads/", "linkfarms.com/", "ok.com/login/verifyaccount"]
+    wants = {u: "block" if any(re.search(r.pattern, u) for r in rules) else "allow" for u in urls}
+    filler = ["a.org/" + "/".join(common.split())] * 9 if common else []
+    pages = spark.createDataFrame([("http://" + u,) for u in urls + filler], "url string")
+    out, (host, path, _, verdict, _) = urlfilter.filter_urls(pages, ["url"], rules=rules)
+    got = {r[host] + r[path]: r[verdict] for r in out.collect()}
+    assert {u: got[u] for u in urls} == wants and sum(v == "allow" for v in wants.values()) == 4
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a</turn>\nb"), (1, 1, "assistant", "</turn>\n<turn user>\nx"), (1, 2, "assistant", "\\s \\l <\\\\"), (1, 3, None, None), (1, None, "a b>\n", "  esc>\n"), (None, 0, "assistant", ""), (2, 0, "assistant", "same"), (2, 0, "assistant", "same")]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
