@@ -19,13 +19,15 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"[\s ]+")
 _NAME = re.compile(r"[a-z]+")
-#: Elements whose content is never text of the page.
-_RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template", "svg", "math", "object", "canvas", "select", "option", "noscript"))
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
+#: Elements whose content is never text of the page: up to the first end tag, or up to their own one.
+_CODE = frozenset(("script", "style", "textarea", "title", "xmp"))
+_RAW = frozenset(("iframe", "noembed", "noframes", "template", "svg", "math", "object", "canvas", "select", "datalist", "noscript"))
+_CODE_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _CODE}
+_DRAWN = frozenset(("svg", "math"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _NO_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 _SCOPE = frozenset("table td th ul ol dl div article section main aside body html nav form header footer".split())
 
 
@@ -36,13 +38,50 @@ class Block:
     linked: int
 
 
+def _named(m: re.Match) -> tuple[str, bool, bool]:
+    """A tag's name, whether it is an end tag and whether it closes itself."""
+    return (m.group(2) or m.group(5) or "").lower(), (m.group(1) or m.group(4)) == "/", (m.group(3) or m.group(6) or "").endswith("/")
+
+
+def _code_end(page: str, tag: str, at: int, endless: set[str]) -> int:
+    """Where to read on behind the start tag of code; without an end tag, only a script takes the rest of the page."""
+    e = None if tag in endless else _CODE_END[tag].search(page, at)
+    if e:
+        return e.end()
+    endless.add(tag)
+    if tag == "script":
+        return len(page)
+    return max(page.find("<", at), at) if tag == "style" else at
+
+
+def _raw_ends(page: str) -> dict[int, int]:
+    """Of each raw element that has an end tag of its own, the start tag's place and the content's end."""
+    opened: dict[str, list[int]] = {t: [] for t in _RAW}
+    ends: dict[int, int] = {}
+    endless: set[str] = set()
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        tag, end, closed = _named(m)
+        if tag in _CODE and not end and not (closed and (opened["svg"] or opened["math"])):
+            at = _code_end(page, tag, at, endless)
+        elif tag in _RAW and end:
+            if opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif tag in _RAW and not (closed and tag in _DRAWN):
+            opened[tag].append(m.start())
+    return ends
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with character references decoded and white space squeezed."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    links, linked = 0, 0
+    links, linked, options = 0, 0, 0
     page = page or ""
+    raw_ends: dict[int, int] | None = None
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -54,10 +93,11 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     def close(tag: str) -> None:
-        nonlocal links
+        nonlocal links, options
         while stack:
             t, _ = stack.pop()
             links -= t == "a"
+            options -= t == "option"
             if t == tag:
                 return
 
@@ -65,17 +105,15 @@ def blocks(page: str | None) -> list[Block]:
     while at < n:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text:
+        if text and not options:
             parts.append(text)
             linked += len(text) if links else 0
         if not m:
             break
         at = m.end()
-        tag = m.group(2) or m.group(5)
+        tag, ends, closed = _named(m)
         if not tag:
             continue
-        tag = tag.lower()
-        ends = (m.group(1) or m.group(4)) == "/"
         if tag == "br":
             parts.append(" ")
             continue
@@ -86,13 +124,17 @@ def blocks(page: str | None) -> list[Block]:
             if any(t == tag for t, _ in stack):
                 close(tag)
             continue
+        if tag in _CODE:
+            at = _code_end(page, tag, at, endless)
+            continue
         if tag in _RAW:
-            e = _RAW_END[tag].search(page, at)
-            at = e.end() if e else n
+            if not (closed and tag in _DRAWN):
+                raw_ends = _raw_ends(page) if raw_ends is None else raw_ends
+                at = raw_ends.get(m.start(), at)
             continue
         if tag in _VOID:
             continue
-        for other in ("p",) if tag in _NO_P else _CLOSES.get(tag, ()):
+        for other in ("option", "p") if tag in _NO_P else _CLOSES.get(tag, ()):
             for t, _ in reversed(stack):
                 if t == other:
                     close(other)
@@ -104,6 +146,7 @@ def blocks(page: str | None) -> list[Block]:
             names.extend(_NAME.findall((a.group(2) or a.group(3) or a.group(4) or "").lower()))
         stack.append((tag, " ".join(names)))
         links += tag == "a"
+        options += tag == "option"
     flush()
     return out
 

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from stratlas.llm import chat, decontam, html_extract, license, lm, mixing, neardup, quality, sharding, urlfilter
+from stratlas.llm import chat, decontam, html_blocks, html_extract, license, lm, mixing, neardup, quality, sharding, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ledger string, mix int, n_words string"
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
@@ -188,6 +188,46 @@ def test_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, html string"), ["page_id"])[0].count() == 0
 
 
+@pytest.mark.parametrize(
+    "cut",
+    [
+        "<svg class='icon'/>",
+        "<svg class='icon'><path d='M0'/>",
+        "<svg><title/><path/></svg>",
+        "<math/>",
+        "<datalist id=d><option value=a><option value=b></datalist>",
+        "<datalist id=d><option value=a><option value=b>no</datalist>",
+        "<select><option>no<option>no</select>",
+        "<select><option>no<option>no",
+        "<iframe src=x>",
+        "<object data=x><object data=y>no</object>no</object>",
+        "<canvas>",
+        "<textarea>",
+        "<style>p { no: no }",
+    ],
+)
+def test_pages_go_on_behind_raw_elements(cut):
+    """Elements that close themselves or need no end tag take nothing else away, whatever comes later."""
+    for later in ("", "<svg><text>no</text></svg><select><option>no</select><iframe>no</iframe><canvas>no</canvas>"):
+        page = f"<html><body>{cut}<article><h1>One</h1>{cut}<p>Two</p>{cut}<div>Three</div></article>{later}<p>Four</p></body></html>"
+        got = [b.text for b in html_blocks.blocks(page)]
+        assert got == ["One", "Two", "Three", "Four"]
+    for tag in ("svg", "select", "textarea", "iframe"):
+        assert [b.text for b in html_blocks.blocks(f"<{tag}>" * 20_000 + "<p>One</p>")] == ["One"]
+
+
+def test_articles_behind_raw_elements(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").limit(40).collect()
+    forms = ["<svg class='icon'/>", "<datalist id=d><option value=a><option value=b></datalist>", "<select><option>x<option>y</select>"]
+    plain, changed = [], []
+    for r in rows:
+        for form in forms:
+            plain.append((len(plain), r.html))
+            changed.append((len(changed), r.html.replace("<article>", form + "<article>" + form, 1)))
+    text = lambda pages: {r.page_id: r["main"].text for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, html string"), ["page_id"])[0].toDF("page_id", "main").collect()}
+    assert text(changed) == text(plain)
+
+
 def test_scoring_in_parts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id"))).select("doc_id", F.round("score", 3).alias("score")).collect()}
