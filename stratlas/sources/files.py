@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VOXELS = "path string, x int, y int, z int, t int, value double"
@@ -152,8 +152,23 @@ def read_sparse(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(base)
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (id, value) of text files, numbered from 0 through all files by path, whatever splits they are read in.
+
+    A split's lines have rising ids, so each is the lines of the splits before it
+    (by file and offset; one row a split) and its place in its own.
+    """
+    m = F.col("_metadata")
+    row = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("start"), row.alias("row"))
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(splits), ["file", "start"]).select((F.col("row") + F.col("shift")).alias("id"), "value")
+
+
 def sparse_text(spark: SparkSession, probs: str, coords: DataFrame) -> DataFrame:
     """Voxels from lines of ``volume prob volume prob ...`` (one line per coordinate id) and (id, x, y, z) rows."""
-    lines = spark.read.text(probs).select(F.monotonically_increasing_id().alias("id"), F.split(F.trim("value"), " +").alias("v"))
+    lines = numbered(spark, probs).select("id", F.split(F.trim("value"), " +").alias("v"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda i: F.struct(F.get("v", 2 * i).cast("int").alias("volume"), F.get("v", 2 * i + 1).cast("double").alias("value"))))
     return lines.filter(F.size("v") > 1).withColumn("p", pair).select("id", "p.volume", "p.value").join(coords, "id").drop("id")

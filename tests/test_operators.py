@@ -295,6 +295,26 @@ def test_tables(spark, tmp_path):
     assert sorted(zipfile.ZipFile(__import__("io").BytesIO(raw)).namelist()) == ["README.md", "t.csv"]
 
 
+def test_sparse_text_in_several_splits(spark, tmp_path):
+    """Lines keep their numbers over splits and files."""
+    lines = [f"{i % 5} {i}.5" + (f" 7 {i}.25" if i % 3 else "") for i in range(900)]
+    lines[10] = lines[500] = ""
+    (tmp_path / "m").mkdir()
+    for k, (a, b) in enumerate([(0, 700), (700, 710), (710, 900)]):
+        (tmp_path / f"m/{k}.txt").write_text("\n".join(lines[a:b]) + "\n")
+    coords = spark.createDataFrame([(i, i, i + 1, i + 2) for i in range(900)], "id long, x int, y int, z int")
+    want = sorted((int(v), float(p), i, i + 1, i + 2) for i, line in enumerate(lines) for v, p in zip(line.split()[::2], line.split()[1::2], strict=True))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        assert spark.read.text(str(tmp_path / "m")).rdd.getNumPartitions() > 5
+        assert sorted(tuple(r) for r in files.sparse_text(spark, str(tmp_path / "m"), coords).collect()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_result_does_not_depend_on_partitions(spark, sf):
     from stratlas.plans.catalogue import QUERIES
 
