@@ -16,6 +16,8 @@ XYZ = ("x", "y", "z")
 CODES = {"EXACT": 1, "APPROXIMATE": 2, "OTHER_VERSION": 3, "CONTAINED": 4, "CONTAINS": 5, "OVERLAPS": 6, "HOMOLOGOUS": 7}
 VERBS = {1: "coincides with", 2: "approximates to", 3: "is another version of", 4: "is contained in", 5: "contains", 6: "overlaps with", 7: "is homologous to"}
 _INVERSE = {4: 5, 5: 4}
+#: Voxels of uncertainty from which a point is a blob.
+BLOB = 3
 
 COLUMNS = ("input_structure", "centroid", "volume", "fragment", "region", "correlation", "intersection_over_union", "map_value", "map_weighted_mean", "map_containedness", "input_weighted_mean", "input_containedness")
 
@@ -54,11 +56,34 @@ def assign_points(points: DataFrame, table: DataFrame, index: DataFrame, to_voxe
     return _shaped(got, input_structure=F.col(id), centroid=F.array(*XYZ), volume=F.col("volume"), fragment=F.col("fragment"), region=F.col("region"), map_value=F.col("value"))
 
 
-def assign_uncertain(points: DataFrame, table: DataFrame, index: DataFrame, to_voxel: G.Matrix, sigma_voxels: float, id: str = "idx") -> DataFrame:
-    """Points with one uncertainty: each is a Gaussian blob, compared to every region it meets."""
-    kernel = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "ijkw", strict=True)]) for o in G.gaussian_kernel(sigma_voxels)]))
-    blob = V.voxel_of(points, to_voxel).withColumn("k", kernel).select(F.col(id).alias("point"), (F.col("vx") + F.col("k.i")).alias("x"), (F.col("vy") + F.col("k.j")).alias("y"), (F.col("vz") + F.col("k.k")).alias("z"), F.col("k.w").alias("value"))
-    return _compared(blob, "point", table, index)
+def assign_uncertain(points: DataFrame, table: DataFrame, index: DataFrame, to_voxel: G.Matrix, sigma_voxels: float | str, id: str = "idx", threshold: float = 0.0) -> DataFrame:
+    """Points with one uncertainty or (a column's name) one each.
+
+    Below ``BLOB`` voxels a point is read at its voxel, as a certain one; any other
+    is a Gaussian blob, compared to every region it meets, where the threshold is
+    on the intersection over union.  A blob's own sums come from its uncertainty, so
+    it is spread over the map's box only.
+    """
+    p = points.withColumn("_s", F.coalesce(F.col(sigma_voxels) if isinstance(sigma_voxels, str) else F.lit(sigma_voxels), F.lit(0.0)).cast("double"))
+    certain = assign_points(p.filter(F.col("_s") < BLOB), table, index, to_voxel, id, threshold)
+
+    s = F.col("_s")
+    p = V.voxel_of(p.filter(s >= BLOB), to_voxel).withColumn("_r", (3 * s).cast("int"))
+    line = F.transform(F.sequence(-F.col("_r"), F.col("_r")), lambda i: F.exp(-(i * i) / (2 * s * s)))
+    p = p.withColumn("_line", line).withColumns({"_l1": F.aggregate("_line", F.lit(0.0), lambda a, w: a + w), "_l2": F.aggregate("_line", F.lit(0.0), lambda a, w: a + w * w)})
+    side = 2 * F.col("_r") + 1
+    ends = [(F.col("v" + c) + sign * F.col("_r")).alias(f"b_{c}{i}") for c in XYZ for i, sign in enumerate((-1, 1))]
+    own = p.select(F.col(id).alias("q"), F.pow(side, 3).cast("long").alias("n_b"), F.lit(1.0).alias("s_b"), F.pow(F.col("_l2") / (F.col("_l1") * F.col("_l1")), 3).alias("ss_b"), F.pow(F.col("_l1"), -3).alias("max_b"), *ends)
+
+    box = table.filter("value > 0").agg(*[f(c).alias(f"_{c}{i}") for c in XYZ for i, f in enumerate((F.min, F.max))])
+    blob = p.select(F.col(id).alias("point"), *["v" + c for c in XYZ], "_r", "_s", "_l1").join(F.broadcast(box), F.lit(True))
+    for c in XYZ:
+        first, last = F.greatest(F.col("v" + c) - F.col("_r"), F.col(f"_{c}0")), F.least(F.col("v" + c) + F.col("_r"), F.col(f"_{c}1"))
+        blob = blob.withColumn(c, F.explode(F.when(first <= last, F.sequence(first, last))))
+    away = sum(((F.col(c) - F.col("v" + c)) * (F.col(c) - F.col("v" + c)) for c in XYZ), F.lit(0))
+    blob = blob.select("point", *XYZ, (F.exp(-away / (2 * s * s)) / F.pow(F.col("_l1"), 3)).alias("value"))
+    place = p.select(F.col(id).alias("point"), F.array(*[F.col(c).cast("double") for c in XYZ]).alias("centroid"))
+    return certain.union(_compared(blob, "point", table, index, place, own).filter(F.col("intersection_over_union") > threshold))
 
 
 def assign_image(image: DataFrame, table: DataFrame, index: DataFrame, min_voxels: int = 1, connectivity: int = 2) -> DataFrame:
@@ -69,10 +94,11 @@ def assign_image(image: DataFrame, table: DataFrame, index: DataFrame, min_voxel
     return _compared(parts, "component", table, index)
 
 
-def _compared(parts: DataFrame, by: str, table: DataFrame, index: DataFrame) -> DataFrame:
+def _compared(parts: DataFrame, by: str, table: DataFrame, index: DataFrame, place: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     named = with_regions(table, index).select(F.struct("map_id", "volume", "fragment", "region").alias("of"), *XYZ, "value")
-    got = similarity.compare_across(named, parts, "of", by)
-    place = parts.groupBy(by).agg(F.array(*[F.avg(c) for c in XYZ]).alias("centroid"))
+    got = similarity.compare_across(named, parts, "of", by, own)
+    if place is None:
+        place = parts.groupBy(by).agg(F.array(*[F.avg(c) for c in XYZ]).alias("centroid"))
     return _shaped(
         got.join(place, by),
         input_structure=F.col(by),

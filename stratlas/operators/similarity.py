@@ -59,12 +59,14 @@ def compare(pairs: DataFrame, *by: str, size: int | Column | None = None, dense:
     )
 
 
-def compare_across(maps: DataFrame, queries: DataFrame, map_by: str, query_by: str) -> DataFrame:
+def compare_across(maps: DataFrame, queries: DataFrame, map_by: str, query_by: str, own: DataFrame | None = None) -> DataFrame:
     """Scores of every map region with every query component that share a voxel, never their product.
 
     Sums over one image alone come from one aggregation each; sums over both need
     only the voxels they share.  The size is the box of both images, whose upper
     ends count one beyond the last voxel for the query and none for the map.
+    ``own`` has the queries' sums where they are known (q, n_b, s_b, ss_b, max_b and
+    the box's ends b_x0, b_x1, ...); ``queries`` then need no voxels outside the maps.
     """
     m = maps.filter("value > 0").select(F.col(map_by).alias("m"), *XYZ, F.col("value").alias("a"))
     q = queries.filter("value > 0").select(F.col(query_by).alias("q"), *XYZ, F.col("value").alias("b"))
@@ -75,7 +77,7 @@ def compare_across(maps: DataFrame, queries: DataFrame, map_by: str, query_by: s
         )
 
     both = m.join(q, list(XYZ)).groupBy("m", "q").agg(F.count("*").alias("n_both"), F.sum(F.col("a") * F.col("b")).alias("s_ab"))
-    x = both.join(alone(m, "m", "a"), "m").join(alone(q, "q", "b"), "q")
+    x = both.join(alone(m, "m", "a"), "m").join(alone(q, "q", "b") if own is None else own, "q")
     n = F.lit(1.0)
     for c in XYZ:
         n = n * (F.greatest(F.col(f"a_{c}1"), F.col(f"b_{c}1") + 1) - F.least(F.col(f"a_{c}0"), F.col(f"b_{c}0")))

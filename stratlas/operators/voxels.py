@@ -164,15 +164,17 @@ def region_mask(voxels: DataFrame, index: DataFrame, regions: DataFrame, thresho
     return hit.filter(F.col("value") > threshold).select(*XYZ).distinct().withColumn("value", F.lit(1.0))
 
 
-def local_peaks(voxels: DataFrame, distance: int = 1) -> DataFrame:
-    """Voxels that no voxel within the (Chebyshev) distance exceeds; of equal ones the first in x, y, z."""
-    around = voxels.select(*[F.col(c).alias("_" + c) for c in XYZ], F.col("value").alias("_v"))
+def local_peaks(voxels: DataFrame, distance: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Voxels that no voxel of their group within the (Chebyshev) distance exceeds; of equal ones the first in x, y, z."""
+    around = voxels.select(*[F.col(c).alias("g" + c) for c in by], *[F.col(c).alias("_" + c) for c in XYZ], F.col("value").alias("_v"))
     for c in XYZ:
         around = around.withColumn("n" + c, F.explode(F.sequence(F.col("_" + c) - distance, F.col("_" + c) + distance)))
-    best = around.groupBy("nx", "ny", "nz").agg(F.max(F.struct("_v", (-F.col("_x")).alias("i"), (-F.col("_y")).alias("j"), (-F.col("_z")).alias("k"))).alias("b"))
+    best = around.groupBy(*["g" + c for c in by], "nx", "ny", "nz").agg(F.max(F.struct("_v", (-F.col("_x")).alias("i"), (-F.col("_y")).alias("j"), (-F.col("_z")).alias("k"))).alias("b"))
     here = (F.col("x") == F.col("nx")) & (F.col("y") == F.col("ny")) & (F.col("z") == F.col("nz"))
+    for c in by:
+        here = here & F.col(c).eqNullSafe(F.col("g" + c))
     own = (F.col("b")["_v"] == F.col("value")) & (F.col("b")["i"] == -F.col("x")) & (F.col("b")["j"] == -F.col("y")) & (F.col("b")["k"] == -F.col("z"))
-    return voxels.join(best, here).filter(own).select(*XYZ, "value")
+    return voxels.join(best, here).filter(own).select(*by, *XYZ, "value")
 
 
 def draw(voxels: DataFrame, n: int, seed: int = 0) -> DataFrame:

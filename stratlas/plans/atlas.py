@@ -51,10 +51,10 @@ class Atlas:
         below = tree.filter(F.array_contains("path", F.lit(region))).select(F.col("name").alias("region"))
         return voxels.region_mask(self.voxels, self.index, below, threshold)
 
-    def assign(self, points: DataFrame, to_voxel: G.Matrix, sigma_voxels: float | None = None, threshold: float = 0.0) -> DataFrame:
-        """Points, certain or with one uncertainty, to regions."""
+    def assign(self, points: DataFrame, to_voxel: G.Matrix, sigma_voxels: float | str | None = None, threshold: float = 0.0) -> DataFrame:
+        """Points, certain, with one uncertainty or with a column of them, to regions."""
         if sigma_voxels:
-            return assignment.assign_uncertain(points, self.voxels, self.index, to_voxel, sigma_voxels)
+            return assignment.assign_uncertain(points, self.voxels, self.index, to_voxel, sigma_voxels, threshold=threshold)
         return assignment.assign_points(points, self.voxels, self.index, to_voxel, threshold=threshold)
 
     def features(self, catalogue: DataFrame, anchors: DataFrame, concepts: DataFrame, types: str) -> DataFrame:

@@ -149,21 +149,31 @@ def compare_images(spark, sf_dir):
     return rounded(similarity.compare(similarity.paired(voxels.select(g, volume=1), voxels.select(g, volume=2)), size=4096), "n_both")
 
 
-@query(f"""
-WITH {GRID}, m AS (SELECT volume AS region, x, y, z, value AS a FROM grid), q AS (SELECT volume AS part, x, y, z, value AS b FROM grid WHERE volume < 3 AND value > 1),
+def _across(parts: str) -> str:
+    return f"""
+WITH {GRID}, m AS (SELECT volume AS region, x, y, z, value AS a FROM grid), q AS (SELECT volume AS part, x, y, z, value AS b FROM grid{parts}),
 am AS (SELECT region, count(*) AS na, sum(a) AS sa, sum(a * a) AS saa, max(a) AS ma, {', '.join(f'min({c}) AS a{c}0, max({c}) AS a{c}1' for c in 'xyz')} FROM m GROUP BY region),
 aq AS (SELECT part, count(*) AS nb, sum(b) AS sb, sum(b * b) AS sbb, {', '.join(f'min({c}) AS b{c}0, max({c}) AS b{c}1' for c in 'xyz')} FROM q GROUP BY part),
 t AS (SELECT region, part, count(*) AS nab, sum(a * b) AS sab FROM m JOIN q USING (x, y, z) GROUP BY ALL),
 f AS (SELECT *, {' * '.join(f'(greatest(a{c}1, b{c}1 + 1) - least(a{c}0, b{c}0))' for c in 'xyz')} * 1.0 AS n FROM t JOIN am USING (region) JOIN aq USING (part)),
 v AS (SELECT *, sqrt(greatest((saa - sa * sa / n) * (sbb - sb * sb / n), 0)) AS root FROM f)
 SELECT region, part, round(nab / (na + nb - nab), 6) AS iou, round(nab / nb, 6) AS input_contained, round(nab / na, 6) AS map_contained, round(CASE WHEN root > 0 THEN (sab - sa * sb / n) / root ELSE 0 END, 6) AS correlation, round(sab / sb, 6) AS map_weighted_mean, round(sab / sa, 6) AS input_weighted_mean, ma AS map_value FROM v
-""")
+"""
+
+
+@query(_across(" WHERE volume < 3 AND value > 1"))
 def compare_regions_with_parts(spark, sf_dir):
     g = grid(spark, sf_dir)
     q = g.filter("volume < 3 and value > 1").withColumnRenamed("volume", "part")
     return rounded(similarity.compare_across(g.withColumnRenamed("volume", "region"), q, "region", "part"), "region", "part", "map_value")
 
 
+@query(_across(""))
+def compare_regions_with_all_parts(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return rounded(similarity.compare_across(g.withColumnRenamed("volume", "region"), g.withColumnRenamed("volume", "part"), "region", "part"), "region", "part", "map_value")
+
+
 @query("""
 WITH b AS (SELECT l_quantity AS a, l_discount AS b FROM lineitem), e AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM b),
 j AS (SELECT least(floor((a - a0) * 10 / (a1 - a0)), 9) AS i, least(floor((b - b0) * 10 / (b1 - b0)), 9) AS j, count(*) AS n FROM b, e GROUP BY ALL),
@@ -245,6 +255,11 @@ def local_peaks(spark, sf_dir):
     return voxels.local_peaks(voxels.select(grid(spark, sf_dir), volume=0))
 
 
+@query(f"WITH {GRID} SELECT volume, x, y, z, value FROM grid g WHERE NOT EXISTS (SELECT 1 FROM grid h WHERE h.volume = g.volume AND abs(g.x - h.x) <= 1 AND abs(g.y - h.y) <= 1 AND abs(g.z - h.z) <= 1 AND (h.value > g.value OR h.value = g.value AND (h.x, h.y, h.z) < (g.x, g.y, g.z)))")
+def local_peaks_by_volume(spark, sf_dir):
+    return voxels.local_peaks(grid(spark, sf_dir), by=("volume",))
+
+
 @query(f"WITH {CLOUD} SELECT DISTINCT x, y, z FROM (SELECT * FROM cloud WHERE label < 3 UNION ALL SELECT * FROM cloud WHERE label > 1 AND label < 5)")
 def union_points(spark, sf_dir):
     c = cloud(spark, sf_dir)
@@ -380,7 +395,8 @@ def mask_depth(spark, sf_dir):
 @query()
 def assign_uncertain_points(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return assignment.assign_uncertain(cloud(spark, sf_dir).filter("label = 1"), g, index(g), TO_VOXEL, 0.7)
+    p = cloud(spark, sf_dir).withColumn("sigma", (F.col("idx") % 7) / 10.0 * 8)
+    return assignment.assign_uncertain(p, g, index(g), TO_VOXEL, "sigma")
 
 
 @query()

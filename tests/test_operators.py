@@ -218,6 +218,49 @@ def test_assignment_schema(spark):
         assert one(spark, lambda c: assignment.invert(assignment.invert(c)), code, "int") == code
 
 
+def test_uncertain_points_one_by_one(spark):
+    """Each point's own uncertainty decides between reading its voxel and comparing its blob, against sums over whole blobs."""
+    rng = np.random.default_rng(5)
+    cells = {v: {tuple(int(i) for i in rng.integers(0, 12, 3)): float(rng.uniform(0.1, 2)) for _ in range(150)} for v in (0, 1)}
+    voxel = spark.createDataFrame([("m", v, None, *at, a) for v, c in cells.items() for at, a in c.items()], "map_id string, volume int, fragment string, x int, y int, z int, value double")
+    index = spark.createDataFrame([("m", f"r{v}", v, None, None) for v in cells], "map_id string, region string, volume int, fragment string, label double")
+    points = [(i, *(float(c) + 0.2 for c in list(cells[i % 2])[i]), s) for i, s in enumerate([None, 0.0, 0.7, 2.9, 3.0, 3.7, 4.8])] + [(7, 90.0, 9.0, 9.0, 3.5)]
+    p = spark.createDataFrame(points, "idx int, x double, y double, z double, s double")
+    grid = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1]]
+    want = {}
+    for i, *at, s in points:
+        here = tuple(int(c + 0.5) for c in at)
+        for v, c in cells.items():
+            if (s or 0) < 3:
+                want |= {(i, v): (None, None, c[here], None, None, None, None)} if here in c else {}
+                continue
+            b = {tuple(a + d for a, d in zip(here, o, strict=True)): w for *o, w in G.gaussian_kernel(s)}
+            if both := b.keys() & c.keys():
+                n = math.prod(max(max(k[d] for k in c), max(k[d] for k in b) + 1) - min(min(k[d] for k in c), min(k[d] for k in b)) for d in range(3))
+                sab, sa, sb = sum(b[k] * c[k] for k in both), sum(c.values()), sum(b.values())
+                root = math.sqrt((sum(x * x for x in c.values()) - sa * sa / n) * (sum(x * x for x in b.values()) - sb * sb / n))
+                want[i, v] = ((sab - sa * sb / n) / root, len(both) / (len(b) + len(c) - len(both)), max(c.values()), sab / sb, len(both) / len(c), sab / sa, len(both) / len(b))
+    got = assignment.assign_uncertain(p, voxel, index, grid, "s").collect()
+    assert {(r.input_structure, r.volume) for r in got} == set(want) and len(got) == len(want) and len(want) > 9
+    for r in got:
+        assert tuple(r)[5:] == pytest.approx(want[r.input_structure, r.volume]) and tuple(r.centroid) == points[r.input_structure][1:4]
+    high = assignment.assign_uncertain(p, voxel, index, grid, "s", threshold=0.05).collect()
+    assert {(r.input_structure, r.volume) for r in high} == {k for k, w in want.items() if (w[2] if w[1] is None else w[1]) > 0.05}
+
+
+def test_uncertain_points_of_all_labels(spark, sf):
+    from stratlas.plans import spatial
+
+    cells = {(r.volume, r.x, r.y, r.z) for r in spatial.grid(spark, sf).collect()}
+    want = set()
+    for p in spatial.cloud(spark, sf).collect():
+        at, s = [int(c * 8 + 8 + 0.5) for c in (p.x, p.y, p.z)], (p.idx % 7) / 10 * 8
+        r = int(3 * s) if s >= 3 else 0
+        want |= {(p.idx, v) for v, *c in cells if all(abs(a - b) <= r for a, b in zip(at, c, strict=True))}
+    got = [(r.input_structure, r.volume) for r in spatial.assign_uncertain_points(spark, sf).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_plane_cut_of_a_tetrahedron(spark):
     verts = spark.createDataFrame([("m", 0, 0.0, 0.0, 0.0), ("m", 1, 1.0, 0.0, 0.0), ("m", 2, 0.0, 1.0, 0.0), ("m", 3, 0.0, 0.0, 1.0)], "mesh string, vid int, x double, y double, z double")
     faces = spark.createDataFrame([("m", i, *f) for i, f in enumerate(itertools.combinations(range(4), 3))], "mesh string, fid int, v0 int, v1 int, v2 int")
