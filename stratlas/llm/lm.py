@@ -8,14 +8,16 @@ number of different successors); symbol exclusion takes a context's successors
 out of the next shorter context, whose successors are a superset, so the
 remaining total is one number per context and every code length is a lookup.
 
-Bounds.  The model goes to the executors in parts of about ``MODEL_ROWS`` windows.
-A part holds all windows whose context ends with certain pairs of bytes, so with
-the small tables of orders 0 and 1 it holds the whole way from a context to its
-shorter ones, and the score is the sum over parts.  One part is the common case;
-each further part is one more pass over the rows, without a shuffle, and the
-model is the same at every size.  Of the word counts only words with at least 1/``HEAVY`` of
-all tokens are sent (never more than ``HEAVY`` words); occurrences of all other
-words are joined by shuffle, and these are the words that can't be skewed.
+The model never leaves the executors.  It is dealt into parts of about
+``PART_ROWS`` windows by the last three bytes of the context, so a part holds all
+windows of each of its contexts of three bytes or more; shorter ones come from
+the table of three-byte windows, which is broadcast (at most 2^24 rows, some
+hundred thousand in text).  Texts are dealt into groups of about ``GROUP_BYTES``.
+A group asks each part once for its different windows, the parts answer with
+code lengths, and the group adds them up by text; word counts travel the same
+way.  So a task holds one part with the windows asked of it, or one group with
+its answers (or the longest single text).  With very many groups a part is
+copied for every few thousand of them, so a common context is no hot key.
 
 Defined cases: a null text is empty (one end token); a null id counts as the
 empty id text, which trains; rows that repeat score alike; without training rows
@@ -29,16 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratlas.llm.textops import _LOWER, SPACE_WORD, Words, cut, for_python, mix, slices
+from stratlas.llm.textops import _LOWER, SPACE_WORD, Words, cut, for_python, slices
 
 DEPTH = 5
-MODEL_ROWS = 1 << 22
-HEAVY = 1 << 19
+#: Windows (or words) of the model in one part, and windows asked of one copy of a part.
+PART_ROWS, ASKED_ROWS = 1 << 17, 1 << 22
+#: Bytes of text in one group, and the fewest groups.
+GROUP_BYTES, LEAST_GROUPS = 16 << 20, 32
+#: Texts are counted in slices of so many bytes.
+_COUNT_BYTES = 4 << 20
 END, START = 0xFF, 0xFE
 _END_TOKEN = np.uint64(0x6A09E667F3BCC909)
 _U = np.uint64
@@ -78,7 +84,7 @@ class Index:
 class PPM:
     """Log10 probabilities of bytes after contexts of up to ``depth`` bytes; of a part, for its windows only.
 
-    ``low`` has the counts of all windows of two bytes.
+    ``low`` has the counts of all windows of as many bytes as deal the parts.
     """
 
     def __init__(self, windows: np.ndarray, counts: np.ndarray, depth: int, low: tuple[np.ndarray, np.ndarray]):
@@ -86,7 +92,7 @@ class PPM:
         self.grams, self.n, self.contexts, self.total, self.kinds, self.rest, self.rest_kinds = [], [], [], [], [], [], []
         below: tuple[np.ndarray, np.ndarray] | None = None
         for k in range(depth + 1):
-            source, weight = (windows, counts) if k > 1 else low
+            source, weight = (windows, counts) if k >= _shared(depth) else low
             key = source & _U((1 << 8 * (k + 1)) - 1)
             gram, inverse = np.unique(key, return_inverse=True)
             n = np.bincount(inverse, weight, len(gram))
@@ -177,9 +183,11 @@ def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counter(depth: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, at in slices(batch, "text", 1 << 20):
+            for _, data, at in slices(batch, "text", _COUNT_BYTES):
                 for kind, keys in ((0, _tokens(data, at)[0]), (1, byte_windows(data, at, depth)[0])):
-                    key, n = np.unique(keys, return_counts=True)
+                    keys.sort()
+                    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                    key, n = keys[first], np.diff(np.append(first, len(keys)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
     return count
@@ -190,80 +198,124 @@ def corpus_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return cut(texts.select("text").mapInArrow(_counter(depth), "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.select("key", "n").toArrow()
-    return t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
-
-
-def _part_of(windows: np.ndarray, parts: int) -> np.ndarray:
-    """The part that holds a window: by the two bytes before its last one."""
-    pair = (windows >> _U(8)) & _U(0xFFFF)
-    return ((pair * _U(40503)) & _U(0xFFFF)) * _U(parts) >> _U(16)
-
-
-def byte_models(counts: DataFrame, depth: int, rows: int) -> Iterator[PPM]:
-    """The model in parts of about ``rows`` windows, one after the other."""
-    grams = counts.filter("kind = 1").select("key", "n")
-    parts = max(1, -(-grams.count() // rows))
-    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    part = F.shiftright((pair * 40503).bitwiseAND(F.lit(0xFFFF)) * parts, 16)
-    low = _arrays(grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")))
-    for i in range(parts):
-        key, n = _arrays(grams.filter(part == i) if parts > 1 else grams)
-        order = np.argsort(key)
-        yield PPM(key[order], n[order], depth, low)
-
-
-def _row_scores(ppm: PPM, window: np.ndarray, first: np.ndarray, part: int, parts: int) -> np.ndarray:
-    """What the windows of one part add to the score of each row."""
-    if parts == 1:
-        return np.add.reduceat(ppm.log10(window), first[:-1])
-    out = np.zeros(len(window))
-    own = np.flatnonzero(_part_of(window, parts) == part)
-    out[own] = ppm.log10(window[own])
-    return np.add.reduceat(out, first[:-1])
-
-
-def _adder(model: Broadcast, part: int, parts: int):
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm = model.value
-        for batch in batches:
+def _shared(depth: int) -> int:
+    """How many bytes of a context say which part it is in."""
+    return min(3, depth)
+
+
+def _part_of(kind: int, keys: np.ndarray, depth: int, parts: tuple[int, int]) -> np.ndarray:
+    """The part that holds a word (kind 0) or a byte window (1); parts: how many of each."""
+    if kind == 0:
+        return ((keys >> _U(40)) * _U(parts[0])) >> _U(24)
+    context = (keys >> _U(8)) & _U((1 << 8 * _shared(depth)) - 1)
+    return _U(parts[0]) + (((context * _U(10368889)) & _U(0xFFFFFF)) * _U(parts[1]) >> _U(24))
+
+
+def _part_column(depth: int, parts: tuple[int, int]) -> Column:
+    """``_part_of`` for the rows of the counts."""
+    word = F.shiftrightunsigned(F.shiftrightunsigned("key", 40) * parts[0], 24)
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * _shared(depth)) - 1))
+    window = parts[0] + F.shiftrightunsigned((context * 10368889).bitwiseAND(F.lit(0xFFFFFF)) * parts[1], 24)
+    return F.when(F.col("kind") == 0, word).otherwise(window)
+
+
+def _distinct(arrays: list[np.ndarray]) -> np.ndarray:
+    """The different values of sorted arrays, sorted."""
+    x = np.concatenate([np.zeros(0, np.uint64), *arrays])
+    x.sort(kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of eight or four bytes, compressed byte by byte; sorted keys as differences."""
+    if x.dtype == np.uint64:
+        x = np.diff(x, prepend=_U(0))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: pa.Buffer, dtype) -> np.ndarray:
+    n, width = int.from_bytes(raw[:8].to_pybytes(), "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], n * width, codec="zstd"), np.uint8).reshape(width, n)
+    x = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(x, dtype=np.uint64) if dtype == np.uint64 else x
+
+
+def _unpacked(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    return [np.zeros(0, dtype), *[_unpack(x.as_buffer(), dtype) for x in column]]
+
+
+def _asker(depth: int, parts: tuple[int, int], copies: int):
+    def ask(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        group = key[0].as_py()
+        seen: tuple[list, list] = [], []
+        for batch in texts.to_batches():
+            for _, data, at in slices(batch, "text"):
+                for found, keys in zip(seen, (_tokens(data, at)[0], byte_windows(data, at, depth)[0]), strict=True):
+                    keys.sort()
+                    found.append(_distinct([keys]))
+        part_of, packed = [], []
+        for kind, found in enumerate(seen):
+            keys = _distinct(found)
+            part = _part_of(kind, keys, depth, parts)
+            order = np.argsort(part, kind="stable")
+            names, first = np.unique(part[order], return_index=True)
+            part_of.extend(names.tolist())
+            packed.extend(map(_pack, np.split(keys[order], first[1:])))
+        n = len(part_of)
+        return pa.table({"part": pa.array(part_of, pa.int64()), "copy": pa.array([group % copies] * n, pa.int64()), "group": pa.array([group] * n, pa.int64()), "keys": pa.array(packed, pa.binary())})
+
+    return ask
+
+
+def _answerer(depth: int, parts: tuple[int, int], low: tuple[np.ndarray, np.ndarray]):
+    def answer(key: tuple[pa.Scalar, ...], model: pa.Table, asked: pa.Table) -> pa.Table:
+        words = key[0].as_py() < parts[0]
+        known, n = model.column("key").to_numpy().view(np.uint64), model.column("n").to_numpy()
+        order = np.argsort(known)
+        known, n = known[order], n[order]
+        asked_keys = _unpacked(asked.column("keys"), np.uint64)
+        keys = np.concatenate(asked_keys)
+        if words:
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            values = np.log10(np.where(known[at] == keys, n[at], 0) + 1.0) if len(known) else np.zeros(len(keys))
+        else:
+            values = PPM(known, n, depth, low).log10(keys).astype(np.float32)
+        ends = np.cumsum([len(x) for x in asked_keys])
+        answers = [_pack(x) for x in np.split(values, ends[:-1])[1:]]
+        return pa.table({"group": asked.column("group"), "words": pa.array([words] * len(answers), pa.bool_()), "keys": asked.column("keys"), "values": pa.array(answers, pa.binary())})
+
+    return answer
+
+
+def _scorer(depth: int):
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        tables = []
+        for words, dtype in ((True, np.float64), (False, np.float32)):
+            own = answers.filter(pa.compute.equal(answers.column("words"), words))
+            index = Index(np.concatenate(_unpacked(own.column("keys"), np.uint64)))
+            tables.append((index, np.concatenate(_unpacked(own.column("values"), dtype))[index.order]))
+        (word_index, word_values), (window_index, window_values) = tables
+        out = []
+        for batch in texts.to_batches():
             for rows, data, at in slices(batch, "text"):
-                more = _row_scores(ppm, *byte_windows(data, at, ppm.depth), part, parts)
-                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("text"), pa.array(more + rows.column("more").to_numpy())], ["id", "text", "more"])
-
-    return add
-
-
-def _scorer(model: Broadcast, words: Broadcast, parts: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, (heavy, known) = model.value, words.value
-        for batch in batches:
-            for part, data, at in slices(batch, "text"):
-                window, first = byte_windows(data, at, ppm.depth)
-                bits = _row_scores(ppm, window, first, 0, parts) + part.column("more").to_numpy()
+                window, first = byte_windows(data, at, depth)
                 token, start = _tokens(data, at)
-                find = heavy.find(token)
-                common = find >= 0
-                log = np.where(common, known[find] if len(known) else 0.0, 0.0)
-                row = np.repeat(np.arange(len(at) - 1), np.diff(start))
-                rare = token[~common]
-                ends = np.zeros(len(at), np.int32)
-                np.cumsum(np.bincount(row[~common], minlength=len(at) - 1), out=ends[1:])
-                whole = np.add.reduceat(mix(token + mix(np.arange(len(token), dtype=np.uint64) - start[row].astype(np.uint64))), start[:-1])
-                fold = np.add.reduceat(mix(window ^ mix(np.arange(len(window), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64))), first[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"),
-                        pa.array(mix(whole ^ fold).view(np.int64)),
-                        pa.array(np.diff(start)),
-                        pa.array(np.bincount(row, common, len(at) - 1).astype(np.int64)),
-                        pa.array(np.bincount(row, log, len(at) - 1)),
-                        pa.array(bits),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(rare.view(np.int64))),
-                    ],
-                    ["id", "same", "n_tokens", "common", "log", "score", "rare"],
+                logs = word_values[word_index.find(token)]
+                out.append(
+                    pa.table(
+                        {
+                            "id": rows.column("id"),
+                            "n_tokens": pa.array(np.diff(start)),
+                            "n_known": pa.array(np.add.reduceat((logs > 0).astype(np.int64), start[:-1])),
+                            "log": pa.array(np.add.reduceat(logs, start[:-1])),
+                            "score": pa.array(np.add.reduceat(window_values[window_index.find(window)].astype(np.float64), first[:-1])),
+                        }
+                    )
                 )
+        if not out:
+            return pa.table({"id": texts.column("id"), **{c: pa.array([], t) for c, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log", pa.float64()), ("score", pa.float64()))}})
+        return pa.concat_tables(out)
 
     return score
 
@@ -272,31 +324,24 @@ def held_out(id: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def score_documents(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str = "text", depth: int = DEPTH, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """Per row of ``docs``: tokens, known tokens, unigram score and the byte model's score (both log10), learnt from ``train``.
-
-    Rows with one text share the sums of their rare words, which are joined by
-    the text's 64-bit fingerprint.
-    """
+def score_documents(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str = "text", depth: int = DEPTH, part_rows: int = PART_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Per row of ``docs``: tokens, known tokens, unigram score and the byte model's score (both log10), learnt from ``train``."""
     counts = corpus_counts(for_python(train).select(F.col(f"`{text}`").alias("text")), depth)
-    words = counts.filter("kind = 0")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    key, n = _arrays(words.filter(F.col("n") * F.lit(HEAVY) >= F.lit(total)))
-    heavy = Index(key)
-    known = np.log10(n[heavy.order] + 1.0)
-    heavy.order = None
-    send = docs.sparkSession.sparkContext.broadcast
-    models = [send(m) for m in byte_models(counts, depth, model_rows)]
-
-    raw = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.lit(0.0).alias("more"))
+    found = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    total, kinds = (found[0]["n"], found[0]["rows"]) if 0 in found else (0, 0)
+    parts = tuple(max(1, -(-(found[k]["rows"] if k in found else 0) // part_rows)) for k in (0, 1))
+    ends = counts.filter("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * _shared(depth)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    low = ends.column("key").to_numpy().view(np.uint64), ends.column("n").to_numpy()
+
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`")) + 1), F.lit(0))).first()[0]
+    groups = max(LEAST_GROUPS, -(-size // group_bytes))
+    copies = max(1, -(-size // (16 * ASKED_ROWS * sum(parts))))
+    raw = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    texts = raw.select(F.pmod(F.xxhash64("id", "text"), F.lit(groups)).alias("group"), "id", "text")
+    asked = texts.groupBy("group").applyInArrow(_asker(depth, parts, copies), "part long, copy long, group long, keys binary")
+    model = counts.select(_part_column(depth, parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), "key", "n")
+    answers = model.groupBy("part", "copy").cogroup(asked.groupBy("part", "copy")).applyInArrow(_answerer(depth, parts, low), "group long, words boolean, keys binary, values binary")
     kind = raw.schema["id"].dataType.simpleString()
-    for i, model in enumerate(models[1:], 1):
-        raw = raw.mapInArrow(_adder(model, i, len(models)), f"id {kind}, text string, more double")
-    scored = cut(raw.mapInArrow(_scorer(models[0], send((heavy, known)), len(models)), f"id {kind}, same long, n_tokens long, common long, log double, score double, rare array<long>"))
-    rare = scored.select("same", F.explode("rare").alias("key")).join(words.select("key", F.col("n").alias("c")), "key")
-    rows = scored.groupBy("same").agg(F.count("*").alias("rows"))
-    sums = rare.groupBy("same").agg(F.count("*").alias("hits"), F.sum(F.log10(F.col("c") + 1)).alias("sum"))
-    sums = rows.join(sums, "same").select("same", (F.col("hits") / F.col("rows")).cast("long").alias("hits"), (F.col("sum") / F.col("rows")).alias("sum"))
-    out = scored.drop("rare").join(sums, "same", "left")
-    base = F.col("log") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
-    return out.select(F.col("id").alias(id), "n_tokens", (F.col("common") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    out = texts.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_scorer(depth), f"id {kind}, n_tokens long, n_known long, log double, score double")
+    base = F.col("log") - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
+    return out.select(F.col("id").alias(id), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

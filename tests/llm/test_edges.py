@@ -231,5 +231,5 @@ def test_articles_behind_raw_elements(spark):
 def test_scoring_in_parts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id"))).select("doc_id", F.round("score", 3).alias("score")).collect()}
-    got = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id")), model_rows=9_000).select("doc_id", F.round("score", 3).alias("score")).collect()}
+    got = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id")), part_rows=2_000, group_bytes=20_000).select("doc_id", F.round("score", 3).alias("score")).collect()}
     assert len(got) == len(want) and len(got - want) <= 2
