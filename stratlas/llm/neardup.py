@@ -8,19 +8,25 @@
    the bucket's smallest id (a star, not all pairs), pairs are confirmed on the
    full sets, and components are formed.
 4. Only pairs of one bucket whose ends are still in different components remain.
-   All of them are looked at, in blocks: members of a bucket meet in groups of at
-   most ``2 * BLOCK``, where one matrix product gives all intersections of their
-   sketches, and only pairs that pass leave the group, to be confirmed like the
-   others.  So no link found by the bands is lost and no list of pairs is made.
+   All of them are looked at, in blocks: members of a bucket meet in groups of
+   about ``2 * BLOCK`` at most, where one matrix product gives all intersections of
+   their whole sets in 32-bit values.  What two shingles of one set may have lost
+   to an equal value is added to the intersection, so the bound is exact and no
+   link found by the bands is lost.  Only pairs that pass leave the group, to be
+   confirmed like the others, so no list of pairs is made.
 5. Components are contracted by alternating large-star and small-star.
 
+A bucket or pivot with more than ``HOT`` rows is dealt over several tasks: the
+hash slots of hot keys (a table of at most ``SLOTS`` rows, broadcast) say how many
+copies of the small side are made, and each row of the large side picks one.
+
 With 42 bands of 7 rows a pair at exactly 0.8 similarity meets in a bucket with
 probability 1 - 5e-5, at 0.85 with 1 - 6e-8.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is
 kept; a null id has no component and is kept; rows that share an id are one node
-of the graph; ids are integers; an empty table gives an empty result; other
-columns are not read.
+of the graph and stay or go together; ids that aren't integers are refused; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,16 +38,17 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratlas.llm.textops import SPACE_WORD, Words, cut, for_python, mix, slices, windows
+from stratlas.llm.textops import SPACE_WORD, Words, cut, for_python, fresh, mix, slices, windows
 
 BANDS, ROWS = 42, 7
 #: Up to so many ids (16 bytes each) are sent to all executors; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 256
-#: Shingles that a sketch keeps whole.
-SKETCH = 512
+#: Members of a bucket, and their shingles together, that are compared with as many others at once.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Rows of one join key in one task, and hash slots that tell hot keys from others.
+HOT, SLOTS = 256, 1 << 16
 _U = np.uint64
 
 
@@ -127,48 +134,37 @@ def _confirmer(percent: int):
     return confirm
 
 
-def _sketch(grams: bytes) -> np.ndarray:
-    """The set in 32-bit values: whole up to ``SKETCH`` shingles, else those whose low t bits are zero, about ``SKETCH`` at most."""
-    x = mix(np.frombuffer(grams, np.uint64) ^ _U(0x5BD1E995)).astype(np.uint32)
-    t = _level(len(x))
-    return np.unique(x[(x & np.uint32((1 << t) - 1)) == 0])
-
-
-def _level(n: int) -> int:
-    return max(0, int(np.ceil(np.log2(max(n, 1) / SKETCH))))
-
-
 def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set in different 32-bit values."""
     for batch in batches:
-        raw = [_sketch(x.as_buffer()).tobytes() for x in batch.column("grams")]
+        raw = [np.unique(mix(np.frombuffer(x.as_buffer(), np.uint64) ^ _U(0x5BD1E995)).astype(np.uint32)).tobytes() for x in batch.column("grams")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["rep", "sketch"])
 
 
 def _alike(n: np.ndarray, parts: list[np.ndarray], allowed: np.ndarray, percent: int) -> np.ndarray:
-    """Which allowed pairs of a group may be similar enough; exact for whole sketches, else within 4.5 deviations."""
-    level = np.array([_level(int(x)) for x in n])
+    """Which allowed pairs of a group may be similar enough; none that is gets lost. n: sizes of the sets, parts: their values."""
+    some = np.flatnonzero(allowed.any(0) | allowed.any(1))
+    size = np.array([len(parts[i]) for i in some])
+    lost = n[some] - size
+    values, row = np.concatenate([parts[i] for i in some]), np.repeat(np.arange(len(some)), size)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    new = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(new) - 1
+    # A value that one set has alone is in no intersection.
+    shared = np.bincount(column) > 1
+    column = (np.cumsum(shared) - 1)[column[keep := shared[column]]]
+    row = row[keep]
+    both = np.zeros((len(some), len(some)), np.float32)
+    for c in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(column, [c, c + 2048])
+        m = np.zeros((len(some), min(2048, int(shared.sum()) - c)), np.float32)
+        m[row[lo:hi], column[lo:hi] - c] = 1
+        both += m @ m.T
+    most = np.minimum(both + np.minimum.outer(lost, lost), np.minimum.outer(n[some], n[some]))
     good = np.zeros(allowed.shape, bool)
-    for t in np.unique(level):
-        at = np.flatnonzero(level <= t)
-        want = allowed[np.ix_(at, at)] & (np.maximum.outer(level[at], level[at]) == t)
-        if not want.any():
-            continue
-        kept = [parts[i][(parts[i] & np.uint32((1 << int(t)) - 1)) == 0] for i in at]
-        size = np.array([len(x) for x in kept])
-        row = np.repeat(np.arange(len(at)), size)
-        universe, column = np.unique(np.concatenate(kept), return_inverse=True)
-        both = np.zeros((len(at), len(at)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for c in range(0, len(universe), 2048):
-            lo, hi = np.searchsorted(column, [c, c + 2048])
-            m = np.zeros((len(at), min(2048, len(universe) - c)), np.float32)
-            m[row[lo:hi], column[lo:hi] - c] = 1
-            both += m @ m.T
-        union = np.maximum(size[:, None] + size[None, :] - both, 1)
-        slack = 0.0 if t == 0 else 4.5 * np.sqrt(0.25 / union)
-        good[np.ix_(at, at)] |= want & (both >= (percent / 100 - slack) * union - 1e-3)
-    return good
+    good[np.ix_(some, some)] = 100 * most >= percent * (n[some][:, None] + n[some][None, :] - most) - 1e-3
+    return good & allowed
 
 
 def _blocks(percent: int):
@@ -191,20 +187,44 @@ def _blocks(percent: int):
     return compare
 
 
-def alike_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def hot_slots(counts: DataFrame, key: str) -> DataFrame:
+    """(slot, parts) of the hash slots of keys that have more than ``HOT`` rows, by (key, rows): at most ``SLOTS`` rows."""
+    hot = counts.filter(F.col("rows") > HOT).groupBy(F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("slot"))
+    return F.broadcast(cut(hot.agg(F.ceil(F.max("rows") / HOT).cast("int").alias("parts"))))
+
+
+def _slotted(df: DataFrame, slots: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(SLOTS))).join(slots, "slot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def dealt(df: DataFrame, slots: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows of the large side with ``salt``, by the hash of a column."""
+    return _slotted(df, slots, key).withColumn("salt", F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).drop("slot", "parts")
+
+
+def copied(df: DataFrame, slots: DataFrame, key: str) -> DataFrame:
+    """Rows of the small side, once for each ``salt``."""
+    return _slotted(df, slots, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("slot", "parts")
+
+
+def alike_across(members: DataFrame, sets: DataFrame, percent: int, slots: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket (key, rep, n, c) but different components c that may be similar enough."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    x = members.join(sizes, "key").join(sets.mapInArrow(_sketcher, "rep long, sketch binary"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("key").agg(blocks.alias("blocks"))
+    x = dealt(members, slots, "key", "rep").join(copied(sizes, slots, "key"), ["key", "salt"]).join(sets.mapInArrow(_sketcher, "rep long, sketch binary"), "rep")
     x = x.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = x.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "n", "c", "block", "sketch")).alias("m"))
     return groups.filter(F.size("m") > 1).select("i", "j", "m").mapInArrow(_blocks(percent), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_confirmer(percent), "a long, b long")
+    """The pairs (a, b) whose full sets are similar enough; an id that stands in very many pairs is dealt over several tasks."""
+    ends = (("a", "b"), ("b", "a"))
+    slots = [hot_slots(pairs.groupBy(end).agg(F.count("*").alias("rows")), end) for end, _ in ends]
+    for (end, other), hot in zip(ends, slots, strict=True):
+        right = copied(sets.select(F.col("id").alias(end), F.col("grams").alias("g" + end)), hot, end)
+        pairs = dealt(pairs, hot, end, other).join(right, [end, "salt"]).drop("salt")
+    return pairs.select("a", "b", "ga", "gb").mapInArrow(_confirmer(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,13 +253,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per row of ``docs``."""
+    if not isinstance(docs.schema[id].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id} is {docs.schema[id].dataType.simpleString()}; ids are integers")
     raw = for_python(docs).select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = cut(raw.mapInArrow(_signer(shingle, bands, rows), "id long, n long, d1 long, d2 long, keys array<long>"))
     classes = signed.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("rep"))
     classes = cut(classes)
     banded = classes.select("rep", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).filter("members > 1")
-    members = cut(banded.join(shared.select("key", "pivot"), "key"))
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("rows"), F.min("rep").alias("pivot")).filter("rows > 1"))
+    slots = hot_slots(shared, "key")
+    members = cut(dealt(banded, slots, "key", "rep").join(copied(shared.select("key", "pivot"), slots, "key"), ["key", "salt"]).drop("salt"))
     ids = cut(members.select(F.col("rep").alias("id")).distinct())
     found = ids.count()
     wanted = F.broadcast(ids) if found <= BROADCAST_IDS else ids
@@ -248,13 +271,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
     near = "100 * least(n, n2) >= {0} * greatest(n, n2)".format(percent)
     size = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("n2"))
     stars = members.filter("rep <> pivot").select("rep", "pivot", "n").distinct().join(size, "pivot").filter(near)
-    edges = cut(confirmed(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), sets, percent))
+    stars = cut(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    edges = cut(confirmed(stars, sets, percent))
     label = components(edges)
 
     placed = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = cut(placed.join(mixed, "key"))
-    more = cut(confirmed(alike_across(open_, sets, percent), sets, percent))
+    open_ = cut(dealt(placed, slots, "key", "rep").join(copied(mixed, slots, "key"), ["key", "salt"]).drop("salt"))
+    more = cut(confirmed(cut(alike_across(open_, sets, percent, slots)), sets, percent))
     if not more.isEmpty():
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
@@ -265,7 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
+def deduplicate(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` but those of near-duplicates whose class keeps a smaller id."""
-    gone = near_duplicates(docs, **how).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = fresh(docs.columns, "gone")
+    gone = near_duplicates(docs, id=id, **how).filter("not kept").select(F.col(id).alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id}`") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
