@@ -3,7 +3,8 @@
 The words of a slice of texts are hashed at once; texts without any gate word are
 done.  On the others only rules whose gate word is there run, on the words joined
 by spaces.  Detections are taken by priority, then length, then rule order, and
-one that lies within a taken one is suppressed.  The base phrases are counted
+one that lies within a taken one is suppressed; a tree of running maxima over
+first words answers that in logarithmic time.  The base phrases are counted
 apart, wherever they stand.
 
 A word here is a run of ASCII letters, digits and any character over U+007F, so a
@@ -40,6 +41,37 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM_WORD).hashes()
 
 
+class Furthest:
+    """The furthest last word of all spans added so far that begin at or before a word (a binary indexed tree)."""
+
+    def __init__(self, firsts: set[int]):
+        self.firsts = sorted(firsts)
+        self.most = [-1] * (len(self.firsts) + 1)
+
+    def add(self, first: int, last: int) -> None:
+        i = bisect_right(self.firsts, first)
+        while i < len(self.most):
+            self.most[i] = max(self.most[i], last)
+            i += i & -i
+
+    def until(self, first: int) -> int:
+        i, most = bisect_right(self.firsts, first), -1
+        while i:
+            most = max(most, self.most[i])
+            i -= i & -i
+        return most
+
+
+def suppress(found: list[tuple[tuple[int, int, int, int], tuple]]) -> list[tuple]:
+    """Of (rank, span) the spans that lie within no span of a lower rank, in text order; spans are (label, first, last, priority)."""
+    taken, reach = [], Furthest({span[1] for _, span in found})
+    for _, span in sorted(found, key=lambda x: x[0]):
+        if reach.until(span[1]) < span[2]:
+            taken.append(span)
+            reach.add(span[1], span[2])
+    return sorted(taken, key=lambda s: (s[1], s[2], s[0]))
+
+
 def detect(text: str, starts: list[int], gates: set[str], by_gate: dict[str, list[tuple[int, Signature]]]) -> tuple[list, list]:
     """Base places and unsuppressed detections of one normalised text; starts: where each word begins."""
     base, found = [], []
@@ -56,16 +88,12 @@ def detect(text: str, starts: list[int], gates: set[str], by_gate: dict[str, lis
             version = next((g for g in m.groups() if g), "") if m.re.groups else ""
             version = re.sub("(?<=[a-z]) ", "-", version).replace(" ", ".")
             label = rule.label.replace("-{v}", f"-{version}" if version else "")
-            span = {"label": label, "first": first, "last": last, "priority": rule.priority}
+            span = (label, first, last, rule.priority)
             if rule.base:
                 base.append(span)
             else:
-                found.append((-rule.priority, first - last, order, first, span))
-    taken: list[dict] = []
-    for *_, span in sorted(found, key=lambda x: x[:4]):
-        if not any(t["first"] <= span["first"] and span["last"] <= t["last"] for t in taken):
-            taken.append(span)
-    return base, sorted(taken, key=lambda s: (s["first"], s["last"], s["label"]))
+                found.append(((-rule.priority, first - last, order, first), span))
+    return base, suppress(found)
 
 
 def _scanner(text: str, keep: list[str], result: str):
@@ -81,7 +109,7 @@ def _scanner(text: str, keep: list[str], result: str):
                 h = words.hashes()
                 slot = np.minimum(np.searchsorted(hashes[order], h), len(order) - 1)
                 held = np.flatnonzero(hashes[order][slot] == h)
-                out: list[dict] = [{"n_words": n, "base": [], "found": []} for n in words.count.tolist()]
+                out: list[tuple] = [(n, (), ()) for n in words.count.tolist()]
                 there: dict[int, set[str]] = {}
                 for r, g in zip(words.row[held].tolist(), order[slot[held]].tolist(), strict=True):
                     there.setdefault(r, set()).add(gates[g])
@@ -89,7 +117,7 @@ def _scanner(text: str, keep: list[str], result: str):
                     a, b = int(words.first[r]), int(words.first[r + 1])
                     tokens = [words.data[s:e].tobytes().decode() for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)]
                     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])[:-1]]).astype(int).tolist()
-                    out[r]["base"], out[r]["found"] = detect(" ".join(tokens), starts, names, by_gate)
+                    out[r] = (b - a, *detect(" ".join(tokens), starts, names, by_gate))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(out, _ARROW)], [*keep, result])
 
     return scan
