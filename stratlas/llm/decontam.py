@@ -7,9 +7,10 @@ that block ends at the present position.  Where the shift is zero, the windows
 in the bucket of that suffix are compared word by word, and then byte by byte.
 The text moves through the tables in lanes, all lanes of a slice at once.
 
-The windows travel to the tasks in blocks of at most ``BLOCK_WINDOWS``; a larger
-test set is searched in more passes over the rows, each holding one block, and
-no pass shuffles.
+The windows travel to the tasks in blocks of about ``BLOCK_WINDOWS``.  A larger
+test set is searched in more passes over the rows: the next block is only made
+when the pass before has been written to the shared checkpoint folder, so driver
+and tasks hold one block at a time.  No pass shuffles.
 
 Defined cases: a null or empty text has no words and is not hit; an item with no
 words is ignored, a null item id is written as an empty string; equal windows of
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratlas.llm.textops import ALNUM_WORD, Words, for_python, fresh, mix, slices
+from stratlas.llm.textops import ALNUM_WORD, Words, cut, for_python, fresh, mix, slices
 
 WINDOW = 13
 #: About 25 MB of word hashes, shift tables and texts.
@@ -179,11 +180,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     out = for_python(docs).select(*[F.col(f"`{c}`") for c in carried])
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).distinct()
     found = blocks(((r["i"], r["t"]) for r in rows.sort("i", "t").toLocalIterator()), window)
-    before: str | None = None
-    for groups in [next(found, []), *found]:
-        fields = [out.schema[c] for c in carried]
-        out = out.mapInArrow(_scanner(groups, text, carried, result, before), T.StructType([*fields, T.StructField(result, RESULT)]))
-        before = result
+    schema = T.StructType([*[out.schema[c] for c in carried], T.StructField(result, RESULT)])
+    out = out.mapInArrow(_scanner(next(found, []), text, carried, result, None), schema)
+    for groups in found:
+        out = cut(out).mapInArrow(_scanner(groups, text, carried, result, result), schema)
     return out.select(*[F.col(f"`{c}`") for c in keep], result), result
 
 
