@@ -10,8 +10,12 @@ cut within itself.  The metadata are by default such that copies of one text sha
 them; a cut goes round a cell of few texts, and only through one that holds over
 1/128 of the side's bytes, so copies stay together unless they are that many.
 
-Bounds: the driver runs one job per tree level; tables of a level have a row per
-node and are broadcast while they number at most ``BROADCAST_NODES``.
+Bounds: the driver runs a few jobs per tree level and knows only how many levels
+there are; tables of a level have a row per node and are broadcast while they
+number at most ``BROADCAST_NODES``.  While the tree is built, each level's keys
+are written with their node, so a level reads the one before and not the path
+from the root.  A shard's bytes differ from an even share by 1/128 of it for each
+level at most, or by half of the largest document if that is more.
 
 Defined cases: a null text has no bytes; nulls in metadata are a coordinate of
 their own; rows that repeat get different slots; an empty table gives an empty
@@ -20,7 +24,8 @@ result; other columns are carried and not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratlas.llm.textops import cut, fresh
@@ -51,11 +56,13 @@ def _root():
     return F.least(F.lit(0), F.col("size")).cast("int")
 
 
-def _descend(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Each row's node (its first shard) after the given levels; rows have lo and k (the keys of all dimensions)."""
-    for level in levels:
-        rows = rows.join(level, "lo", "left").withColumn("lo", F.when(F.get("k", F.col("dim")) > F.col("at"), F.col("right")).otherwise(F.col("lo"))).drop("dim", "at", "right")
-    return rows
+def _descend(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """Rows (lo, shards, k: the keys of all dimensions) one level further down: ``lo`` is a node's first shard, ``shards`` how many it has."""
+    rows = rows.join(level.select("lo", "dim", "at"), "lo", "left")
+    half = F.shiftright("shards", 1)
+    goes = F.get("k", F.col("dim")) > F.col("at")
+    lo = F.when(goes, F.col("lo") + half).otherwise(F.col("lo"))
+    return rows.withColumns({"lo": lo, "shards": F.when(F.col("shards") < 2, F.col("shards")).when(goes, F.col("shards") - half).otherwise(half)}).drop("dim", "at")
 
 
 def _crossing(cells: DataFrame) -> DataFrame:
@@ -65,63 +72,76 @@ def _crossing(cells: DataFrame) -> DataFrame:
 
 
 def build(rows: DataFrame, dims: int, shards: int) -> list[DataFrame]:
-    """The levels of the tree over (size, k): tables (lo, dim, at, right); a key over ``at`` goes right."""
+    """The levels of the tree over (size, k): tables (lo, dim, at); a key over ``at`` in dimension ``dim`` goes right."""
     levels: list[DataFrame] = []
-    sizes = {0: shards}
+    here = rows.select("size", "k", _root().alias("lo"), (_root() + shards).alias("shards"))
+    coordinate = [F.shiftright(F.get("k", F.lit(i)), 2 * _CELL) for i in range(dims)]
+    wide = [f"w{i}" for i in range(dims)]
     spread = None
-    while any(m > 1 for m in sizes.values()):
-        here = _descend(rows.withColumn("lo", _root()), levels)
-        coordinate = [F.shiftright(F.get("k", F.lit(i)), 2 * _CELL) for i in range(dims)]
-        stats = here.groupBy("lo").agg(F.sum("size").cast("double").alias("bytes"), *[(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(coordinate)])
-        wide = [f"w{i}" for i in range(dims)]
+    for _ in range((shards - 1).bit_length()):
+        stats = here.filter("shards > 1").groupBy("lo").agg(F.sum("size").cast("double").alias("bytes"), F.max("shards").alias("shards"), *[(F.max(c) - F.min(c)).alias(w) for c, w in zip(coordinate, wide, strict=True)])
+        stats = cut(stats)
         if spread is None:
             top = stats.first()
             spread = [max(1, top[w] or 0) if top else 1 for w in wide]
-        half = F.create_map(*[x for lo, m in sizes.items() if m > 1 for x in (F.lit(lo), F.lit(m // 2))])
-        parts = F.create_map(*[x for lo, m in sizes.items() if m > 1 for x in (F.lit(lo), F.lit(m))])
         best = F.greatest(*[F.struct((F.col(w) / s).alias("w"), F.lit(-i).alias("i")) for i, (w, s) in enumerate(zip(wide, spread, strict=True))]) if dims > 1 else F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("i"))
-        nodes = stats.select("lo", (-best["i"]).alias("dim"), (F.col("bytes") * half[F.col("lo")] / parts[F.col("lo")]).alias("need"), (F.col("lo") + half[F.col("lo")]).alias("right")).filter("need is not null")
-        nodes = cut(nodes)
-        keyed = here.join(_small(nodes), "lo").select("lo", "size", F.get("k", F.col("dim")).alias("key"))
+        nodes = cut(stats.select("lo", (-best["i"]).alias("dim"), (F.col("bytes") * F.shiftright("shards", 1) / F.col("shards")).alias("need")))
+        keyed = here.join(_small(nodes.select("lo", "dim")), "lo").select("lo", "size", F.get("k", F.col("dim")).alias("key"))
         found, steps = nodes.select("lo", "need", F.lit(0).cast("long").alias("at")), []
         for shift in (2 * _CELL, _CELL, 0):
-            inside = keyed.join(_small(found), "lo").filter(F.shiftright("key", shift + _CELL) == F.col("at")) if shift < 2 * _CELL else keyed.join(_small(found), "lo")
+            inside = keyed.join(_small(found), "lo")
+            if shift < 2 * _CELL:
+                inside = inside.filter(F.shiftright("key", shift + _CELL) == F.col("at"))
             cells = inside.groupBy("lo", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("b"), F.first("need").alias("need"))
             found = cut(_crossing(cells).select("lo", "need", F.col("cell").alias("at"), "b"))
             end = F.col("at") + F.when(2 * F.col("need") < F.col("b"), 0).otherwise(1)
             steps.append(found.select("lo", (end * (1 << shift) - 1).alias(f"at{shift}"), F.col("b").alias(f"b{shift}")))
         ends = nodes.join(steps[1], "lo").join(steps[2], "lo")
         whole = F.when(F.col(f"b{_CELL}") * WHOLE <= F.col("need"), F.col(f"at{_CELL}")).otherwise(F.col("at0"))
-        levels.append(_small(cut(ends.select("lo", "dim", whole.alias("at"), "right"))))
-        sizes = {k: v for lo, m in sizes.items() for k, v in (((lo, m // 2), (lo + m // 2, m - m // 2)) if m > 1 else ((lo, m),))}
+        levels.append(_small(cut(ends.select("lo", "dim", whole.alias("at")))))
+        here = cut(_descend(here, levels[-1]))
     return levels
 
 
-def shard(docs: DataFrame, carry: list[str], shards: int | None = 8, target_bytes: int | None = None, metadata: tuple[str, ...] = ("lang", "n_chars"), id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+def file_order(docs: DataFrame) -> tuple[Column, Column] | None:
+    """Where each row of a table of Parquet files stands: its file and its place there; None if the rows don't come from files."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    return F.col("_metadata.file_path"), F.col("_metadata.row_index")
+
+
+def shard(docs: DataFrame, carry: list[str], shards: int | None = 8, target_bytes: int | None = None, metadata: tuple[str, ...] = ("lang", "n_chars"), id: str = "doc_id", text: str = "text", order: tuple[Column, Column] | None = None) -> tuple[DataFrame, str]:
     """The columns ``carry`` of each document and a struct (name returned): size, text_crc32, shard, slot (gapless in the shard).
 
-    Without ``shards``, as many as ``target_bytes`` asks for.
+    Without ``shards``, as many as ``target_bytes`` asks for.  Slots follow
+    ``order``, (a part of the table, a row's place in the part), or else a hash.
     """
     carry = list(dict.fromkeys(carry))
     (name,) = fresh(docs.columns, "placed")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     tail = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 64 - _CELL) * (1 << _CELL)) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit(1)), 64 - _CELL)
     k = F.array(*[c * (1 << 2 * _CELL) + tail for c in coordinates(docs, list(metadata))])
+    h = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
     wide = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("crc"),
         k.alias("k"),
-        F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`")).alias("h"),
+        *[c.alias(a) for c, a in zip(order or (F.shiftrightunsigned(h, 64 - _CELL), h), ("bucket", "h"), strict=True)],
     )
-    rows = cut(wide.select("size", "k", "h"))
+    rows = cut(wide.select("size", "k", "bucket"))
     if shards is None:
         total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         shards = max(1, -(-total // target_bytes))
     levels = build(rows, len(metadata), shards)
 
     def placed(df: DataFrame) -> DataFrame:
-        return _descend(df.withColumn("lo", _root()), levels).withColumn("bucket", F.shiftrightunsigned("h", 64 - _CELL))
+        df = df.withColumns({"lo": _root(), "shards": _root() + shards})
+        for level in levels:
+            df = _descend(df, level)
+        return df
 
     counts = placed(rows).groupBy("lo", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("lo").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
