@@ -8,7 +8,10 @@ mixed corpus.
 
 Places are prefix sums by source in hash order.  They are computed in two steps,
 sums of 4096 hash ranges per source and then running sums within a range, so a
-source with a third of all rows is 4096 groups.
+source with a third of all rows is 4096 groups.  The global order is a range sort
+by position: partitions are numbered from within, and a running sum of their
+counts (one row a partition) makes the numbers global.  The table of sources,
+one row each, passes through windows without a partition.
 
 Defined cases: a null text has size 0; null is a source of its own, the last; a
 source without words has target 0; rows that repeat take their copies one by
@@ -61,14 +64,9 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, share).otherwise(F.least(root, F.lit(1.0)))
 
 
-def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, str]:
-    """The columns ``carry`` of each document and a struct (name returned): size, source_size, target, taken, positions.
-
-    A document gets whole passes as often as its source's target holds the
-    source, and one more if its place in hash order lies in what remains.
-    """
-    carry = list(dict.fromkeys(carry))
-    key, h, bucket, size, name = fresh(docs.columns, "mix_key", "mix_h", "mix_bucket", "mix_size", "mix")
+def _mixed(docs: DataFrame, carry: list[str], id: str, text: str, source: str) -> tuple[DataFrame, str, str]:
+    """As ``mix``, with a struct (second name returned) that tells rows apart."""
+    key, h, bucket, size, name, row = fresh(docs.columns, "mix_key", "mix_h", "mix_bucket", "mix_size", "mix", "mix_row")
     rows = docs.select(
         *[F.col(f"`{c}`") for c in carry],
         F.when(F.col(f"`{source}`").isNull(), F.lit("\U0010ffff")).otherwise(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string"))).alias(key),
@@ -81,8 +79,9 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", text: str = "text
     offsets = sums.select("key", "bucket", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("offset"))
     ramp = {k: F.when(F.col("w") == 1, RAMPS[1][k]).when(F.col("w") == 2, RAMPS[2][k]).otherwise(RAMPS[3][k]) for k in (0, 1)}
     plan = cut(offsets.join(plan, "key").select(F.struct("offset", "s", "target", ramp[0].alias("start"), ramp[1].alias("end")).alias(name), F.col("key").alias(key), F.col("bucket").alias(bucket)))
-    place = Window.partitionBy(key, bucket).orderBy(h, F.col(size)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(h, F.coalesce(F.sum(size).over(place), F.lit(0)))
+    place = Window.partitionBy(key, bucket).orderBy(h, F.col(size))
+    number = F.struct(F.col(key), F.col(bucket).alias("bucket"), F.row_number().over(place).alias("n"))
+    rows = rows.withColumns({row: number, h: F.coalesce(F.sum(size).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     rows = rows.join(plan, [key, bucket])
     p = F.col(name)
     ratio = F.when(p["s"] > 0, p["target"] / p["s"]).otherwise(0.0)
@@ -93,7 +92,36 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", text: str = "text
     share = lambda i: F.least((F.col(h) + i * p["s"]) / p["target"], F.lit(1.0))
     places = F.when(F.col(bucket) > 0, F.transform(F.sequence(F.lit(0), F.col(bucket) - 1), lambda i: position(share(i), p["start"], p["end"]))).otherwise(F.array().cast("array<double>"))
     out = F.struct(F.col(size).alias("size"), p["s"].alias("source_size"), p["target"].alias("target"), (F.col(size) * F.col(bucket)).alias("taken"), places.alias("positions"))
-    return rows.select(*[F.col(f"`{c}`") for c in carry], out.alias(name)), name
+    return rows.select(*[F.col(f"`{c}`") for c in carry], F.col(row), out.alias(name)), name, row
+
+
+def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, str]:
+    """The columns ``carry`` of each document and a struct (name returned): size, source_size, target, taken, positions.
+
+    A document gets whole passes as often as its source's target holds the
+    source, and one more if its place in hash order lies in what remains.
+    """
+    out, name, row = _mixed(docs, list(dict.fromkeys(carry)), id, text, source)
+    return out.drop(row), name
+
+
+def ranked(docs: DataFrame, carry: list[str], id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, str]:
+    """As ``mix``, and ``ranks``: the places (from 0) of the document's copies in the range-sorted order of all copies.
+
+    What it carries is written twice, so carry ids, not texts.
+    """
+    out, name, row = _mixed(docs, list(dict.fromkeys(carry)), id, text, source)
+    out = cut(out)
+    copies = out.select(F.col(row).alias("row"), F.explode(F.col(name)["positions"]).alias("at"))
+    sorted_ = copies.repartitionByRange("at", "row").sortWithinPartitions("at", "row")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = cut(sorted_.select("row", F.spark_partition_id().alias("part"), place.alias("i")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sorted_.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    (ranks,) = fresh(out.columns, "mix_ranks")
+    by_row = sorted_.join(F.broadcast(parts), "part").groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.col("offset") + F.col("i"))).alias(ranks))
+    out = out.join(by_row, row, "left").withColumn(name, F.col(name).withField("ranks", F.coalesce(F.col(ranks), F.array().cast("array<long>"))))
+    return out.drop(row, ranks), name
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
