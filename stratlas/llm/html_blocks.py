@@ -1,15 +1,20 @@
-"""Web pages as sequences of leaf blocks: tag path, text, and their feature vectors."""
+"""Web pages as sequences of leaf blocks: tag path, text, and their feature vectors.
+
+A block's tag path is kept as the vector of its hashed names, which is carried
+along as elements open and close, so neither time nor memory follows the depth.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 
-PATH_DIMS, WORD_DIMS, NUMBERS = 96, 32, 8
+PATH_DIMS, WORD_DIMS, NUMBERS = 96, 96, 10
 DIMS = PATH_DIMS + WORD_DIMS + NUMBERS
 
 _TAG = re.compile(
@@ -33,11 +38,58 @@ _SCOPE = frozenset("table td th ul ol dl div article section main aside body htm
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    #: How many open elements have a name in each bucket.
+    path: bytes
+    depth: int
     text: str
     linked: int
 
 
+class Stack:
+    """The open elements of a page, with the places of each tag among them and the vector of their names."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, tuple[int, ...]]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+        self.count = [0] * PATH_DIMS
+        self._path: bytes | None = None
+
+    def push(self, tag: str, slots: tuple[int, ...]) -> None:
+        self.at[tag].append(len(self.open))
+        if tag in _SCOPE:
+            self.scopes.append(len(self.open))
+        self.open.append((tag, slots))
+        for i in slots:
+            self.count[i] += 1
+        self._path = None
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of a tag and all that are open in it."""
+        while self.open:
+            t, slots = self.open.pop()
+            self.at[t].pop()
+            if t in _SCOPE:
+                self.scopes.pop()
+            for i in slots:
+                self.count[i] -= 1
+            if t == tag:
+                break
+        self._path = None
+
+    def has(self, tag: str) -> bool:
+        return bool(self.at[tag])
+
+    def in_scope(self, tag: str) -> bool:
+        """An element of the tag is open inside the innermost element that bounds implied ends, or is that element."""
+        return bool(self.at[tag]) and self.at[tag][-1] >= (self.scopes[-1] if self.scopes else 0)
+
+    def path(self) -> bytes:
+        if self._path is None:
+            self._path = bytes(c > 0 for c in self.count)
+        return self._path
+
+
 def _named(m: re.Match) -> tuple[str, bool, bool]:
     """A tag's name, whether it is an end tag and whether it closes itself."""
     return (m.group(2) or m.group(5) or "").lower(), (m.group(1) or m.group(4)) == "/", (m.group(3) or m.group(6) or "").endswith("/")
@@ -76,9 +128,9 @@ def _raw_ends(page: str) -> dict[int, int]:
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with character references decoded and white space squeezed."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = Stack()
     parts: list[str] = []
-    links, linked, options = 0, 0, 0
+    linked = 0
     page = page or ""
     raw_ends: dict[int, int] | None = None
     endless: set[str] = set()
@@ -88,26 +140,17 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(x for _, x in stack), text, linked))
+                out.append(Block(stack.path(), len(stack.open), text, linked))
             parts.clear()
         linked = 0
 
-    def close(tag: str) -> None:
-        nonlocal links, options
-        while stack:
-            t, _ = stack.pop()
-            links -= t == "a"
-            options -= t == "option"
-            if t == tag:
-                return
-
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text and not options:
+        if text and not stack.has("option"):
             parts.append(text)
-            linked += len(text) if links else 0
+            linked += len(text) if stack.has("a") else 0
         if not m:
             break
         at = m.end()
@@ -121,8 +164,8 @@ def blocks(page: str | None) -> list[Block]:
         if not inline:
             flush()
         if ends:
-            if any(t == tag for t, _ in stack):
-                close(tag)
+            if stack.has(tag):
+                stack.close(tag)
             continue
         if tag in _CODE:
             at = _code_end(page, tag, at, endless)
@@ -135,40 +178,33 @@ def blocks(page: str | None) -> list[Block]:
         if tag in _VOID:
             continue
         for other in ("option", "p") if tag in _NO_P else _CLOSES.get(tag, ()):
-            for t, _ in reversed(stack):
-                if t == other:
-                    close(other)
-                    break
-                if t in _SCOPE:
-                    break
-        names = [tag]
-        for a in _ATTRIBUTE.finditer(m.group(3) or m.group(6) or ""):
-            names.extend(_NAME.findall((a.group(2) or a.group(3) or a.group(4) or "").lower()))
-        stack.append((tag, " ".join(names)))
-        links += tag == "a"
-        options += tag == "option"
+            if stack.in_scope(other):
+                stack.close(other)
+        stack.push(tag, _slots(tag, m.group(3) or m.group(6) or ""))
     flush()
     return out
 
 
 _words: dict[str, int] = {}
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_known: dict[tuple[str, str], tuple[int, ...]] = {}
 
 
 def _bucket(word: str, dims: int) -> int:
     return zlib.crc32(word.encode()) % dims
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    got = _paths.get(path)
+def _slots(tag: str, attributes: str) -> tuple[int, ...]:
+    """The buckets of an element's tag and of the words of its class, id and role."""
+    got = _known.get((tag, attributes))
     if got is None:
-        got = np.zeros(PATH_DIMS, np.float32)
-        for element in path:
-            for name in element.split():
-                got[_bucket("/" + name, PATH_DIMS)] = 1
-        if len(_paths) > 50_000:
-            _paths.clear()
-        _paths[path] = got
+        names = {tag}
+        for a in _ATTRIBUTE.finditer(attributes):
+            names.update(_NAME.findall((a.group(2) or a.group(3) or a.group(4) or "").lower()))
+        got = tuple(_bucket("/" + n, PATH_DIMS) for n in names)
+        if len(_known) > 50_000:
+            _known.clear()
+        if len(attributes) < 200:
+            _known[tag, attributes] = got
     return got
 
 
@@ -182,7 +218,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     if len(_words) > 500_000:
         _words.clear()
     for i, b in enumerate(flat):
-        x[i, :PATH_DIMS] = _path_vector(b.path)
+        x[i, :PATH_DIMS] = np.frombuffer(b.path, np.uint8)
         words = b.text.lower().split(" ")
         count[i] = len(words)
         for w in words:
@@ -200,9 +236,11 @@ def features(pages: list[list[Block]]) -> np.ndarray:
         x[:, k] = np.log1p(count) / 4
         x[:, k + 1] = np.minimum(np.array([b.linked for b in flat]) / chars, 1)
         x[:, k + 2] = np.array([b.text[-1] in ".!?…" for b in flat])
-        x[:, k + 3] = np.array([len(b.path) for b in flat]) / 16
+        x[:, k + 3] = np.minimum(np.array([b.depth for b in flat]), 64) / 16
         x[:, k + 4] = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages])
         x[:, k + 5] = count < 4
         x[:, k + 6] = np.array(["©" in b.text for b in flat])
-        x[:, k + 7] = 1
+        x[:, k + 7] = np.array([b.text.count(",") + b.text.count(".") for b in flat]) / (count + 1)
+        x[:, k + 8] = np.array([b.text[:1].isupper() for b in flat])
+        x[:, k + 9] = 1
     return x

@@ -7,12 +7,14 @@ blocks labelled as main text are joined in order.
 
 The labeller is fitted when it is first used, on ``TRAIN_PAGES`` pages written by
 a generator with varied layouts and known labels; nothing of the corpus is
-sampled.  Its weights (some 100 kB) travel with the tasks.
+sampled.  A part of the pages has telling element and class names, the others have
+grid classes, made-up ones or none, so that words, links and neighbours have to
+tell.  Its weights (some 100 kB) travel with the tasks.
 
 Defined cases: a null or empty page has no blocks and its text is empty; broken
-and cut-off mark-up is read as far as it goes; pages with any number of blocks
-are read whole; repeated rows are read one by one; other columns are carried if
-asked for and never read.
+and cut-off mark-up is read as far as it goes, in linear time however many
+elements stay open; pages with any number of blocks are read whole; repeated rows
+are read one by one; other columns are carried if asked for and never read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 from stratlas.llm.html_blocks import DIMS, Block, blocks, features
 from stratlas.llm.textops import for_python, fresh
 
-HIDDEN = 16
-TRAIN_PAGES = 900
+HIDDEN = 20
+TRAIN_PAGES = 1600
 #: Blocks (rows of features) that are labelled at once.
 _BATCH_BLOCKS = 8192
 
@@ -148,94 +150,139 @@ _BOILER = {
     "form": "name email message submit subscribe password send your address required field".split(),
 }
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or ti hi as to is ar le se ou la ment que ción ung ver ich eau ó ü é".split()
+#: Words that running text of four languages is full of.
+_COMMON = {
+    "en": "the of and to in a is that for it was on with as his they be at by this had not are but from or have an which you one we all were when there their what so up out if about who get".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son comme on ou mais cette aux leur nous".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son".split(),
+}
+#: Class names that say nothing of a block's part in the page.
+_GRID = "row col col-md-8 col-md-4 col-md-12 col-sm-6 col-lg-9 col-lg-3 container container-fluid wrapper inner outer box card card-body block section d-flex mt-4 px-2 w-100 clearfix left right column span9 span3 grid cell".split()
 
 
 def _word(r: random.Random) -> str:
     return "".join(r.choice(_SYLLABLES) for _ in range(r.choice((1, 1, 2, 2, 3, 4))))
 
 
-def _prose(r: random.Random, low: int, high: int) -> str:
+def _prose(r: random.Random, low: int, high: int, tongue: str | None = None) -> str:
     style = r.random()
     end = r.choice(("!!", "***", "###", "%%%", "&amp;", " |")) if style < 0.15 else ""
-    words = [_word(r) + end for _ in range(r.randint(low, high))] if r.random() < 0.94 else [_word(r)] * r.randint(low, high)
-    text = " ".join(w.capitalize() if r.random() < 0.1 else w for w in words)
-    return (text.upper() if style > 0.95 else text) + ("." if r.random() < 0.8 else "")
-
-
-def _boiler(r: random.Random, kind: str, low: int, high: int) -> str:
-    mixed = r.random()
-    return " ".join(r.choice(_BOILER[kind]) if r.random() > mixed else _word(r) for _ in range(r.randint(low, high)))
+    if tongue and r.random() < 0.9:
+        words = [r.choice(_COMMON[tongue]) if r.random() < 0.45 else _word(r) + ("," if r.random() < 0.08 else "") for _ in range(r.randint(low, high))]
+    else:
+        words = [_word(r) + end for _ in range(r.randint(low, high))] if r.random() < 0.94 else [_word(r)] * r.randint(low, high)
+    text = " ".join(w.capitalize() if i == 0 or r.random() < 0.1 else w for i, w in enumerate(words))
+    return (text.upper() if style > 0.95 else text) + (" &copy;" if r.random() < 0.06 else "") + ("." if r.random() < 0.8 else "")
 
 
-def _tagged(r: random.Random, *forms: str) -> tuple[str, str]:
-    tag, _, rest = r.choice(forms).partition(" ")
-    return f"<{tag}{' ' + rest if rest else ''}>", f"</{tag}>"
+def _boiler(r: random.Random, kind: str, low: int, high: int, mixed: float | None = None) -> str:
+    mixed = r.random() if mixed is None else mixed
+    return " ".join(w.capitalize() if r.random() < 0.2 else w for w in (r.choice(_BOILER[kind]) if r.random() > mixed else _word(r) for _ in range(r.randint(low, high))))
 
 
 def write_page(r: random.Random) -> tuple[str, list[str]]:
     """A page of a random layout and its main text blocks in order."""
     main: list[str] = []
+    # How elements are named: tellingly, or by their tag, a grid, made-up classes or nothing.
+    naming = r.choice(("telling",) * 6 + ("tag", "grid", "grid", "made up", "none", "none", "none"))
+    telling = naming == "telling"
+    tongue = r.choice((*_COMMON, "en", None, None)) if telling else r.choice((*_COMMON, "en", "en"))
+    mixed = None if telling else 0.25
+    cells = naming == "none" and r.random() < 0.5
+
+    def named(*forms: str) -> tuple[str, str]:
+        tag, _, rest = r.choice(forms).partition(" ")
+        if telling:
+            return f"<{tag}{' ' + rest if rest else ''}>", f"</{tag}>"
+        if naming == "tag" and tag not in ("div", "ins"):
+            return f"<{tag}>", f"</{tag}>"
+        if tag in ("ul", "ol"):
+            return f"<{tag}>", f"</{tag}>"
+        tag = "td" if cells else "div" if r.random() < 0.85 else r.choice(("section", "td", "center"))
+        if naming == "grid":
+            some = " ".join(r.choice(_GRID) for _ in range(r.randint(1, 3)))
+            return f'<{tag} class="{some}">', f"</{tag}>"
+        if naming == "made up":
+            return f"<{tag} class='{r.choice(('css', 'sc', 'x', 'jss'))}-{r.randrange(16**5):x} {_word(r)}'>", f"</{tag}>"
+        return f"<{tag}>", f"</{tag}>"
 
     def nav() -> str:
-        a, b = _tagged(r, "nav", "div class='menu'", "div id='navbar'", "ul class='nav'", "div class='top-menu navigation'", "nav class='breadcrumb'")
+        a, b = named("nav", "div class='menu'", "div id='navbar'", "ul class='nav'", "div class='top-menu navigation'", "nav class='breadcrumb'")
         items = "".join(f"<li><a href='/{_word(r)}'>{_boiler(r, 'nav', 1, 2)}</a></li>" for _ in range(r.randint(2, 9)))
-        return f"{a}{'<ul>' + items + '</ul>' if r.random() < 0.7 else items.replace('<li>', '').replace('</li>', ' ')}{b}"
+        bare = items.replace("<li>", "").replace("</li>", r.choice((" ", " | ", " &raquo; ")))
+        return f"{a}{'<ul>' + items + '</ul>' if r.random() < 0.7 else bare}{b}"
 
     def header() -> str:
-        a, b = _tagged(r, "header", "div class='header'", "div id='masthead'", "div class='site-header'", "header class='banner'")
-        return f"{a}{r.choice(('<h1>', '<p>', '<div>'))}{_boiler(r, 'nav', 1, 4)}{nav() if r.random() < 0.5 else ''}{b}"
+        a, b = named("header", "div class='header'", "div id='masthead'", "div class='site-header'", "header class='banner'")
+        return f"{a}{r.choice(('<h1>', '<p>', '<div>'))}{_boiler(r, 'nav', 1, 4, mixed)}{nav() if r.random() < 0.5 else ''}{b}"
 
     def ad() -> str:
-        a, b = _tagged(r, "div class='ad'", "div class='ads'", "div class='advert'", "aside class='sponsored'", "div id='banner-ad'", "ins class='promo'", "div class='ad'", "section class='advertisement'")
-        return f"{a}{_boiler(r, 'ad', 2, 9) if r.random() < 0.4 else _prose(r, 2, 14)}{b}"
+        a, b = named("div class='ad'", "div class='ads'", "div class='advert'", "aside class='sponsored'", "div id='banner-ad'", "ins class='promo'", "div class='ad'", "section class='advertisement'")
+        return f"{a}{_boiler(r, 'ad', 2, 9, mixed) if not telling or r.random() < 0.4 else _prose(r, 2, 14, tongue)}{b}"
 
     def notice() -> str:
-        a, b = _tagged(r, "div id='cookie-notice'", "div class='consent'", "div class='gdpr notice'", "div role='alert'", "div class='cookie-banner'", "dialog class='notice'")
-        return f"{a}<p>{_boiler(r, 'notice', 5, 25)}</p><button>{_word(r)}</button>{b}"
+        a, b = named("div id='cookie-notice'", "div class='consent'", "div class='gdpr notice'", "div role='alert'", "div class='cookie-banner'", "dialog class='notice'")
+        return f"{a}<p>{_boiler(r, 'notice', 5, 25, mixed)}</p><button>{_word(r)}</button>{b}"
 
     def form() -> str:
-        return f"<form class='{_word(r)}'><label>{_boiler(r, 'form', 1, 3)}</label><input><p>{_boiler(r, 'form', 2, 9)}</p><button>{_word(r)}</button></form>"
+        a, b = named(f"form class='{_word(r)}'") if telling else ("<form>", "</form>")
+        return f"{a}<label>{_boiler(r, 'form', 1, 3)}</label><input><p>{_boiler(r, 'form', 2, 9)}</p><button>{_word(r)}</button>{b}"
 
     def side() -> str:
-        a, b = _tagged(r, "aside", "div class='sidebar'", "div id='sidebar'", "div class='widget'", "aside class='related'", "section class='related-posts'", "div class='share social'")
-        items = "".join(f"<li><a href='#'>{_prose(r, 2, 8)}</a></li>" for _ in range(r.randint(1, 6)))
-        return f"{a}<h3>{_boiler(r, 'side', 1, 3)}</h3><ul>{items}</ul>{'<p>' + _prose(r, 5, 20) + '</p>' if r.random() < 0.4 else ''}{b}"
+        a, b = named("aside", "div class='sidebar'", "div id='sidebar'", "div class='widget'", "aside class='related'", "section class='related-posts'", "div class='share social'")
+        items = "".join(f"<li><a href='#'>{_prose(r, 2, 8, tongue)}</a></li>" for _ in range(r.randint(1, 6)))
+        return f"{a}<h3>{_boiler(r, 'side', 1, 3, mixed)}</h3><ul>{items}</ul>{'<p>' + _prose(r, 5, 20, tongue) + '</p>' if telling and r.random() < 0.4 else ''}{b}"
 
     def comments() -> str:
-        a, b = _tagged(r, "section id='comments'", "div class='comments'", "div id='disqus-thread'", "section class='comment-list'", "ol class='commentlist'")
-        one = lambda: f"<div class='{r.choice(('comment', 'reply', 'comment-body'))}'><b>{_word(r)}</b> {_boiler(r, 'comment', 1, 3)}<p>{_prose(r, 4, 40)}</p></div>"
-        return f"{a}<h3>{_boiler(r, 'comment', 1, 3)}</h3>{''.join(one() for _ in range(r.randint(1, 6)))}{b}"
+        a, b = named("section id='comments'", "div class='comments'", "div id='disqus-thread'", "section class='comment-list'", "ol class='commentlist'")
+
+        def one() -> str:
+            c, d = named("div class='comment'", "div class='reply'", "div class='comment-body'")
+            return f"{c}<b>{_word(r)}</b> {_boiler(r, 'comment', 1, 3, mixed)}<p>{_prose(r, 4, 40, tongue) if telling else _boiler(r, 'comment', 2, 9, 0.4)}</p>{d}"
+
+        return f"{a}<h3>{_boiler(r, 'comment', 1, 3, mixed)}</h3>{''.join(one() for _ in range(r.randint(1, 6)))}{b}"
 
     def footer() -> str:
-        a, b = _tagged(r, "footer", "div class='footer'", "div id='footer'", "footer class='site-footer'", "div class='bottom-bar'")
-        return f"{a}&copy; {_word(r)}.example.com &middot; {_boiler(r, 'footer', 1, 8) if r.random() < 0.5 else _prose(r, 3, 14)}{b}"
+        a, b = named("footer", "div class='footer'", "div id='footer'", "footer class='site-footer'", "div class='bottom-bar'")
+        return f"{a}&copy; {_word(r)}.example.com &middot; {_boiler(r, 'footer', 1, 8, mixed) if not telling or r.random() < 0.5 else _prose(r, 3, 14, tongue)}{b}"
 
     def say(text: str) -> str:
         main.append(text)
         return text
 
     def article() -> str:
-        a, b = _tagged(r, "article", "article", "article", "main", "div class='content'", "div id='content'", "div class='post entry-content'", "div class='article-body'", "section class='story'", "div class='main'")
+        a, b = named("article", "article", "article", "main", "div class='content'", "div id='content'", "div class='post entry-content'", "div class='article-body'", "section class='story'", "div class='main'")
         out = [a]
         if r.random() < 0.85:
-            out.append(f"<h1>{say(_prose(r, 1, 10))}</h1>")
+            title = _prose(r, 1, 10, tongue) if r.random() < 0.6 else _prose(r, 8, 30, tongue)[: r.randint(30, 80)].strip(" &").partition("&")[0] or "x"
+            out.append(f"<h1>{say(title)}</h1>")
         # Some articles say the same few lines over and over.
-        pool = [_prose(r, 1, 8) for _ in range(r.randint(1, 3))] if r.random() < 0.12 else []
+        pool = [_prose(r, 1, 8, tongue) for _ in range(r.randint(1, 3))] if telling and r.random() < 0.2 else []
+        low = 1 if telling else 6
         for k in range(r.choice((1, 1, 2, 3, 5, 8, 14, 40)) if not pool else r.randint(4, 130)):
             kind = 0 if pool else r.random()
             if kind < 0.72:
                 start = r.choice(("<p>", "<p><b>", "<p>", "<p><em>", "<div>"))
                 stop = "</div>" if start == "<div>" else "" if "<b>" in start or r.random() < 0.2 else "</p>"
-                out.append(f"{start}{say(r.choice(pool) if pool and r.random() < 0.95 else _prose(r, 1, 80))}{stop}")
+                text = r.choice(pool) if pool and r.random() < 0.95 else _prose(r, low, 80, tongue)
+                if not pool and r.random() < 0.1:
+                    words = text.split(" ")
+                    i = r.randrange(len(words))
+                    main.append(text)
+                    text = " ".join([*words[:i], f"<a href='/x'>{words[i]}</a>", *words[i + 1 :]])
+                else:
+                    say(text)
+                out.append(f"{start}{text}{stop}")
             elif kind < 0.78:
-                out.append(f"<h2>{say(_prose(r, 1, 6))}</h2>")
+                out.append(f"<h2>{say(_prose(r, 1, 6, tongue))}</h2>")
             elif kind < 0.83:
-                out.append("<ul>" + "".join(f"<li>{say(_prose(r, 1, 14))}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
+                out.append("<ul>" + "".join(f"<li>{say(_prose(r, low, 14, tongue))}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
             elif kind < 0.86:
-                out.append(f"<blockquote>{say(_prose(r, 4, 30))}</blockquote>")
+                out.append(f"<blockquote>{say(_prose(r, 4, 30, tongue))}</blockquote>")
             elif kind < 0.89:
-                out.append("<table><tr>" + "".join(f"<td>{say(_prose(r, 1, 4))}</td>" for _ in range(r.randint(2, 6))) + "</tr></table>")
-            elif k:
+                out.append("<table><tr>" + "".join(f"<td>{say(_prose(r, 1, 4, tongue))}</td>" for _ in range(r.randint(2, 6))) + "</tr></table>")
+            elif k and (telling or r.random() < 0.5):
                 out.append(r.choice((ad, side, form))())
         return "".join(out) + b
 
@@ -243,7 +290,8 @@ def write_page(r: random.Random) -> tuple[str, list[str]]:
     after = [f for f in (side, comments, form, ad, notice) if r.random() < 0.45]
     r.shuffle(before)
     r.shuffle(after)
-    body = "".join(f() for f in (nav, *before) if f is not nav or r.random() < 0.8) + article() + "".join(f() for f in after) + (footer() if r.random() < 0.9 else "")
+    a, b = named("div class='page'", "div id='wrapper'") if r.random() < 0.4 else ("", "")
+    body = a + "".join(f() for f in (nav, *before) if f is not nav or r.random() < 0.8) + article() + "".join(f() for f in after) + b + (footer() if r.random() < 0.9 else "")
     page = f"<!DOCTYPE html><html><head><title>{_word(r)}</title><style>p{{}}</style><script>var t=\"</p>\";</script></head><body>{body}"
     return page + ("</body></html>" if r.random() < 0.9 else ""), main
 
@@ -267,25 +315,33 @@ def labelled(n: int, seed: int) -> tuple[list[list[Block]], list[np.ndarray]]:
 
 @lru_cache(maxsize=2)
 def fitted(n: int = TRAIN_PAGES, seed: int = 11, epochs: int = 16) -> Labeller:
-    """The labeller fitted by Adam on ``n`` generated pages; the same weights for the same arguments."""
+    """The labeller fitted by Adam on ``n`` generated pages, its weights the mean over the last quarter; the same for the same arguments."""
     pages, truth = labelled(n, seed)
+    vectors = [features([p]) for p in pages]
     model = Labeller()
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     rng = np.random.default_rng(seed)
-    step = 0
+    mean = {k: np.zeros(v.shape) for k, v in model.p.items()}
+    step, taken = 0, 0
     for epoch in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, 24):
+        # Pages of like length run together, in a new order each time.
+        order = sorted(rng.permutation(n), key=lambda i: min(len(pages[i]) // 24, 3))
+        starts = rng.permutation(range(0, n, 24))
+        for at in starts:
             some = [i for i in order[at : at + 24] if pages[i]]
-            x = features([pages[i] for i in some])
-            grads, _ = model.gradients(x, np.array([len(pages[i]) for i in some]), np.concatenate([truth[i] for i in some]))
+            grads, _ = model.gradients(np.concatenate([vectors[i] for i in some]), np.array([len(pages[i]) for i in some]), np.concatenate([truth[i] for i in some]))
             step += 1
             rate = 0.01 * (1 - epoch / epochs)
             for k, g in grads.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
                 model.p[k] = (model.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            if 4 * epoch >= 3 * epochs:
+                taken += 1
+                for k, v in model.p.items():
+                    mean[k] += v
+    model.p = {k: (v / max(taken, 1)).astype(np.float32) for k, v in mean.items()} if taken else model.p
     return model
 
 
