@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratlas.llm import quality, urlfilter
+from stratlas.llm import quality, url_rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -58,25 +58,79 @@ def _mask() -> str:
     return " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
 
 
-OP10 = f"""
+#: One row per document with all measurements of the rules, and from them the bits of the rules it fails.
+_LEDGER = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS m FROM g), range(3) r(k) WHERE m > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{SPACED}')),
-k AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
-m AS (
-  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+k AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[ \t]*([-*\x{{2022}}\x{{B7}}\x{{25AA}}\x{{25BA}}\x{{2013}}]|[0-9]+[.)])[ \t]')) AS n_bullets,
+    count(*) FILTER (regexp_matches(line, '(\x{{2026}}|\.\.\.)[ \t\r]*$')) AS n_ellipses FROM l GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-    length(t) - length(translate(t, '{_UPPER}', '')) AS n_upper, length(t) - length(translate(t, '{_LOWER}', '')) AS n_lower, length(t) - length(replace(t, '!', '')) AS n_exclaim
+    length(t) - length(translate(t, '{_UPPER}', '')) AS n_upper, length(t) - length(translate(t, '{_LOWER}', '')) AS n_lower, length(t) - length(replace(t, '!', '')) AS n_exclaim,
+    len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_full_match(x, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS n_bare,
+    length(t) - length(translate(t, '0123456789', '')) AS n_digits, length(t) - length(regexp_replace(t, '[A-Za-z]|[^\x00-\x7F]', '', 'g')) AS n_letters, length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS n_foreign,
+    len(list_intersect(w, [{', '.join(f"'{x}'" for x in quality.COMMON)}])) AS n_stop, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses,
+    (length(t) - length(replace(t, '://', ''))) // 3 AS n_links, length(t) - length(translate(t, '{{}}', '')) AS n_braces, CAST(contains(t, 'orem ipsum dolor') AS BIGINT) AS n_lorem,
+    length(t) - length(replace(t, chr(65533), '')) AS n_broken, len(list_filter(w, lambda x: length(x) >= 40)) AS n_long, length(t) - length(regexp_replace(t, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g')) AS n_controls
   FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 ), f AS (SELECT *, CAST({_mask()} AS BIGINT) AS fail_mask FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_mask & {quality.BASE} <> 0 AS base_failed, fail_mask & {quality.POLICIES['v3']} = 0 AS kept, fail_mask FROM f
+"""
+
+OP10 = f"""{_LEDGER}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_mask & {quality.BASE} <> 0 AS base_failed, fail_mask & {quality.POLICIES[quality.NEWEST]} = 0 AS kept, fail_mask FROM f
+"""
+
+#: Of each rule: documents that fail it, and those that only it rejects, counted over documents.
+ABLATION = f"""{_LEDGER}
+SELECT rule, CAST(count(*) FILTER (fail_mask & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (fail_mask = bit) AS BIGINT) AS failed_alone
+FROM f, (VALUES {', '.join(f"('{k}', {1 << i})" for i, k in enumerate(quality.RULES))}) r(rule, bit) GROUP BY rule
+"""
+
+
+def _words(lists) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in lists) + "]"
+
+
+def _every(families: dict[str, str]) -> list[str]:
+    return sorted({w for words in families.values() for w in words.split()})
+
+
+#: The rule families by string functions: words of the host, its labels, its end and its start, folders and the last name of the path.
+OP3 = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT page_id, string_split(string_split(rest, '?')[1], '#')[1] AS rest FROM rest
+), parts AS (
+  SELECT page_id, translate(string_split(rest, '/')[1], '{_UPPER}', '{_LOWER}') AS host, substr(rest, length(string_split(rest, '/')[1]) + 1) AS path FROM cut
+), sites(name, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')
+), fits AS (
+  SELECT page_id, arg_max(name, length(name)) AS rule, arg_max(s.verdict, length(name)) AS verdict FROM parts, sites s
+  WHERE (host = string_split(name, '/')[1] OR ends_with(host, '.' || string_split(name, '/')[1])) AND starts_with(path, substr(name, instr(name, '/'))) GROUP BY page_id
+), read AS (
+  SELECT page_id, host, path, regexp_extract_all(host, '[a-z0-9]+') AS words, string_split(string_split(host, ':')[1], '.') AS labels, string_split(path, '/') AS folders FROM parts
+), judged AS (
+  SELECT *, list_has_any(words, {_words(_every(url_rules.HOST_WORDS))})
+    OR list_has_any(labels, {_words(url_rules.HOST_PAIRS)})
+    OR len(labels) > 1 AND list_contains({_words(url_rules.TOPS)}, labels[-1])
+    OR len(labels) > 1 AND list_contains({_words(url_rules.SERVERS)}, labels[1])
+    OR list_has_any(folders[2:], {_words(_every(url_rules.FOLDERS))})
+    OR len(folders) > 1 AND list_contains({_words(url_rules.FILES)}, folders[-1])
+    OR list_has_any(list_transform(string_split(host, '-')[:-2], lambda x: regexp_extract(x, '[a-z0-9]+$')), ['secure', 'verify']) AND contains(path, '/login/verify')
+    OR len(folders) > 1 AND list_has_any(folders[2:], ['admin', 'login', 'setup']) AND len(string_split(host, '.')) = 4 AND NOT list_contains(string_split(host, '.'), '') AND translate(host, '0123456789.', '') = '' AS blocked FROM read
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM judged LEFT JOIN fits USING (page_id)
 """
 
 ORACLES = {
-    "op3_url_filters": urlfilter.oracle(),
+    "op3_url_filters": OP3,
     "op6_chat_formatting": OP6,
     "op7_benchmark_decontamination": OP7,
     "op9_minhash_near_dedup": OP9,
     "op10_quality_rules": OP10,
+    "quality_rule_ablation": ABLATION,
 }

@@ -27,6 +27,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy rejects, and what it alone rejects."""
+    out = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.ablation(out, F.col("ledger")["fail_mask"])
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
     text = F.col(name)["text"]
@@ -101,9 +107,9 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, name = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["doc_id"])
+    out, name = mixing.ranked(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["doc_id"])
     m = F.col(name)
-    return out.select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken", "positions")])
+    return out.select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken", "positions", "ranks")])
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op8_curriculum_mixing": op8_curriculum_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "quality_rule_ablation": quality_rule_ablation,
 }
 
 

@@ -1,17 +1,19 @@
 r"""URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression over ``host + path`` with the literal tokens that
-every match must hold as whole tokens; ``a|b`` stands for either of two.  Of
-those, the one that the fewest URLs of the table hold is the rule's index entry
-(entries, if it has alternatives).  A URL is cut into tokens, its tokens fetch
-candidate rules, and only those run their expression.
+A rule (``url_rules``) is a regular expression over ``host + path`` with the
+literal tokens that every match must hold as whole tokens; ``a|b`` stands for
+either of two.  Of those, the one that the fewest URLs of the table hold is the
+rule's index entry (entries, if it has alternatives).  A URL is cut into tokens,
+its tokens fetch candidate rules, and only those run their expression.
 
 Rules are configuration: at most ``MAX_RULES`` of them travel with the task.
-Token frequencies are counted over all URLs by a shuffle, for rule tokens only.
+Token frequencies are counted over all URLs by a join with the rules' tokens (a
+broadcast table bounded by ``MAX_RULES``), summed before the shuffle.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 is allowed; repeated rows are judged one by one; an empty table gives an empty
-result; other columns of the input are carried if asked for and never read.
+result; very long urls are read whole; other columns of the input are carried if
+asked for and never read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 
@@ -28,64 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratlas.llm.textops import for_python, fresh
+from stratlas.llm.url_rules import _LOWER, PATTERNS, SITES, TOKEN, Rule, pattern_rule, site_rule
+
+__all__ = ["PATTERNS", "SITES", "Rule", "filter_urls", "index_rules", "pattern_rule", "site_rule", "split_url"]
 
 MAX_RULES = 200_000
-TOKEN = r"[a-z0-9]+"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-@dataclass
-class Rule:
-    name: str
-    verdict: str
-    #: Java and Python read the expression alike.
-    pattern: str
-    #: Every match holds each of them as a whole token, or one of its alternatives.
-    tokens: tuple[str, ...]
-    #: A site rule overrides pattern rules; the longest site rule wins.
-    site: bool = False
-    index: tuple[str, ...] = field(default=(), compare=False)
-
-
-def site_rule(name: str, verdict: str) -> Rule:
-    """``host/path``: the host and its subdomains, paths that start with the rule's."""
-    host, _, path = name.partition("/")
-    path = "/" + path
-    tokens = re.findall(TOKEN, host)
-    inner = re.findall(TOKEN, path[: path.rfind("/") + 1].translate(_LOWER))
-    return Rule(name, verdict, rf"^(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path)}", tuple(dict.fromkeys(tokens + inner)), True)
-
-
-def pattern_rule(name: str, pattern: str, *tokens: str) -> Rule:
-    return Rule(name, "block", pattern, tokens)
-
-
-#: The site rules of the contract.
-SITES = [
-    site_rule("com/en/", "block"),
-    site_rule("example.com/en/7", "allow"),
-    site_rule("net/de/", "allow"),
-    site_rule("example.net/de/8", "block"),
-    site_rule("org/es/", "block"),
-]
-
-#: Hosts and paths that no corpus wants, each with tokens every match holds.
-PATTERNS = [
-    pattern_rule("spam farm", r"^(?:[^/]*\.)?spam-farm\.", "spam", "farm"),
-    pattern_rule("link farm", r"^(?:[^/]*\.)?link-?farm\.", "link|linkfarm", "farm|linkfarm"),
-    pattern_rule("casino host", r"^[^/]*\bcasino\b[^/]*/", "casino"),
-    pattern_rule("poker host", r"^[^/]*\bpoker\b[^/]*/", "poker"),
-    pattern_rule("porn host", r"^[^/]*\bporn\b[^/]*/", "porn"),
-    pattern_rule("xxx domain", r"^[^/]*\.xxx/", "xxx"),
-    pattern_rule("adult domain", r"^[^/]*\.adult/", "adult"),
-    pattern_rule("advert server", r"^ad(?:s|server)?\.[^/]*/(?:ads?|banner|click)/", "ad|ads|adserver", "ad|ads|banner|click"),
-    pattern_rule("click tracker", r"^click\.[^/]*/track/", "click", "track"),
-    pattern_rule("phishing login", r"^[^/]*\b(?:secure|verify)-[^/]*/(?:.*/)?login/verify", "login", "secure|verify"),
-    pattern_rule("warez", r"/(?:warez|keygen)/", "warez|keygen"),
-    pattern_rule("key generator", r"/keygen/", "keygen"),
-    pattern_rule("session page", r"/wp-login\.php$", "wp", "login", "php"),
-    pattern_rule("cart page", r"/cart/checkout$", "cart", "checkout"),
-]
 
 
 def split_url(url: str):
@@ -96,70 +44,55 @@ def split_url(url: str):
     return host, F.regexp_extract(rest, r"(?s)^[^/]*(.*)$", 1)
 
 
-def index_rules(urls: DataFrame, rules: list[Rule], host: str, path: str) -> list[Rule]:
-    """The rules, each with the literal token (or its alternatives) that the fewest of the urls hold."""
+def index_rules(urls: DataFrame, rules: list[Rule], host: str, path: str) -> list[tuple[Rule, tuple[str, ...]]]:
+    """Each rule with the literal token (or its alternatives) that the fewest of the urls hold."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} travel with a task")
-    wanted = sorted({a for r in rules for t in r.tokens for a in t.split("|")})
-    tokens = F.array_distinct(F.split(F.lower(F.concat(F.col(host), F.col(path))), "[^a-z0-9]+"))
-    counted = urls.select(F.explode(F.array_intersect(tokens, F.array(*[F.lit(t) for t in wanted]))).alias("t")).groupBy("t").count()
-    often = {r["t"]: r["count"] for r in counted.collect()}
-    for r in rules:
-        r.index = min((tuple(t.split("|")) for t in r.tokens), key=lambda t: (sum(often.get(a, 0) for a in t), t))
-    return rules
+    wanted = sorted({(a,) for r in rules for t in r.tokens for a in t.split("|")})
+    tokens = F.array_distinct(F.split(F.translate(F.concat(F.col(host), F.col(path)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"))
+    held = urls.select(F.explode(tokens).alias("t")).join(F.broadcast(urls.sparkSession.createDataFrame(wanted, "t string")), "t")
+    often = {r["t"]: r["count"] for r in held.groupBy("t").count().collect()}
+    return [(r, min((tuple(t.split("|")) for t in r.tokens), key=lambda t: (sum(often.get(a, 0) for a in t), t))) for r in rules]
 
 
-def _judge(rules: list[Rule], keep: list[str], names: list[str], host: str, path: str):
+def _judge(rules: list[tuple[Rule, tuple[str, ...]]], keep: list[str], names: list[str], host: str, path: str):
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = defaultdict(list)
-        for r in rules:
-            rule = re.compile(r.pattern), r
-            for t in r.index:
-                by[t].append(rule)
+        for i, (_, index) in enumerate(rules):
+            for t in index:
+                by[t].append(i)
+        compiled: dict[int, re.Pattern] = {}
         token = re.compile(TOKEN)
         for f in frames:
-            found, verdicts, tested = [], [], []
+            found, verdicts, tested, fits = [], [], [], []
             for h, p in zip(f[host], f[path], strict=True):
                 url = h + p
-                candidates = {id(c): c for t in set(token.findall(url.translate(_LOWER))) if t in by for c in by[t]}.values()
-                hits = [r for x, r in candidates if x.search(url)]
+                candidates = sorted({i for t in set(token.findall(url.translate(_LOWER))) if t in by for i in by[t]})
+                hits = []
+                for i in candidates:
+                    if i not in compiled:
+                        compiled[i] = re.compile(rules[i][0].pattern)
+                    if compiled[i].search(url):
+                        hits.append(rules[i][0])
                 sites = [r for r in hits if r.site]
                 best = max(sites, key=lambda r: (len(r.name), r.name)) if sites else None
                 found.append(best.name if best else None)
                 verdicts.append(best.verdict if best else "block" if hits else "allow")
                 tested.append(len(candidates))
-            yield f[keep].assign(**dict(zip(names, (f[host], f[path], pd.Series(found, f.index, dtype=object), verdicts, tested), strict=True)))
+                fits.append([r.name for r in hits if not r.site])
+            yield f[keep].assign(**dict(zip(names, (f[host], f[path], pd.Series(found, f.index, dtype=object), verdicts, tested, pd.Series(fits, f.index, dtype=object)), strict=True)))
 
     return judge
 
 
 def filter_urls(pages: DataFrame, keep: list[str], url: str = "url", rules: list[Rule] | None = None) -> tuple[DataFrame, list[str]]:
-    """The columns ``keep`` of each page, and host, path, rule, verdict, n_tested (names returned)."""
+    """The columns ``keep`` of each page, and host, path, rule, verdict, n_tested, patterns (names returned); patterns: the pattern rules that fit."""
     rules = [*SITES, *PATTERNS] if rules is None else rules
     keep = list(dict.fromkeys(keep))
-    names = fresh(keep, "host", "path", "rule", "verdict", "n_tested")
+    names = fresh(keep, "host", "path", "rule", "verdict", "n_tested", "patterns")
     h, p = fresh([*pages.columns, *names], "url_host", "url_path")
     host, path = split_url(url)
     rows = for_python(pages).select(*[F.col(f"`{c}`") for c in keep], host.alias(h), path.alias(p))
-    rules = index_rules(rows, rules, h, p)
-    fields = [T.StructField(n, T.LongType() if i == 4 else T.StringType()) for i, n in enumerate(names)]
-    return rows.mapInPandas(_judge(rules, keep, names, h, p), T.StructType([*[rows.schema[c] for c in keep], *fields])), names
-
-
-def oracle() -> str:
-    """SQL for the judgement: the longest site rule that fits, else whether any pattern fits."""
-    sites = sorted(SITES, key=lambda r: (-len(r.name), r.name))
-    q = lambda s: s.replace("'", "''")
-    rule = " ".join(f"WHEN regexp_matches(host || path, '{q(r.pattern)}') THEN '{q(r.name)}'" for r in sites)
-    verdict = " ".join(f"WHEN rule = '{q(r.name)}' THEN '{r.verdict}'" for r in sites)
-    block = " OR ".join(f"regexp_matches(host || path, '{q(r.pattern)}')" for r in PATTERNS)
-    return f"""
-WITH rest AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages
-), parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM rest
-), judged AS (
-  SELECT page_id, host, path, CASE {rule} END AS rule, {block} AS blocked FROM parts
-)
-SELECT page_id, host, path, rule, CASE {verdict} WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM judged
-"""
+    kinds = [*[T.StringType()] * 4, T.LongType(), T.ArrayType(T.StringType())]
+    fields = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
+    return rows.mapInPandas(_judge(index_rules(rows, rules, h, p), keep, names, h, p), T.StructType([*[rows.schema[c] for c in keep], *fields])), names
