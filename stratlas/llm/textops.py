@@ -58,16 +58,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session has none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder of the context, which all executors share; one of this machine only in local mode, as in tests."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not jsc.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints/stratlas")
-    return folder or "/tmp/checkpoints/stratlas"
+    return jsc.getCheckpointDir().get()
 
 
 def for_python(df: DataFrame) -> DataFrame:
-    """``df``, which goes to Python next, in batches of at most ``BATCH_BYTES``, so a task's memory doesn't follow the length of its texts."""
+    """``df``, which goes to Python next, in batches of at most ``BATCH_BYTES``, so a task's memory doesn't follow the length of its texts.
+
+    This is a setting of the session and stays for the caller's later queries; a smaller one of theirs is kept.
+    """
     conf = df.sparkSession.conf
     now = conf.get(_BATCH_KEY, None)
     if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:

@@ -1,13 +1,14 @@
 """Every registered query of the subpackage against brute force on the smallest tables."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
-from stratlas.llm import html_extract, license_rules, lm
+from stratlas.llm import html_extract, license_rules, lm, oracles, quality
 from stratlas.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 
@@ -138,8 +139,32 @@ def test_op10(spark, sf, docs):
 def test_op10_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
-    x = QUERIES["op10_quality_rules"](spark, sf).join(good, "doc_id")
-    assert x.filter("not base_failed and not kept").count() == 0
+    x = QUERIES["op10_quality_rules"](spark, sf)
+    assert x.join(good, "doc_id").filter("not base_failed and not kept").count() == 0
+    bad = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0").select("doc_id")
+    assert x.join(bad, "doc_id").filter("not base_failed and kept").count() <= 4
+
+
+@pytest.mark.parametrize("name", ["op10_quality_rules", "quality_rule_ablation"])
+def test_quality_sql(spark, sf, name):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    df = QUERIES[name](spark, sf)
+    want = duckdb.sql(ORACLES[name])
+    assert sorted(map(tuple, df.collect())) == sorted(want.select(", ".join(df.columns)).fetchall())
+
+
+def test_quality_sql_on_odd_texts(spark):
+    """All measurements, on lines, symbols, digits, controls and letters of many kinds."""
+    r = random.Random(1)
+    bits = ["a", "Ab", "É", "\u2022 x", "- y", "12. z", "\n", "\n\n", " ", "\t", "...", "\u2026", "!", "|", "***", "1234", "http://x", "{", "}", "\ufffd", "\x01", "\x7f", "x" * 45, "lorem ipsum dolor", "the", "der", "\U0001f600", "\r", "\x0b", "#", "a b c", "a b c"]
+    rows = [(i, "".join(r.choice(bits) + r.choice(("", " ", "\n")) for _ in range(r.randint(0, 120)))) for i in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    names = ["doc_id", *quality.MEASURES, "fail_mask"]
+    got = quality.ledger(documents).select("doc_id", "ledger.*").select(names)
+    want = con.sql(f"{oracles._LEDGER} SELECT {', '.join(names)} FROM f")
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
 def test_pipeline(spark, sf, docs):

@@ -1,12 +1,16 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing column names."""
 
+import random
 import re
+import time
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
-from stratlas.llm import chat, decontam, html_blocks, html_extract, license, lm, mixing, neardup, quality, sharding, urlfilter
+from stratlas.llm import chat, decontam, html_blocks, html_extract, license, license_rules, lm, mixing, neardup, quality, sharding, urlfilter
+from stratlas.llm.queries import ORACLES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ledger string, mix int, n_words string"
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
@@ -137,37 +141,56 @@ def test_url_rule_bounds(spark):
     assert urlfilter.filter_urls(pages, ["page_id"])[0].first().rule is None
 
 
-URLS = {
-    "spam farm": ["spam-farm.com/", "a.spam-farm.com/x"],
-    "link farm": [f"{a}{b}.com/x" for a in ("", "www.") for b in ("link-farm", "linkfarm")],
-    "casino host": ["casino.com/", "my-casino.net/x"],
-    "poker host": ["poker.com/", "my.poker.net/x"],
-    "porn host": ["porn.com/", "my-porn.net/x"],
-    "xxx domain": ["a.xxx/"],
-    "adult domain": ["a.adult/"],
-    "advert server": [f"{a}.x.com/{b}/" for a in ("ad", "ads", "adserver") for b in ("ad", "ads", "banner", "click")],
-    "click tracker": ["click.x.com/track/1"],
-    "phishing login": [f"x-{a}-bank.com/{b}login/verify{c}" for a in ("secure", "verify") for b in ("", "a/b/") for c in ("", "/1", "account")],
-    "warez": ["x.com/warez/", "x.com/keygen/"],
-    "key generator": ["x.com/a/keygen/"],
-    "session page": ["x.com/wp-login.php"],
-    "cart page": ["x.com/cart/checkout"],
+#: Of each family by name, urls that its rule for a word must catch.
+FORMS = {
+    "host": ["{}.com/", "my-{}.net/x", "a.{}.b.org", "{}:8080/x"],
+    "host label": ["{}.com", "a.{}.org/x"],
+    "top domain": ["a.{}", "a.{}/x", "a.b.{}:80/x"],
+    "server": ["{}.x.com/a/", "{}.x.com"],
+    "folder": ["x.com/{}", "x.com/a/{}/b"],
+    "file": ["x.com/{}", "x.com/a/{}"],
 }
+BLOCKED = [
+    *["spam-farm.com/", "a.spam-farm.com/x", "casino.com/", "my-casino.net/x", "poker.com/", "my.poker.net/x", "porn.com/", "my-porn.net/x", "a.xxx/", "a.adult/"],
+    *[f"{a}{b}.com/x" for a in ("", "www.") for b in ("link-farm", "linkfarm")],
+    *[f"{a}.x.com/{b}/" for a in ("ad", "ads", "adserver") for b in ("ad", "ads", "banner", "click")],
+    *[f"x-{a}-bank.com/{b}login/verify{c}" for a in ("secure", "verify") for b in ("", "a/b/") for c in ("", "/1", "account")],
+    *["click.x.com/track/1", "x.com/warez/", "x.com/keygen/", "x.com/a/keygen/", "x.com/wp-login.php", "x.com/cart/checkout", "10.0.0.1/a/login/"],
+]
+ALLOWED = ["shop.org/en/A/b", "x.com/ads/", "linkfarms.com/", "ok.com/login/verifyaccount", "essex.gov.uk/casinos.html", "10.0.0.1/a/", "myclick.x.com/a"]
 
 
 @pytest.mark.parametrize("common", ["", "ad banner click link farm", "ads adserver verify linkfarm login", "secure verify track wp warez"])
 def test_url_index_loses_no_match(spark, common):
     """Whatever tokens are common, indexed verdicts are those of running every expression."""
     rules = [urlfilter.site_rule("shop.org/En/A/b", "block"), *urlfilter.PATTERNS]
-    assert {r.name for r in urlfilter.PATTERNS} == set(URLS)
-    assert all(re.search(r.pattern, u) for r in urlfilter.PATTERNS for u in URLS[r.name])
-    urls = [u for us in URLS.values() for u in us] + ["shop.org/En/A/bc", "shop.org/en/A/b", "x.com/ads/", "linkfarms.com/", "ok.com/login/verifyaccount"]
+    urls = [*BLOCKED, *ALLOWED[:6], "shop.org/En/A/bc"]
+    for r in urlfilter.PATTERNS:
+        kind, _, word = r.name.partition(": ")
+        made = [f.format(word) for f in next((v for k, v in FORMS.items() if word and kind.endswith(k)), [])]
+        assert all(re.search(r.pattern, u) for u in made)
+        urls += made[:2]
+    urls = list(dict.fromkeys(urls))
     wants = {u: "block" if any(re.search(r.pattern, u) for r in rules) else "allow" for u in urls}
+    assert all(wants[u] == "block" for u in BLOCKED) and all(wants[u] == "allow" for u in ALLOWED[:6])
     filler = ["a.org/" + "/".join(common.split())] * 9 if common else []
     pages = spark.createDataFrame([("http://" + u,) for u in urls + filler], "url string")
-    out, (host, path, _, verdict, _) = urlfilter.filter_urls(pages, ["url"], rules=rules)
+    out, (host, path, _, verdict, *_) = urlfilter.filter_urls(pages, ["url"], rules=rules)
     got = {r[host] + r[path]: r[verdict] for r in out.collect()}
-    assert {u: got[u] for u in urls} == wants and sum(v == "allow" for v in wants.values()) == 4
+    assert {u: got[u] for u in urls} == wants
+
+
+def test_url_rules_are_what_sql_says(spark, tmp_path):
+    """The registered SQL, on urls made of every rule and on near misses, gives the verdicts of the operator."""
+    made = [f.format(w) for r in urlfilter.PATTERNS for k, _, w in [r.name.partition(": ")] for n, fs in FORMS.items() if w and k.endswith(n) for f in fs]
+    urls = [*made, *[u + "x" for u in made], *["x" + u for u in made], *BLOCKED, *ALLOWED, "a.com/en/", "b.example.com/en/77", "org/es/1", "x.net/de", "a.example.net/de/8/?casino", "A.COM/en/x#y"]
+    pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(urls)] + [(-1, None), (-2, "no scheme"), (-3, "://"), (-4, "http://?/casino/")], "page_id long, url string")
+    want = pages.toPandas()
+    con = duckdb.connect()
+    con.register("pages", want)
+    out, names = urlfilter.filter_urls(pages, ["page_id"])
+    got = sorted((tuple(r[c] for c in ("page_id", *names[:4])) for r in out.collect()), key=str)
+    assert got == sorted(con.sql(ORACLES["op3_url_filters"]).select("page_id, host, path, rule, verdict").fetchall(), key=str)
 
 
 def test_chat(spark):
@@ -233,3 +256,136 @@ def test_scoring_in_parts(spark):
     want = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id"))).select("doc_id", F.round("score", 3).alias("score")).collect()}
     got = {(r.doc_id, r.score) for r in lm.score_documents(docs, docs.filter(~lm.held_out("doc_id")), part_rows=2_000, group_bytes=20_000).select("doc_id", F.round("score", 3).alias("score")).collect()}
     assert len(got) == len(want) and len(got - want) <= 2
+
+
+_TITLE = "The old mill at the river"
+_TEXT = [
+    "The mill was built in the year of the great flood, when most of the houses by the river had been lost to the water.",
+    "It was the work of two brothers who had come from the north with their tools and not much else, and who stayed for the rest of their lives.",
+    "In the second winter the wheel broke, and for three months the people of the valley had to carry their grain over the hills to the next town.",
+    "Today the building is a museum, but the wheel still turns on the first Sunday of every month for all who want to see it.",
+]
+_MENU = "<a href=/>Home</a> <a href=/news>News</a> <a href=/about>About</a> <a href=/contact>Contact</a>"
+_LIST = f"<ul>{''.join(f'<li>{a}</a></li>' for a in _MENU.split('</a> '))}</ul>"
+_FOOT = "&copy; 2020 Valley Museum. All rights reserved. Privacy policy | Terms | Imprint"
+_NOTICE = "<p>We use cookies. By continuing to use this site you accept our privacy policy.</p><button>Accept</button>"
+_SIDE = "<h3>Related posts</h3><ul><li><a href=/a>The bridge of the town</a></li><li><a href=/b>A walk in the hills</a></li></ul>"
+_TALK = "<h3>Comments</h3><div><b>user7</b> says:<p>Thanks, great post!</p></div><div><b>guest</b> reply 2 days ago<p>I agree</p></div>"
+
+
+def _body(title: str = "h1", block: str = "p") -> str:
+    return f"<{title}>{_TITLE}</{title}>" + "".join(f"<{block}>{t}</{block}>" for t in _TEXT)
+
+
+LAYOUTS = {
+    "grid": f"<div class='container'><div class='row'><div class='col-md-12'>{_LIST}</div></div><div class='row'><div class='col-md-8'>{_body()}</div><div class='col-md-4'>{_SIDE}</div></div><div class='row'>{_FOOT}</div></div>",
+    "no classes": f"<div>{_LIST}</div><div>{_NOTICE}</div><div>{_body()}</div><div>{_SIDE}</div><div>{_TALK}</div><div>{_FOOT}</div>",
+    "table": f"<table><tr><td colspan=2>{_MENU}</td></tr><tr><td>{_SIDE}</td><td>{_body()}</td></tr><tr><td colspan=2>{_FOOT}</td></tr></table>",
+    "blog": f"<div id='header'>{_LIST}</div><div class='entry-content'>{_body('h2')}</div><div id='comments'>{_TALK}</div><div id='sidebar'>{_SIDE}</div><div id='footer'>{_FOOT}</div>",
+    "main": f"<header>{_LIST}</header><main>{_body()}</main><aside>{_SIDE}</aside><footer>{_FOOT}</footer>",
+    "made-up classes": f"<div class='css-1a2b3c'>{_LIST}</div><div class='css-9f8e7d'><div class='sc-00aa11'>{_body('h1', 'div')}</div></div><div class='css-77aa00'>{_SIDE}</div><div class='css-0c0d0e'>{_FOOT}</div>",
+    "unclosed": f"<div>{_LIST}<div><h1>{_TITLE}</h1>{''.join(f'<p>{t}' for t in _TEXT)}</div><div>{_FOOT}",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_layouts(name):
+    """Pages written by hand, with telling names, other names or none."""
+    ((text, _, _),) = html_extract.main_text(html_extract.fitted(), [f"<html><head><title>x</title></head><body>{LAYOUTS[name]}</body></html>"])
+    assert text == " ".join([_TITLE, *_TEXT])
+
+
+def test_open_tags_take_linear_time():
+    for page in ("<div class=a>" * 100_000 + "<p>One", "<span>" * 100_000 + "<p>One</p>" * 1000, "<ul>" + "<i>" * 50_000 + "<li>One" * 5000):
+        began = time.perf_counter()
+        assert html_blocks.blocks(page)[0].text == "One"
+        assert time.perf_counter() - began < 4
+
+
+def test_repeated_notices_take_linear_time(spark):
+    text = "Licensed under the Apache License, Version 2.0. See the GNU General Public License v3. " * 12_000
+    out, name = license.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"])
+    began = time.perf_counter()
+    (row,) = out.collect()
+    assert len(row[name].found) >= 24_000 and len(row[name].base) == 12_000
+    assert time.perf_counter() - began < 20
+
+
+def test_suppression_is_that_of_all_pairs():
+    r = random.Random(5)
+    for _ in range(300):
+        found = []
+        for order in range(r.randint(0, 60)):
+            first = r.randrange(40)
+            last = first + r.randrange(8)
+            priority = r.randrange(4)
+            found.append(((-priority, first - last, order, first), (f"l{order % 7}", first, last, priority)))
+        taken = []
+        for _, s in sorted(found):
+            if not any(t[1] <= s[1] and s[2] <= t[2] for t in taken):
+                taken.append(s)
+        assert license.suppress(found) == sorted(taken, key=lambda s: (s[1], s[2], s[0]))
+
+
+def test_detections_are_those_of_running_every_rule():
+    """The keyword gate loses nothing: on texts made of rule words, all rules find what gated ones do."""
+    r = random.Random(3)
+    rules = license_rules.signatures()
+    by_gate = {}
+    for i, x in enumerate(rules):
+        by_gate.setdefault(x.gate, []).append((i, x))
+    words = sorted({w for x in rules for w in re.findall(r"[a-z0-9]+", re.sub(r"\\.", " ", x.pattern.pattern)) if len(w) > 1} | {"2", "0", "3"})
+    for _ in range(60):
+        tokens = [r.choice(words) for _ in range(r.randint(1, 300))]
+        starts = [sum(len(t) + 1 for t in tokens[:i]) for i in range(len(tokens))]
+        text = " ".join(tokens)
+        gated = license.detect(text, starts, {t for t in tokens if t in by_gate}, by_gate)
+        assert gated == license.detect(text, starts, set(by_gate), by_gate)
+
+
+def test_pipeline_stages(spark, sf, tmp_path):
+    """Each stage on nulls, repeated rows, ties and an empty table; all but the last give the columns of documents."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = " ".join(f"{a}{b}" for a in ("the", "and", "word", "line", "mill") for b in range(14)) + " the of and to."
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, prose, "en", "a", 9), (3, prose, "en", "a", 9), (None, prose + " x", "de", None, 9), (4, prose + " y", None, "b", None), (5, prose[:300], "en", "b", 9)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, sf)
+            assert got.columns[: len(docs.columns)] == docs.columns, name
+            assert got.count() <= 3 * len(data), name
+            if not data:
+                assert got.count() == 0
+        docs.write.parquet(f"{tmp_path}/{len(data)}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/{len(data)}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{len(data)}").collect()
+        assert {r.doc_id for r in out} <= {3, None, 4, 5} and sorted(r.slot for r in out if r.shard == 0) == list(range(sum(r.shard == 0 for r in out)))
+
+
+def test_slots_follow_files(spark, tmp_path):
+    rows = [(i, f"text {i * 7919 % 500} {'x' * (i % 50)}", "en", "a", i % 50) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out, name = sharding.shard(docs, ["doc_id"], order=sharding.file_order(docs))
+    by = {}
+    for r in out.collect():
+        by.setdefault(r[name].shard, []).append((r[name].slot, r.doc_id))
+    assert len(by) == 8 and all([i for _, i in sorted(v)] == sorted(i for _, i in v) for v in by.values())
+    assert sharding.file_order(spark.range(3)) is None
+
+
+def test_ids_that_are_not_integers(spark):
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    assert neardup.deduplicate(spark.createDataFrame([(1, "a b"), (2, "a b")], "gone long, text string"), id="gone").count() == 1
+
+
+def test_ranks_are_the_range_sorted_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out, name = mixing.ranked(docs, ["doc_id"])
+    copies = sorted((p, k) for r in out.collect() for p, k in zip(r[name].positions, sorted(r[name].ranks), strict=True))
+    assert sorted(k for _, k in copies) == list(range(len(copies)))
+    places = [p for p, _ in sorted(copies, key=lambda x: x[1])]
+    assert places == sorted(places)
