@@ -2,7 +2,13 @@
 
 Each stage is one operator of ``stratlas.llm`` applied to everything that its
 predecessor kept.  All but the last return the columns of ``documents``; every
-stage's result is written as Parquet and read again as the next one's input.
+stage's result is written as Parquet and read again as the next one's input, and
+removed when the stage behind it has been written.
+
+Defined cases: null and empty texts have no words and go with the quality rules;
+rows that repeat an id stay or go together; null ids and sources are carried
+(null is a source of its own); an empty table gives empty shards.  The mixing
+stage's order is that of its files and their rows, and slots follow it.
 """
 
 from __future__ import annotations
@@ -37,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of near equal bytes; each row with its shard and its slot there."""
-    out, name = sharding.shard(docs, docs.columns)
+    """Eight shards of near equal bytes; each row with its shard and its slot there, in training order."""
+    out, name = sharding.shard(docs, docs.columns, order=sharding.file_order(docs))
     return out.select(*docs.columns, *[F.col(name)[c].alias(c) for c in ("size", "text_crc32", "shard", "slot")])
 
 
@@ -54,6 +60,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -62,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _remove(spark, f"{folder}/{k - 1}")
     return docs
