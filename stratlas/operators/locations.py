@@ -1,58 +1,92 @@
 """Points, clouds and boxes: joins by place, set operations and transforms.
 
 Boxes are rows (x0, y0, z0, x1, y1, z1), points rows (x, y, z).  Joins by place
-are equi-joins on grid cells, checked exactly afterwards; the cell is as large
-as the largest box, so a box lies in eight cells at most, whatever the data.
+are equi-joins on grid cells, checked exactly afterwards.  Cells come in levels,
+twice as large each; a box is filed at the level of its own side, so it lies in
+eight cells at most and a box around everything shares no cell with small ones.
+Boxes of less than 2^-``LEVELS`` of the largest are filed at the lowest level, so
+there are few levels.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratlas.functions import geometry as G
-from stratlas.session import materialise
+from stratlas.session import is_small, materialise
 
 LOW, HIGH = ("x0", "y0", "z0"), ("x1", "y1", "z1")
 XYZ = ("x", "y", "z")
 
 
-def largest_side(boxes: DataFrame) -> float:
-    side = boxes.agg(F.max(F.greatest(*[F.col(b) - F.col(a) for a, b in zip(LOW, HIGH, strict=True)]))).first()[0]
-    return float(side) if side else 1.0
+LEVELS = 20
+
+
+def _side() -> Column:
+    return F.greatest(*[F.col(b) - F.col(a) for a, b in zip(LOW, HIGH, strict=True)])
+
+
+def _lowest(*boxes: DataFrame) -> int:
+    """The lowest level in use: the largest box's, less ``LEVELS``."""
+    sides = [b.agg(F.max(_side())).first()[0] for b in boxes]
+    return math.ceil(math.log2(max([s for s in sides if s] or [1.0]))) - LEVELS
+
+
+def _own_level(lowest: int) -> Column:
+    """The smallest level whose cells are at least as large as the box."""
+    return F.greatest(F.ceil(F.log2(F.when(_side() > 0, _side()))).cast("int"), F.lit(lowest))
 
 
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / size)
+def _levels(lowest: int, *boxes: DataFrame) -> list[int]:
+    """The levels at which boxes are filed, ``LEVELS`` + 1 at most."""
+    return sorted({r[0] for b in boxes for r in b.select(_own_level(lowest)).distinct().collect()})
 
 
-def _box_cells(boxes: DataFrame, size: float) -> DataFrame:
+def _cell(c: Column, level: Column) -> Column:
+    return F.floor(c / F.pow(F.lit(2.0), level))
+
+
+def _box_cells(boxes: DataFrame) -> DataFrame:
+    """The cells (c0, c1, c2) of boxes at their ``level``."""
     for i, (a, b) in enumerate(zip(LOW, HIGH, strict=True)):
-        boxes = boxes.withColumn(f"c{i}", F.explode(F.sequence(_cell(F.col(a), size), _cell(F.col(b), size))))
+        boxes = boxes.withColumn(f"c{i}", F.explode(F.sequence(_cell(F.col(a), F.col("level")), _cell(F.col(b), F.col("level")))))
     return boxes
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, how: str = "inner") -> DataFrame:
-    """Points with the boxes that hold them, faces included (``left_semi``: points that any box holds)."""
-    size = largest_side(boxes)
-    cells = _box_cells(boxes, size)
-    p = points
+def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points with the boxes that hold them, faces included."""
+    lowest = _lowest(boxes)
+    cells = _box_cells(boxes.withColumn("level", _own_level(lowest)))
+    p = points.withColumn("p", F.explode(F.array(*[F.lit(v) for v in _levels(lowest, boxes)]).cast("array<int>")))
     for i, c in enumerate(XYZ):
-        p = p.withColumn(f"p{i}", _cell(F.col(c), size))
-    on = [F.col(f"p{i}") == F.col(f"c{i}") for i in range(3)] + [(F.col(c) >= F.col(a)) & (F.col(c) <= F.col(b)) for c, a, b in zip(XYZ, LOW, HIGH, strict=True)]
-    return p.join(cells, on, how).drop("p0", "p1", "p2", "c0", "c1", "c2")
+        p = p.withColumn(f"p{i}", _cell(F.col(c), F.col("p")))
+    on = [F.col("p") == F.col("level")] + [F.col(f"p{i}") == F.col(f"c{i}") for i in range(3)] + [(F.col(c) >= F.col(a)) & (F.col(c) <= F.col(b)) for c, a, b in zip(XYZ, LOW, HIGH, strict=True)]
+    return p.join(cells, on).drop("p", "p0", "p1", "p2", "level", "c0", "c1", "c2")
 
 
 def intersect_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """Pairs of boxes that share more than a face, with the box they share: (a_id, b_id, x0 .. z1)."""
-    size = max(largest_side(a), largest_side(b))
+    """Pairs of boxes that share more than a face, with the box they share: (a_id, b_id, x0 .. z1).
+
+    A pair meets at the level of its larger box, where the smaller one, which is
+    filed at all levels from its own up, has eight cells at most too.
+    """
+    lowest = _lowest(a, b)
     names = {c: c + "_b" for c in (*LOW, *HIGH)}
-    left = _box_cells(a.select(F.col(a_id).alias("_a"), *LOW, *HIGH), size)
-    right = _box_cells(b.select(F.col(b_id).alias("_b"), *LOW, *HIGH), size).withColumnsRenamed(names)
-    both = left.join(right, ["c0", "c1", "c2"])
+    a, b = a.select(F.col(a_id).alias("_a"), *LOW, *HIGH).withColumn("own", _own_level(lowest)), b.select(F.col(b_id).alias("_b"), *LOW, *HIGH).withColumn("own", _own_level(lowest))
+    levels = F.array(*[F.lit(v) for v in _levels(lowest, a, b)]).cast("array<int>")
+    own, up = F.array("own"), F.filter(levels, lambda v: v > F.col("own"))
+    filed = lambda boxes, at: _box_cells(boxes.withColumn("level", F.explode(at)))
+    pairs = [(own, F.concat(own, up)), (up, own)]
+    both = None
+    for x, y in pairs:
+        met = filed(a, x).drop("own").join(filed(b, y).drop("own").withColumnsRenamed(names), ["level", "c0", "c1", "c2"])
+        both = met if both is None else both.unionByName(met)
     shared = {lo: F.greatest(F.col(lo), F.col(names[lo])) for lo in LOW} | {hi: F.least(F.col(hi), F.col(names[hi])) for hi in HIGH}
     # A pair meets in every cell that both cover; it counts in the one that holds the shared box's lower corner.
-    here = [_cell(shared[lo], size) == F.col(f"c{i}") for i, lo in enumerate(LOW)]
+    here = [_cell(shared[lo], F.col("level")) == F.col(f"c{i}") for i, lo in enumerate(LOW)]
     over = [shared[lo] < shared[hi] for lo, hi in zip(LOW, HIGH, strict=True)]
     cond = here[0]
     for c in here[1:] + over:
@@ -129,31 +163,45 @@ def enclosing_cubes(points: DataFrame, width: float) -> DataFrame:
     return points.withColumns({a: F.col(c) - width / 2 for c, a in zip(XYZ, LOW, strict=True)} | {b: F.col(c) + width / 2 for c, b in zip(XYZ, HIGH, strict=True)})
 
 
+#: Up to so many points are sent to all executors, 27 cells each, in place of dealing targets by cell.
+BROADCAST_POINTS = 2_000
+
+
 def nearest(points: DataFrame, targets: DataFrame, id: str, target_id: str, cell: float) -> DataFrame:
     """(id, target_id, distance): the nearest target of each point, the smallest id of several.
 
     Targets in a point's 27 cells are compared; a result within one cell's width
     is the nearest for certain, and the other points try again with cells twice
-    as large, so every point ends with its nearest target.
+    as large, so every point ends with its nearest target.  When few points are
+    left they are broadcast, so that targets aren't gathered in few large cells.
+
+    Points and targets without three finite coordinates are left out.
     """
-    left = points.select(F.col(id).alias("_p"), *[F.col(c).alias("p" + c) for c in XYZ])
-    right = targets.select(F.col(target_id).alias("_t"), *XYZ)
-    if right.isEmpty():
+    finite = lambda xyz: [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in xyz]  # noqa: E731  (NaN is above all numbers)
+    whole = lambda df, xyz: df.filter(finite(xyz)[0] & finite(xyz)[1] & finite(xyz)[2])
+    left = whole(points, XYZ).select(F.col(id).alias("_p"), *[F.col(c).alias("p" + c) for c in XYZ])
+    right = whole(targets, XYZ).select(F.col(target_id).alias("_t"), *XYZ)
+    ends = [df.agg(*[f(p + c) for c in XYZ for f in (F.min, F.max)]).first() for df, p in ((left, "p"), (right, ""))]
+    if ends[0][0] is None or ends[1][0] is None:
         return points.select(id, F.lit(None).cast(targets.schema[target_id].dataType).alias(target_id), F.lit(None).cast("double").alias("distance")).limit(0)
+    extent = max(max(e[i + 1] for e in ends) - min(e[i] for e in ends) for i in (0, 2, 4))
     done = None
-    while True:
+    for _ in range(max(0, math.ceil(math.log2(max(2 * extent, cell) / cell))) + 2):
+        few = is_small(left, BROADCAST_POINTS)
         around = left
         for i, c in enumerate(XYZ):
-            around = around.withColumn(f"c{i}", F.explode(F.array(*[_cell(F.col("p" + c), cell) + d for d in (-1, 0, 1)])))
-        cells = right.withColumns({f"c{i}": _cell(F.col(c), cell) for i, c in enumerate(XYZ)})
+            around = around.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col("p" + c) / cell) + d for d in (-1, 0, 1)])))
+        cells = right.withColumns({f"c{i}": F.floor(F.col(c) / cell) for i, c in enumerate(XYZ)})
         d = G.distance([F.col("p" + c) for c in XYZ], [F.col(c) for c in XYZ])
-        best = around.join(cells, ["c0", "c1", "c2"]).groupBy("_p").agg(F.min(F.struct(d.alias("d"), F.col("_t").alias("t"))).alias("m")).select("_p", "m.*").filter(F.col("d") <= cell)
+        met = cells.join(F.broadcast(around), ["c0", "c1", "c2"]) if few else around.join(cells, ["c0", "c1", "c2"])
+        best = met.groupBy("_p").agg(F.min(F.struct(d.alias("d"), F.col("_t").alias("t"))).alias("m")).select("_p", "m.*").filter(F.col("d") <= cell)
         best = materialise(best)
         done = best if done is None else done.union(best)
         left = materialise(left.join(best.select("_p"), "_p", "left_anti"))
         if left.isEmpty():
             return done.select(F.col("_p").alias(id), F.col("t").alias(target_id), F.col("d").alias("distance"))
         cell *= 2
+    raise ValueError("points are left though a cell holds all targets")
 
 
 def contour_segments(points: DataFrame, cloud: str = "cloud_id", index: str = "idx") -> DataFrame:
