@@ -144,9 +144,23 @@ def covered(tree: DataFrame, own: DataFrame, scope: str, id: str = "id", parent:
         full = have.join(nodes, "c").groupBy(scope, "p").agg(F.count("*").alias("k")).join(children, "p").filter("k = n").select(scope, F.col("p").alias("c"))
         new = materialise(full.join(have, [scope, "c"], "left_anti"))
         if new.isEmpty():
-            break
+            return have.select(scope, F.col("c").alias(id))
         have = materialise(have.union(new))
-    return have.select(scope, F.col("c").alias(id))
+    raise ValueError(f"a path is longer than {MAX_DEPTH}")
+
+
+def mask_sources(tree: DataFrame, mapped: DataFrame, id: str = "id") -> DataFrame:
+    """(id, source): of every region the mapped regions that its mask is made of: itself, or else the nearest mapped ones below it."""
+    own = mapped.select(F.col(id).alias("source")).distinct()
+    up = tree.join(own, F.col(id) == F.col("source")).select("source", F.posexplode("path").alias("at", "above"))
+    nearest = up.filter("above <> source").join(own.select(F.col("source").alias("above")), "above", "left_semi").groupBy("source").agg(F.max("at").alias("last"))
+    return up.join(nearest, "source", "left").filter("last is null or at > last").select(F.col("above").alias(id), "source")
+
+
+def own_or_parent(tree: DataFrame, value: str, id: str = "id", parent: str = "parent") -> DataFrame:
+    """(id, value): a node's own value, or else its parent's."""
+    up = tree.select(F.col(id).alias("_up"), F.col(value).alias("_above"))
+    return tree.join(up, F.col(parent) == F.col("_up"), "left").select(id, F.coalesce(value, "_above").alias(value))
 
 
 def version_chain(items: DataFrame, name: str, version: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratlas.session import materialise
+
 #: Type tag -> function from the table of specs of that tag to the concept's table.
 BUILDERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -59,13 +61,19 @@ def map_index(specs: DataFrame) -> DataFrame:
     return regions.select("map_id", "region", F.explode("at").alias("i")).select("map_id", "region", F.coalesce("i.volume", F.lit(0)).alias("volume"), "i.label", "i.fragment")
 
 
-def regions(specs: DataFrame, depth: int = 12) -> DataFrame:
-    """(parcellation_id, name, parent, ord) of the nested region lists of parcellation specs, level by level."""
+#: Regions nested deeper than this are an error.
+MAX_DEPTH = 64
+
+
+def regions(specs: DataFrame) -> DataFrame:
+    """(parcellation_id, name, parent, ord) of the nested region lists of parcellation specs, level by level down to the last."""
     level = specs.filter("type = 'parcellation'").select(field("$['@id']").alias("parcellation_id"), F.lit(None).cast("string").alias("parent"), field("$.regions").alias("list"))
     out = None
-    for _ in range(depth):
+    for _ in range(MAX_DEPTH + 1):
         rows = level.select("parcellation_id", "parent", F.posexplode(F.from_json("list", "array<string>")).alias("ord", "r"))
-        rows = rows.select("parcellation_id", "parent", "ord", F.get_json_object("r", "$.name").alias("name"), F.get_json_object("r", "$.rgb").alias("rgb"), F.get_json_object("r", "$.children").alias("list"))
+        rows = materialise(rows.select("parcellation_id", "parent", "ord", F.get_json_object("r", "$.name").alias("name"), F.get_json_object("r", "$.rgb").alias("rgb"), F.get_json_object("r", "$.children").alias("list")))
         out = rows.drop("list") if out is None else out.union(rows.drop("list"))
         level = rows.filter("list is not null").select("parcellation_id", F.col("name").alias("parent"), "list")
-    return out
+        if level.isEmpty():
+            return out
+    raise ValueError(f"regions are nested deeper than {MAX_DEPTH}")
