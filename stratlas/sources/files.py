@@ -6,8 +6,10 @@ by path outside Spark, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
+import sqlite3
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -147,6 +149,42 @@ def cells(spark: SparkSession, path: str) -> DataFrame:
     return data.join(heads, "path").select("path", at("x").alias("x"), at("y").alias("y"), at("layer").cast("int").alias("layer"), at("label").cast("int").alias("label"))
 
 
+def affines(images: DataFrame) -> DataFrame:
+    """(path, affine) of NIfTI files, the matrix row by row."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            yield pd.DataFrame({"path": f["path"], "affine": [read_nifti(raw)[1].astype(float).ravel() for raw in f["content"]]})
+
+    return images.select("path", "content").mapInPandas(rows, "path string, affine array<double>")
+
+
+def sqlite(databases: DataFrame, name: str, schema: str) -> DataFrame:
+    """The rows of one table of SQLite files (path, content), columns by the schema's names; a file is read in one task, a few rows at a time."""
+    columns = [f.split()[0] for f in schema.split(",")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for raw in f["content"]:
+                with contextlib.closing(sqlite3.connect(":memory:")) as db:
+                    db.deserialize(raw)
+                    cursor = db.execute("SELECT " + ", ".join(f'"{c}"' for c in columns) + f' FROM "{name}"')
+                    while some := cursor.fetchmany(10_000):
+                        yield pd.DataFrame(some, columns=columns)
+
+    return databases.select("content").mapInPandas(rows, schema)
+
+
+def files_of(spark: SparkSession, spec: dict) -> DataFrame:
+    """(path, content) of the files that a repository's spec names: a folder, or the members of an archive."""
+    kind = spec["@type"].rsplit("/", 1)[-1]
+    if kind == "localfolder":
+        return binary(spark, spec["folder"])
+    if kind == "zippedfile":
+        return members(binary(spark, spec["url"])).select("path", "content")
+    raise ValueError(f"no connector for {spec['@type']}")
+
+
 def read_sparse(spark: SparkSession, base: str) -> DataFrame:
     """Voxels of a sparse map stored as ``volume`` rows of x, y, z, value, one folder per map."""
     return spark.read.parquet(base)
