@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The digits, the sign after a negative number, the separator, and the view's orientation.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
@@ -96,15 +93,10 @@ def encode_view(root: str, atlas: Column, space: Column, parcellation: Column, x
     )
 
 
-def _name_hash(name: str) -> str:
-    h = 0
-    for c in name:
-        h = ((h << 5) - h + ord(c)) & 0xFFFFFFFF
-        h -= (h & 0x80000000) << 1
-    return hex(h)[3:]
-
-
-@F.pandas_udf(T.StringType())
-def name_hash(names: pd.Series) -> pd.Series:
+def name_hash(name: Column) -> Column:
     """Hex tail of a 32-bit rolling hash with overflow, as viewer links use it for region names."""
-    return names.map(lambda s: None if s is None else _name_hash(s))
+    codes = F.transform(F.regexp_extract_all(name, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.ascii(c).cast("long"))
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: F.pmod(a * 31 + c + (1 << 31), F.lit(1 << 32)) - (1 << 31))
+    digits = F.lower(F.hex(F.abs(h)))
+    # The first two characters are dropped after a sign, and one digit with them where there is none.
+    return F.when(h < 0, digits).otherwise(F.substr(digits, F.lit(2)))

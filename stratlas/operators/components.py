@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratlas.operators import locations
 from stratlas.operators.voxels import XYZ
 from stratlas.session import materialise
 
@@ -52,6 +53,21 @@ def label_mask(voxels: DataFrame, connectivity: int = 2) -> DataFrame:
     return mask.join(connected_components(mask, edges), "id").select(*[F.col(c).cast("int").alias(c) for c in XYZ], "component")
 
 
+def squared_distance(voxels: DataFrame) -> DataFrame:
+    """Mask voxels with the squared Euclidean distance to the nearest voxel outside: the weight with which places in a mask are sampled.
+
+    The nearest one outside always has a face in common with the mask, so only
+    those are looked through.
+    """
+    mask = materialise(voxels.filter("value <> 0").select(*[F.col(c).cast("int").alias(c) for c in XYZ]).distinct())
+    steps = [*neighbours(1), *[tuple(-v for v in o) for o in neighbours(1)]]
+    around = F.explode(F.array(*[F.struct(*[(F.col(c) + v).alias(c) for c, v in zip(XYZ, o, strict=True)]) for o in steps]))
+    edge = materialise(mask.select(around.alias("e")).select("e.*").distinct().join(mask, list(XYZ), "left_anti"))
+    keyed = lambda df, name: df.select(F.struct(*XYZ).alias(name), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    got = locations.nearest(keyed(mask, "at"), keyed(edge, "to"), "at", "to", 2.0)
+    return got.select("at.*", F.round(F.col("distance") * F.col("distance")).cast("long").alias("squared"))
+
+
 def distance_to_background(voxels: DataFrame, limit: int = 200) -> DataFrame:
     """Mask voxels with the number of face-neighbour layers that have to be taken off to reach them, by peeling."""
     left = materialise(voxels.filter("value <> 0").select(*XYZ).distinct())

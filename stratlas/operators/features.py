@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratlas.functions import ids
 from stratlas.functions.names import contains_all
 from stratlas.operators import locations
 from stratlas.operators.assignment import CODES
@@ -132,6 +133,27 @@ def display_name(full: Column, parents: Column, version: Column) -> Column:
     return F.concat(F.coalesce(F.when(full != "", full), F.get(F.filter(parents, lambda p: p != ""), F.lit(0))), F.lit(" ("), version, F.lit(")"))
 
 
+def type_tree(types: DataFrame) -> DataFrame:
+    """(id, parent, name) of the feature types below their categories, to be walked and rendered like a region tree."""
+    top = types.select(F.col("category").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("category").alias("name")).distinct()
+    return top.union(types.select(F.concat_ws("/", "category", "type"), "category", "type"))
+
+
+def by_id(features: DataFrame, compounds: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, feature_id, error): the features that ids mean, all at once.
+
+    An id is that of a compound (``cf0::``, looked up by ``compound_id``), of a
+    live query's result (``lq0::``, looked up by the id behind its concept), or a
+    feature's own.  Ids that mean nothing keep a null feature and say why.
+    """
+    live = F.when(F.col("wanted").startswith("lq"), ids.decode_query_context(F.col("wanted")))
+    x = wanted.select("wanted").distinct().withColumn("live", live).withColumn("key", F.coalesce(F.col("live")["id"], F.col("wanted")))
+    both = features.select(F.col("feature_id").alias("key"), "feature_id", F.lit(False).alias("compound")).union(compounds.select(F.col("compound_id"), "feature_id", F.lit(True)))
+    found = x.join(both.withColumn("of", F.col("compound")), "key", "left").filter("of is null or of = startswith(wanted, 'cf0::')")
+    error = F.coalesce(F.col("live")["error"], F.when(F.col("feature_id").isNull(), "unknown"))
+    return found.select("wanted", F.when(error.isNull(), F.col("feature_id")).alias("feature_id"), error.alias("error"))
+
+
 LIVE: dict = {}
 
 

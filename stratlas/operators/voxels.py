@@ -44,6 +44,17 @@ def in_box(voxels: DataFrame, low: tuple[int, int, int], high: tuple[int, int, i
     return voxels
 
 
+def labelled_map(volume: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A map from one volume and (label, region) rows: its voxels with their region, and the labels that no region has, with their voxels' number."""
+    known = volume.join(regions.select(F.col("label").cast("double").alias("value"), "region"), "value")
+    return known, volume.join(regions.select(F.col("label").cast("double").alias("value")), "value", "left_anti").groupBy("value").agg(F.count("*").alias("voxels"))
+
+
+def region_in_box(sources: DataFrame, masks: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int], id: str = "id") -> DataFrame:
+    """(id, x, y, z): what of every region's mask lies in a box; ``sources`` (id, source) says what a region's mask is made of."""
+    return sources.join(in_box(masks, low, high), "source").select(id, *XYZ).distinct()
+
+
 def slice_4d(voxels: DataFrame, t: int) -> DataFrame:
     return voxels.filter(F.col("t") == t).drop("t")
 

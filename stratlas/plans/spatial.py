@@ -387,11 +387,6 @@ def draw_samples(spark, sf_dir):
     return voxels.draw(voxels.select(grid(spark, sf_dir), volume=1), 1000)
 
 
-@query()
-def mask_depth(spark, sf_dir):
-    return components.distance_to_background(voxels.select(grid(spark, sf_dir), threshold=0.0))
-
-
 @query()
 def assign_uncertain_points(spark, sf_dir):
     g = grid(spark, sf_dir)

@@ -269,7 +269,3 @@ def feature_ids(spark, sf_dir):
         ids.encode_query_context(F.lit("Foo"), concept, F.lit("x")).alias("live"),
     )
 
-
-@query()
-def name_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", ids.name_hash(F.col("p_name")).alias("hash"))

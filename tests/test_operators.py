@@ -1,9 +1,11 @@
 """Fixtures and properties of the operators that the driver's tables don't show."""
 
+import gzip
 import itertools
 import json
 import math
 import random
+import sqlite3
 import zipfile
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from stratlas.functions import geometry as G
 from stratlas.functions import ids, names
 from stratlas.operators import assignment, clusters, components, features, hierarchy, locations, meshes, registry, similarity, tabular, voxels
-from stratlas.sources import files, sinks, specs
+from stratlas.sources import chunks, files, sinks, specs
 
 
 def one(spark, column, value, kind="string"):
@@ -59,8 +61,18 @@ def test_number_codec(spark):
     assert one(spark, ids.decode_number, "a b") is None
 
 
-def test_name_hash_overflows():
-    assert ids._name_hash("") == "" and len(ids._name_hash("Area 4p (PreCG) right")) >= 5
+def test_name_hash_overflows(spark):
+    def plain(name):
+        h = 0
+        for c in name:
+            h = ((h << 5) - h + ord(c)) & 0xFFFFFFFF
+            h -= (h & 0x80000000) << 1
+        return hex(h)[3:]
+
+    given = ["", "a", "Area 4p (PreCG) right", "é\U0001f600 left", "\n x", *[f"Area {i} {'x' * i}" for i in range(60)]]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(given)], "i int, n string").select("i", ids.name_hash(F.col("n")).alias("h")).collect()
+    assert {r.i: r.h for r in got} == {i: plain(n) for i, n in enumerate(given)}
+    assert plain("") == "" and len(plain("Area 4p (PreCG) right")) >= 5
 
 
 TREE = [("r", None, "brain"), ("a", "r", "occipital cortex"), ("b", "r", "frontal"), ("a1", "a", "Area hOc1"), ("a2", "a", "Area hOc2"), ("b1", "b", "Area 4p")]
@@ -437,3 +449,113 @@ def test_faulty_profiles(spark):
     p = spark.createDataFrame([(f, d) for f, ds in ((1, (0.0, 0.5)), (2, (0.0, 0.0)), (3, (0.1, 1.2))) for d in ds], "feature_id int, depth double")
     b = spark.createDataFrame([(f, k, k / 7) for f in (1, 4) for k in range(7 if f == 1 else 5)], "feature_id int, layer int, depth double")
     assert {r.feature_id for r in tabular.faulty_profiles(p, b).collect()} == {2, 3, 4}
+
+
+def _boxes(spark, r, n):
+    rows = []
+    for i in range(n):
+        side = r.choice((0.0, 0.3, 1.0, 7.0))
+        low = [r.uniform(-20, 20) for _ in range(3)]
+        rows.append((i, *low, *[v + side * r.random() for v in low]))
+    rows.append((n, *[-100.0] * 3, *[100.0] * 3))
+    return rows, spark.createDataFrame(rows, "id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+
+
+def test_boxes_of_all_sizes(spark):
+    """Boxes from points to one around everything, against all pairs."""
+    r = random.Random(4)
+    (a, left), (b, right) = _boxes(spark, r, 150), _boxes(spark, r, 150)
+    meet = lambda p, q: all(max(p[1 + i], q[1 + i]) < min(p[4 + i], q[4 + i]) for i in range(3))
+    got = locations.intersect_boxes(left.withColumnRenamed("id", "a"), right.withColumnRenamed("id", "b"), "a", "b").collect()
+    assert sorted((x.a, x.b) for x in got) == sorted((p[0], q[0]) for p in a for q in b if meet(p, q))
+    points = [(i, *[r.uniform(-20, 20) for _ in range(3)]) for i in range(300)] + [(900 + p[0], *p[1:4]) for p in a[:20]]
+    held = locations.points_in_boxes(spark.createDataFrame(points, "idx int, x double, y double, z double"), left).select("idx", "id").collect()
+    want = [(p[0], q[0]) for p in points for q in a if all(q[1 + i] <= p[1 + i] <= q[4 + i] for i in range(3))]
+    assert sorted(map(tuple, held)) == sorted(want)
+
+
+def test_small_boxes_do_not_share_the_cells_of_a_large_one(spark):
+    rows, boxes = _boxes(spark, random.Random(1), 2000)
+    lowest = locations._lowest(boxes)
+    cells = locations._box_cells(boxes.withColumn("level", locations._own_level(lowest))).groupBy("level", "c0", "c1", "c2").count()
+    assert cells.agg({"count": "max"}).first()[0] < 100 and len(locations._levels(lowest, boxes)) <= locations.LEVELS + 1
+
+
+def test_nearest_without_coordinates(spark):
+    xyz = "x double, y double, z double"
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 0.0, 0.0), (3, float("nan"), 0.0, 0.0), (4, 1e6, 0.0, 0.0), (5, float("inf"), 0.0, 0.0)], f"id int, {xyz}")
+    targets = spark.createDataFrame([(10, 0.5, 0.0, 0.0), (11, None, None, None), (12, float("nan"), 0.0, 0.0), (13, 2.0, 0.0, 0.0)], f"t int, {xyz}")
+    assert {(r.id, r.t) for r in locations.nearest(points, targets, "id", "t", 0.1).collect()} == {(1, 10), (4, 13)}
+    assert locations.nearest(points.filter("id in (2, 3)"), targets, "id", "t", 0.1).count() == 0
+
+
+def test_regions_nested_deeply(spark):
+    spec = {"name": "r16"}
+    for i in range(15, -1, -1):
+        spec = {"name": f"r{i}", "children": [spec]}
+    rows = spark.createDataFrame([("f", "parcellation", json.dumps({"@id": "p", "regions": [spec]}))], "filename string, type string, spec string")
+    assert {(r.name, r.parent) for r in specs.regions(rows).collect()} == {("r0", None)} | {(f"r{i + 1}", f"r{i}") for i in range(16)}
+
+
+def test_mask_sources(spark):
+    tree = hierarchy.with_paths(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "a"), ("f", "e")], "id string, parent string"))
+    got = hierarchy.mask_sources(tree, spark.createDataFrame([("b",), ("c",), ("f",)], "id string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "b"), ("a", "f"), ("b", "b"), ("c", "c"), ("e", "f"), ("f", "f")}
+
+
+def test_chunked_volume(spark, tmp_path):
+    """A mosaic of chunks of which some are missing, cut to a box, at the scale a wish and a byte cap give."""
+    rng = np.random.default_rng(0)
+    whole = (rng.random((50, 40, 30)) < 0.1) * rng.integers(1, 9, (50, 40, 30)).astype("u2")
+    scales = [{"key": f"s{k}", "resolution": [2e5 * 2**k] * 3, "size": [50 >> k, 40 >> k, 30 >> k], "encoding": "raw"} for k in range(3)]
+    (tmp_path / "info").write_text(json.dumps({"data_type": "uint16", "scales": scales}))
+    (tmp_path / "s0").mkdir()
+    for x in range(0, 50, 16):
+        for y in range(0, 40, 16):
+            for z in range(0, 30, 16):
+                ends = [min(a + 16, n) for a, n in zip((x, y, z), whole.shape, strict=True)]
+                part = whole[x : ends[0], y : ends[1], z : ends[2]]
+                if (x, y, z) == (16, 16, 0):
+                    whole[x : ends[0], y : ends[1], z : ends[2]] = 0
+                    continue
+                raw = part.astype("<u2").tobytes(order="F")
+                (tmp_path / "s0" / "_".join(f"{a}-{b}" for a, b in zip((x, y, z), ends, strict=True))).write_bytes(gzip.compress(raw) if x else raw)
+    found = chunks.read_info(spark, str(tmp_path))
+    assert [chunks.select_scale(found, r, m).key for r, m in ((None, 1 << 30), (0.5, 1 << 30), (0.1 * 8, 1 << 30), (None, 100_000), (0.2, 3_000))] == ["s0", "s1", "s2", "s1", "s2"]
+    with pytest.raises(ValueError):
+        chunks.select_scale(found, 0.01)
+    low, high = (10, 5, 3), (40, 33, 20)
+    got = {(r.x, r.y, r.z, r.value) for r in chunks.read_voxels(spark, str(tmp_path), found[0], (low, high)).collect()}
+    box = whole[low[0] : high[0], low[1] : high[1], low[2] : high[2]]
+    assert got == {(int(x) + 10, int(y) + 5, int(z) + 3, float(box[x, y, z])) for x, y, z in np.argwhere(box)}
+    assert chunks.read_voxels(spark, str(tmp_path), found[0]).count() == int((whole > 0).sum())
+    opened = chunks.read_voxels(spark, str(tmp_path), found[0], ((0, 0, 0), (5, 5, 5)))
+    assert opened.count() == int((whole[:5, :5, :5] > 0).sum())
+
+
+def test_sqlite_table(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE bids (subject TEXT, session INTEGER, path TEXT)")
+        db.executemany("INSERT INTO bids VALUES (?, ?, ?)", [(f"s{i}", i % 3, None) for i in range(500)])
+    db.close()
+    got = files.sqlite(files.binary(spark, str(tmp_path), ".db"), "bids", "subject string, session long").collect()
+    assert sorted(map(tuple, got)) == sorted((f"s{i}", i % 3) for i in range(500))
+
+
+def test_repositories_by_type(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.txt").write_text("x")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("b/c.txt", "y")
+    got = files.files_of(spark, {"@type": "repository/v1.0.0/localfolder", "folder": str(tmp_path / "r")}).collect()
+    assert [bytes(r.content) for r in got] == [b"x"]
+    got = files.files_of(spark, {"@type": "repository/zippedfile", "url": str(tmp_path / "z.zip")}).collect()
+    assert [(r.path, bytes(r.content)) for r in got] == [("b/c.txt", b"y")]
+    with pytest.raises(ValueError):
+        files.files_of(spark, {"@type": "repository/other"})
+
+
+def test_affines(spark, tmp_path):
+    m = np.array([[2.0, 0, 0, 5], [0, 3, 0, 6], [0, 0, 4, 7], [0, 0, 0, 1]])
+    (tmp_path / "a.nii").write_bytes(files.write_nifti(np.ones((2, 2, 2)), m))
+    assert np.allclose(files.affines(files.binary(spark, str(tmp_path), ".nii")).first().affine, m.ravel())
