@@ -16,11 +16,14 @@ def session(name: str = "stratlas", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of this machine only where the cluster names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The checkpoint folder of the context, which all executors share; one of this machine only in local mode, as in tests."""
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not jsc.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or LOCAL_SHARED)
+    return jsc.getCheckpointDir().get()
 
 
 def materialise(df: DataFrame) -> DataFrame:
