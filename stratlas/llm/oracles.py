@@ -13,6 +13,14 @@ def _low(x: str) -> str:
     return f"translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}')"
 
 
+LICENSE_BASE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_low('text')}, '{ALNUM}') AS w FROM documents),
+phrases(words, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
+h AS (SELECT doc_id, i - 1 AS first, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrases WHERE w[i : i + len(words) - 1] = words),
+c AS (SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN c USING (doc_id)
+"""
+
 OP6 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -133,4 +141,5 @@ ORACLES = {
     "op9_minhash_near_dedup": OP9,
     "op10_quality_rules": OP10,
     "quality_rule_ablation": ABLATION,
+    "license_base_places": LICENSE_BASE,
 }

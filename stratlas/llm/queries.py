@@ -58,6 +58,11 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the license scan that SQL can state: the base phrases' places and labels."""
+    return op2_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = urlfilter.filter_urls(table(spark, sf_dir, "pages"), ["page_id"])
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -128,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "quality_rule_ablation": quality_rule_ablation,
+    "license_base_places": license_base_places,
 }
 
 

@@ -112,6 +112,12 @@ def file_order(docs: DataFrame) -> tuple[Column, Column] | None:
     return F.col("_metadata.file_path"), F.col("_metadata.row_index")
 
 
+def keys(docs: DataFrame, metadata: list[str], id: str, text: str) -> Column:
+    """An array of one 36-bit key per metadata column: its coordinate, then the text's hash, then the row's."""
+    tail = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 64 - _CELL) * (1 << _CELL)) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit(1)), 64 - _CELL)
+    return F.array(*[c * (1 << 2 * _CELL) + tail for c in coordinates(docs, metadata)])
+
+
 def shard(docs: DataFrame, carry: list[str], shards: int | None = 8, target_bytes: int | None = None, metadata: tuple[str, ...] = ("lang", "n_chars"), id: str = "doc_id", text: str = "text", order: tuple[Column, Column] | None = None) -> tuple[DataFrame, str]:
     """The columns ``carry`` of each document and a struct (name returned): size, text_crc32, shard, slot (gapless in the shard).
 
@@ -121,14 +127,12 @@ def shard(docs: DataFrame, carry: list[str], shards: int | None = 8, target_byte
     carry = list(dict.fromkeys(carry))
     (name,) = fresh(docs.columns, "placed")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    tail = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 64 - _CELL) * (1 << _CELL)) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit(1)), 64 - _CELL)
-    k = F.array(*[c * (1 << 2 * _CELL) + tail for c in coordinates(docs, list(metadata))])
     h = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
     wide = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("crc"),
-        k.alias("k"),
+        keys(docs, list(metadata), id, text).alias("k"),
         *[c.alias(a) for c, a in zip(order or (F.shiftrightunsigned(h, 64 - _CELL), h), ("bucket", "h"), strict=True)],
     )
     rows = cut(wide.select("size", "k", "bucket"))

@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from stratlas.llm import html_extract, license_rules, lm, oracles, quality
+from pyspark.sql import functions as F
+
+from stratlas.llm import html_extract, license_rules, lm, oracles, quality, sharding
 from stratlas.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 
@@ -145,7 +147,46 @@ def test_op10_keeps_good_documents(spark):
     assert x.join(bad, "doc_id").filter("not base_failed and kept").count() <= 4
 
 
-@pytest.mark.parametrize("name", ["op10_quality_rules", "quality_rule_ablation"])
+def test_op4_tree(spark, sf):
+    """Shards are those of a tree that is cut node by node on sorted rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
+    rows = [(r.doc_id, r.size, r.k) for r in docs.select("doc_id", size.alias("size"), sharding.keys(docs, ["lang", "n_chars"], "doc_id", "text").alias("k")).collect()]
+    spread = None
+
+    def crossing(part, need, shift, inside):
+        """The cell of 12 bits at ``shift`` in which the running sum of sizes reaches ``need``, and what it still needs there."""
+        sums = Counter()
+        for k, s in part:
+            if inside is None or k >> shift + 12 == inside:
+                sums[k >> shift] += s
+        total = 0
+        for cell in sorted(sums):
+            if total + sums[cell] >= need:
+                return cell, need - total, sums[cell]
+            total += sums[cell]
+
+    def deal(part, lo, m):
+        nonlocal spread
+        if m == 1:
+            return {i: lo for i, _, _ in part}
+        wide = [max(k[d] >> 24 for _, _, k in part) - min(k[d] >> 24 for _, _, k in part) for d in (0, 1)]
+        spread = spread or [max(1, w) for w in wide]
+        dim = max((0, 1), key=lambda d: (wide[d] / spread[d], -d))
+        half, whole = m // 2, sum(s for _, s, _ in part)
+        need = first = whole * half / m
+        at, found = None, {}
+        for shift in (24, 12, 0):
+            at, need, b = crossing([(k[dim], s) for _, s, k in part], need, shift, at)
+            found[shift] = ((at + (0 if 2 * need < b else 1)) << shift) - 1, b
+        end = found[12][0] if found[12][1] * sharding.WHOLE <= first else found[0][0]
+        left, right = [x for x in part if x[2][dim] <= end], [x for x in part if x[2][dim] > end]
+        return deal(left, lo, half) | deal(right, lo + half, m - half)
+
+    assert {r.doc_id: r.shard for r in QUERIES["op4_kd_tree_sharding"](spark, sf).collect()} == deal(rows, 0, 8)
+
+
+@pytest.mark.parametrize("name", ["op10_quality_rules", "quality_rule_ablation", "license_base_places"])
 def test_quality_sql(spark, sf, name):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     df = QUERIES[name](spark, sf)
