@@ -134,12 +134,71 @@ WITH rest AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM judged LEFT JOIN fits USING (page_id)
 """
 
+OP11 = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM t JOIN g USING (t)
+"""
+
+
+def _field(x: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({x} AS VARCHAR))) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Tables: name (t, lv, pos, node, c) of all levels of the trees t over the leaves (t, pos, node), c nodes in a level."""
+    return f"""{name}_ AS (SELECT t, 0 AS lv, pos, node, count(*) OVER (PARTITION BY t) AS c FROM {leaves}
+  UNION ALL SELECT t, lv + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((c + 1) // 2) FROM {name}_ WHERE c > 1 GROUP BY t, lv, pos // 2),
+{name} AS (SELECT x.t, x.lv, x.pos, s.node AS sibling FROM {name}_ x LEFT JOIN {name}_ s ON s.t = x.t AND s.lv = x.lv AND s.pos = xor(x.pos, 1) WHERE x.c > 1)"""
+
+
+OP12 = f"""
+WITH RECURSIVE bytes AS (SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS v, 0 AS k FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bytes WHERE k < 8),
+crc AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 1 AS i, CAST(4294967295 AS BIGINT) AS v FROM documents
+  UNION ALL SELECT doc_id, s, i + 1, xor(bytes.v, crc.v >> 8) FROM crc JOIN bytes ON bytes.k = 8 AND bytes.b = xor(crc.v, ascii(substr(s, i, 1))) & 255 WHERE i <= length(s)),
+tampered AS (SELECT doc_id FROM crc WHERE i = length(s) + 1 AND xor(v, 4294967295) % 7 = 0),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
+  sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field('text')}) AS node,
+  sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('(n_chars + 1)')} || {_field('text')}) AS other FROM documents),
+{_tree('low', 'd')},
+tops AS (SELECT '' AS t, t AS k, row_number() OVER (ORDER BY t) - 1 AS pos, node FROM low_ WHERE c = 1),
+{_tree('high', 'tops')},
+start AS (SELECT doc_id, t, pos, node AS leaf, CASE WHEN doc_id IN (FROM tampered) THEN other ELSE node END AS folded FROM d),
+up AS (SELECT doc_id, t, 0 AS lv, pos, folded, '' AS proof FROM start
+  UNION ALL SELECT doc_id, up.t, up.lv + 1, up.pos // 2, sha256(CASE WHEN up.pos % 2 = 1 THEN coalesce(sibling, '') || folded ELSE folded || coalesce(sibling, '') END), proof || coalesce(sibling, '') FROM up JOIN low ON low.t = up.t AND low.lv = up.lv AND low.pos = up.pos),
+most AS (SELECT doc_id, arg_max(folded, lv) AS folded, arg_max(proof, lv) AS proof FROM up GROUP BY doc_id),
+over_ AS (SELECT doc_id, 0 AS lv, tops.pos, most.folded, most.proof FROM most JOIN start USING (doc_id) JOIN tops ON tops.k = start.t
+  UNION ALL SELECT doc_id, over_.lv + 1, over_.pos // 2, sha256(CASE WHEN over_.pos % 2 = 1 THEN coalesce(sibling, '') || folded ELSE folded || coalesce(sibling, '') END), proof || coalesce(sibling, '') FROM over_ JOIN high ON high.lv = over_.lv AND high.pos = over_.pos),
+done AS (SELECT doc_id, arg_max(folded, lv) AS folded_root, sha256(arg_max(proof, lv)) AS proof_sha256 FROM over_ GROUP BY doc_id)
+SELECT doc_id, leaf, tops.node AS subroot, r.node AS root, proof_sha256, folded_root, folded_root = r.node AS verified
+FROM start JOIN tops ON tops.k = start.t JOIN done USING (doc_id), (SELECT node FROM high_ WHERE c = 1) r
+"""
+
+#: Counts of all phrases of one to five words, and every cut of the frequent ones.
+OP13 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_low('text')}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, p, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT lang, row_number() OVER () AS p, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p)),
+v AS (SELECT lang, w AS w0, {', '.join(f'lead(w, {k}) OVER (PARTITION BY p ORDER BY i) AS w{k}' for k in range(1, 5))} FROM w),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({' UNION ALL '.join(f"SELECT lang, {k + 1} AS k, {(" || ' ' || ").join(f'w{j}' for j in range(k + 1))} AS phrase FROM v WHERE w{k} IS NOT NULL" for k in range(5))}) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM g WHERE f >= 100 AND k > 1),
+i AS (SELECT lang || chr(10) || phrase AS id, f FROM g),
+x AS (SELECT c.lang, c.k, phrase, c.f AS a, j, array_to_string(string_split(phrase, ' ')[:j], ' ') AS first, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') AS last FROM c, range(1, 5) r(j) WHERE j < c.k),
+s AS (SELECT x.*, p.f AS l, q.f AS r, n, CAST((1000::HUGEINT * a * n) // (p.f::HUGEINT * q.f) AS BIGINT) AS score FROM x JOIN t USING (lang) JOIN i p ON p.id = lang || chr(10) || first JOIN i q ON q.id = lang || chr(10) || last),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+k AS (SELECT * FROM b WHERE NOT EXISTS (FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.f >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op3_url_filters": OP3,
     "op6_chat_formatting": OP6,
     "op7_benchmark_decontamination": OP7,
     "op9_minhash_near_dedup": OP9,
     "op10_quality_rules": OP10,
+    "op11_exact_dedup": OP11,
+    "op12_merkle_manifest": OP12,
+    "op13_phrase_collocations": OP13,
     "quality_rule_ablation": ABLATION,
     "license_base_places": LICENSE_BASE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.llm import chat, decontam, html_extract, license, lm, mixing, neardup, quality, sharding, urlfilter
+from stratlas.llm import chat, decontam, exactdedup, html_extract, license, lm, manifest, mixing, neardup, phrases, quality, sharding, urlfilter
 from stratlas.llm.oracles import ORACLES
 from stratlas.llm.textops import table
 
@@ -121,6 +121,26 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = exactdedup.duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", *[F.col(name)[c].alias(c) for c in ("keep_id", "group_size", "kept", "text_sha256")])
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    tampered = manifest.leaf([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in fields])
+    docs = docs.withColumn("other", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, tampered))
+    out, name = manifest.manifest(docs, ["doc_id", "other"], fields)
+    m = F.col(name)
+    out = out.select("doc_id", *[m[c].alias(c) for c in ("leaf", "subroot", "root")], manifest.proof_digest(m["proof"]).alias("proof_sha256"), manifest.above(F.coalesce("other", m["leaf"]), m["proof"]).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_license_scans": op2_license_scans,
@@ -132,6 +152,9 @@ QUERIES: dict[str, Query] = {
     "op8_curriculum_mixing": op8_curriculum_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "quality_rule_ablation": quality_rule_ablation,
     "license_base_places": license_base_places,
 }
