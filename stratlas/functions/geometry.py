@@ -123,6 +123,12 @@ def gaussian_kernel(sigma: float, reach: float = 3) -> list[tuple[int, int, int,
     return [(i, j, k, line[i] * line[j] * line[k] / whole) for i in line for j in line for k in line]
 
 
+def gaussian_line(sigma: float, reach: float = 3) -> tuple[int, float]:
+    """Radius ``int(reach * sigma)`` of a kernel along one axis, and what its values sum to."""
+    r = int(reach * sigma)
+    return r, sum(math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-r, r + 1))
+
+
 def estimate_affine(pairs: Sequence[tuple[Sequence[float], Sequence[float]]]) -> list[list[float]]:
     """Least-squares affine that maps the first points of the pairs to the second ones."""
     import numpy as np

@@ -1,17 +1,12 @@
-"""Density clusters of a point cloud, and the oriented patch around points."""
+"""Density clusters of one small array (clouds of any size: ``density``), and the oriented patch around points."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A cloud is clustered in one task; larger ones are refused, not cut.
-MAX_POINTS = 20_000
-
-
 def _tree(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Minimum spanning tree of mutual reachability distances: edges and their lengths, shortest first."""
     n = len(points)
@@ -34,13 +29,14 @@ def _tree(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def density_clusters(points: np.ndarray, smallest: int, largest: int) -> np.ndarray:
-    """Hierarchical density clusters: labels from 0, -1 for noise.
-
-    Components of the tree grow as longer edges join them; one of at least
-    ``smallest`` points is a cluster, which lives until it joins another such.
-    Its stability is the sum over its points of 1/length from when a point came to
-    when the cluster ends; the clusters chosen are those more stable than all that
-    are inside them together, and of at most ``largest`` points.
+    """Hierarchical density clusters of one small array: labels from 0 by first point, -1 for noise.
+
+    Components of the tree grow as longer edges join them, edges of one length at
+    once; one of at least ``smallest`` points is a cluster, which lives until it
+    joins another such.  Its stability is the sum over its points of 1/length from
+    when a point came to when the cluster ends; the clusters chosen are those more
+    stable than all that are inside them together, and of at most ``largest``
+    points.  The whole is none.
     """
     n = len(points)
     labels = np.full(n, -1)
@@ -48,8 +44,8 @@ def density_clusters(points: np.ndarray, smallest: int, largest: int) -> np.ndar
         return labels
     edges, lengths = _tree(points, smallest)
     up = list(range(n))
-    members = [[i] for i in range(n)]
-    #: Of roots that are clusters: the sum of their points' joining densities, and (stability, clusters) chosen inside.
+    members = {i: [i] for i in range(n)}
+    #: Of components that are clusters: the sum of their points' joining densities, and (stability, clusters) chosen inside.
     weight: dict[int, float] = {}
     inside: dict[int, tuple[float, list[list[int]]]] = {}
 
@@ -59,42 +55,35 @@ def density_clusters(points: np.ndarray, smallest: int, largest: int) -> np.ndar
             i = up[i]
         return i
 
-    def ended(r: int, density: float) -> tuple[float, list[list[int]]]:
-        own = weight[r] - len(members[r]) * density
-        return (own, [list(members[r])]) if own >= inside[r][0] and len(members[r]) <= largest else inside[r]
-
-    for (i, j), length in zip(edges.tolist(), lengths.tolist(), strict=True):
-        a, b = sorted((root(i), root(j)), key=lambda r: -len(members[r]))
-        density, size = 1 / max(length, 1e-12), len(members[a]) + len(members[b])
-        if a in weight and b in weight:
-            x, y = ended(a, density), ended(b, density)
-            weight[a], inside[a] = size * density, (x[0] + y[0], x[1] + y[1])
-            del weight[b], inside[b]
-        elif a in weight:
-            weight[a] += len(members[b]) * density
-        elif size >= smallest:
-            weight[a], inside[a] = size * density, (0.0, [])
-        up[b] = a
-        members[a] += members[b]
-        members[b] = []
-    for c, part in enumerate(inside.get(root(0), (0.0, []))[1]):
+    at = 0
+    while at < n - 1:
+        length, density, touched = lengths[at], 1 / max(lengths[at], 1e-12), set()
+        while at < n - 1 and lengths[at] == length:
+            a, b = (root(i) for i in edges[at].tolist())
+            touched |= {a, b}
+            up[b] = a
+            at += 1
+        groups: dict[int, list[int]] = {}
+        for r in touched:
+            groups.setdefault(root(r), []).append(r)
+        for top, parts in groups.items():
+            here = {r: members.pop(r) for r in parts}
+            old, every = [r for r in parts if r in weight], [i for r in parts for i in here[r]]
+            if len(old) == 1:
+                weight[top], inside[top] = weight.pop(old[0]) + (len(every) - len(here[old[0]])) * density, inside.pop(old[0])
+            elif len(every) >= smallest:
+                chosen: tuple[float, list[list[int]]] = (0.0, [])
+                for r in old:
+                    own, sub = weight.pop(r) - len(here[r]) * density, inside.pop(r)
+                    best = (own, [here[r]]) if own >= sub[0] and len(here[r]) <= largest else sub
+                    chosen = (chosen[0] + best[0], chosen[1] + best[1])
+                weight[top], inside[top] = len(every) * density, chosen
+            members[top] = every
+    for c, part in enumerate(sorted(inside.get(root(0), (0.0, []))[1], key=min)):
         labels[part] = c
     return labels
 
 
-def find_clusters(points: DataFrame, cloud: str = "cloud_id", least: float = 1 / 200, most: float = 1 / 8) -> DataFrame:
-    """(cloud, idx, cluster) of each point; cluster sizes as parts of the cloud's points."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_POINTS:
-            raise ValueError(f"a cloud has {len(pdf)} points; at most {MAX_POINTS} are clustered")
-        got = density_clusters(pdf[["x", "y", "z"]].to_numpy(float), max(2, int(len(pdf) * least)), max(2, int(len(pdf) * most)))
-        return pdf[[cloud, "idx"]].assign(cluster=got)
-
-    kinds = dict(points.dtypes)
-    return points.groupBy(cloud).applyInPandas(one, f"{cloud} {kinds[cloud]}, idx {kinds['idx']}, cluster int")
-
-
 def enclosing_patch(points: DataFrame) -> tuple[list[float], list[list[float]], list[float], list[float]]:
     """Mean, axes (most spread first) and extents along them of a cloud: moments and extents are two aggregations."""
     c = ("x", "y", "z")

@@ -12,6 +12,7 @@ from stratlas.operators.voxels import XYZ
 from stratlas.session import materialise
 
 MAX_ROUNDS = 60
+SIDE = 1 << 20
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,10 +45,18 @@ def neighbours(connectivity: int) -> list[tuple[int, int, int]]:
 
 
 def label_mask(voxels: DataFrame, connectivity: int = 2) -> DataFrame:
-    """Mask voxels (x, y, z in 0 to 2^20) with the component they belong to, named by its smallest voxel id."""
-    key = lambda x, y, z: (x * (1 << 40) + y * (1 << 20) + z).cast("long")
-    mask = voxels.filter("value <> 0").select(*[F.col(c).cast("long").alias(c) for c in XYZ]).distinct()
-    mask = materialise(mask.withColumn("id", key(*map(F.col, XYZ))))
+    """Mask voxels with the component they belong to, named by its smallest voxel id.
+
+    Places count from zero, or from the smallest coordinate of an axis where that
+    is negative; ``SIDE`` of them make an id, and masks that are longer are refused.
+    """
+    mask = materialise(voxels.filter("value <> 0").select(*[F.col(c).cast("long").alias(c) for c in XYZ]).distinct())
+    ends = mask.agg(*[F.least(F.min(c), F.lit(0)).alias(c) for c in XYZ], *[F.max(c).alias("_" + c) for c in XYZ]).first()
+    for c in XYZ:
+        if ends[c] is not None and ends["_" + c] - ends[c] >= SIDE - 1:  # one place is left free between rows
+            raise ValueError(f"the mask's {c} goes from {ends[c]} to {ends['_' + c]}; {SIDE - 2} places at most")
+    x, y, z = (F.col(c) - F.lit(ends[c] or 0) for c in XYZ)
+    mask = mask.withColumn("id", (x * (1 << 40) + y * (1 << 20) + z).cast("long"))
     steps = F.array(*[F.col("id") + F.lit((i << 40) + (j << 20) + k).cast("long") for i, j, k in neighbours(connectivity)])
     edges = mask.select(F.col("id").alias("a"), F.explode(steps).alias("b")).join(mask.select(F.col("id").alias("b")), "b", "left_semi")
     return mask.join(connected_components(mask, edges), "id").select(*[F.col(c).cast("int").alias(c) for c in XYZ], "component")

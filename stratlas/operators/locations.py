@@ -67,22 +67,22 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return p.join(cells, on).drop("p", "p0", "p1", "p2", "level", "c0", "c1", "c2")
 
 
-def intersect_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """Pairs of boxes that share more than a face, with the box they share: (a_id, b_id, x0 .. z1).
+def intersect_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of boxes that share more than a face and agree in the columns ``on``, with the box they share: (a_id, b_id, x0 .. z1).
 
     A pair meets at the level of its larger box, where the smaller one, which is
     filed at all levels from its own up, has eight cells at most too.
     """
     lowest = _lowest(a, b)
     names = {c: c + "_b" for c in (*LOW, *HIGH)}
-    a, b = a.select(F.col(a_id).alias("_a"), *LOW, *HIGH).withColumn("own", _own_level(lowest)), b.select(F.col(b_id).alias("_b"), *LOW, *HIGH).withColumn("own", _own_level(lowest))
+    a, b = a.select(F.col(a_id).alias("_a"), *on, *LOW, *HIGH).withColumn("own", _own_level(lowest)), b.select(F.col(b_id).alias("_b"), *on, *LOW, *HIGH).withColumn("own", _own_level(lowest))
     levels = F.array(*[F.lit(v) for v in _levels(lowest, a, b)]).cast("array<int>")
     own, up = F.array("own"), F.filter(levels, lambda v: v > F.col("own"))
     filed = lambda boxes, at: _box_cells(boxes.withColumn("level", F.explode(at)))
     pairs = [(own, F.concat(own, up)), (up, own)]
     both = None
     for x, y in pairs:
-        met = filed(a, x).drop("own").join(filed(b, y).drop("own").withColumnsRenamed(names), ["level", "c0", "c1", "c2"])
+        met = filed(a, x).drop("own").join(filed(b, y).drop("own").withColumnsRenamed(names), [*on, "level", "c0", "c1", "c2"])
         both = met if both is None else both.unionByName(met)
     shared = {lo: F.greatest(F.col(lo), F.col(names[lo])) for lo in LOW} | {hi: F.least(F.col(hi), F.col(names[hi])) for hi in HIGH}
     # A pair meets in every cell that both cover; it counts in the one that holds the shared box's lower corner.

@@ -154,11 +154,14 @@ def resample_linear(voxels: DataFrame, source: G.Matrix, target: G.Matrix) -> Da
 
 def density(points: DataFrame, sigma: float, reach: float = 3) -> DataFrame:
     """Points (x, y, z ints) as a density that sums to 1: counts per voxel, spread by a Gaussian kernel."""
-    kernel = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(w).alias("w")) for i, j, k, w in G.gaussian_kernel(sigma, reach)]))
-    counts = points.groupBy(*XYZ).agg(F.count("*").alias("n"))
-    spread = counts.withColumn("_k", kernel).groupBy((F.col("x") + F.col("_k.i")).alias("x"), (F.col("y") + F.col("_k.j")).alias("y"), (F.col("z") + F.col("_k.k")).alias("z")).agg(F.sum(F.col("n") * F.col("_k.w")).alias("d"))
+    r, whole = G.gaussian_line(sigma, reach)
+    spread = counts = points.groupBy(*XYZ).agg(F.count("*").alias("n"))
+    spread = spread.withColumn("n", F.col("n").cast("double"))
+    for axis in XYZ:  # the kernel is a product of three, so each pass sends a voxel to 2 r + 1 places of one axis
+        weight = F.exp(F.col("_o") * F.col("_o") / (-2 * sigma * sigma)) / whole
+        spread = spread.withColumn("_o", F.explode(F.sequence(F.lit(-r), F.lit(r)))).groupBy(*[(F.col(c) + F.col("_o")).alias(c) if c == axis else F.col(c) for c in XYZ]).agg(F.sum(F.col("n") * weight).alias("n"))
     total = counts.agg(F.sum("n").alias("_n"))
-    return spread.join(F.broadcast(total), F.lit(True)).select(*XYZ, (F.col("d") / F.col("_n")).alias("value"))
+    return spread.join(F.broadcast(total), F.lit(True)).select(*XYZ, (F.col("n") / F.col("_n")).alias("value"))
 
 
 def colorize(voxels: DataFrame, index: DataFrame, values: DataFrame) -> DataFrame:

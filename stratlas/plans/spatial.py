@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratlas.functions import geometry as G
-from stratlas.operators import assignment, clusters, components, locations, meshes, similarity, voxels
+from stratlas.operators import assignment, components, density, locations, meshes, similarity, voxels
 from stratlas.plans.registry import query, table
 
 TO_VOXEL = [[8, 0, 0, 8], [0, 8, 0, 8], [0, 0, 8, 8], [0, 0, 0, 1]]
@@ -229,6 +229,16 @@ def point_density(spark, sf_dir):
     return rounded(voxels.density(p, 0.5, reach=2), "x", "y", "z", places=9)
 
 
+@query(f"""
+WITH {CLOUD}, p AS (SELECT CAST(trunc(x * 8 + 8) AS INTEGER) AS x, CAST(trunc(y * 8 + 8) AS INTEGER) AS y, CAST(trunc(z * 8 + 8) AS INTEGER) AS z, count(*) AS n FROM cloud GROUP BY ALL), o AS (SELECT CAST(d AS INTEGER) AS d FROM range(-9, 10) t(d)), l AS (SELECT d, exp(-d * d / 18.0) / (SELECT sum(exp(-d * d / 18.0)) FROM o) AS w FROM o)
+SELECT p.x + a.d AS x, p.y + b.d AS y, p.z + c.d AS z, round(sum(n * a.w * b.w * c.w) / (SELECT sum(n) FROM p), 9) AS value FROM p, l a, l b, l c GROUP BY 1, 2, 3
+""")
+def point_density_wide(spark, sf_dir):
+    """A kernel of three voxels' width."""
+    p = voxels.voxel_of(cloud(spark, sf_dir), TO_VOXEL, half=False).select(*[F.col("v" + c).alias(c) for c in "xyz"])
+    return rounded(voxels.density(p, 3.0), "x", "y", "z", places=9)
+
+
 @query(f"WITH {GRID} SELECT x, y, z, arg_max(CAST(volume * 10.0 AS DOUBLE), value * 1000 + volume) AS value FROM grid GROUP BY x, y, z")
 def colorize_map(spark, sf_dir):
     g = grid(spark, sf_dir)
@@ -250,6 +260,13 @@ def connected_components(spark, sf_dir):
     return components.label_mask(voxels.select(grid(spark, sf_dir), threshold=1.0), connectivity=1)
 
 
+@query(f"WITH RECURSIVE {GRID}, c AS (SELECT DISTINCT x - 9 AS x, y - 9 AS y, z - 9 AS z FROM grid WHERE value > 1), i AS (SELECT x, y, z, CAST(x - least(min(x) OVER (), 0) AS BIGINT) * 1099511627776 + CAST(y - least(min(y) OVER (), 0) AS BIGINT) * 1048576 + (z - least(min(z) OVER (), 0)) AS id FROM c), e AS (SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND a.id <> b.id AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 2), r AS (SELECT id, id AS root FROM i UNION SELECT e.b AS id, r.root FROM r JOIN e ON r.id = e.a) SELECT x, y, z, min(root) AS component FROM i JOIN r USING (id) GROUP BY x, y, z")
+def connected_components_around_origin(spark, sf_dir):
+    """Neighbours by edge on a grid with negative places."""
+    mask = voxels.select(grid(spark, sf_dir), threshold=1.0)
+    return components.label_mask(mask.withColumns({c: F.col(c) - 9 for c in "xyz"}))
+
+
 @query(f"WITH {GRID} SELECT x, y, z, value FROM grid g WHERE volume = 0 AND NOT EXISTS (SELECT 1 FROM grid h WHERE h.volume = 0 AND abs(g.x - h.x) <= 1 AND abs(g.y - h.y) <= 1 AND abs(g.z - h.z) <= 1 AND (h.value > g.value OR h.value = g.value AND (h.x, h.y, h.z) < (g.x, g.y, g.z)))")
 def local_peaks(spark, sf_dir):
     return voxels.local_peaks(voxels.select(grid(spark, sf_dir), volume=0))
@@ -377,9 +394,40 @@ def plane_cut_mesh(spark, sf_dir):
     return cut.select(F.col("fid").cast("long").alias("v0"))
 
 
+#: Faces between three vertices in a row share their edges with the faces before and behind: lines are runs of crossed faces.
+_CONTOURS = f"""
+WITH {_VERTS}, s AS (SELECT label, vid, n, i, x, y, z, 0.6 * x + 0.8 * z AS h FROM v), w AS (
+  SELECT vid AS f, vid - i AS base, h >= 0.02 AS s0, lead(h >= 0.02, 1) OVER o AS s1, lead(h >= 0.02, 2) OVER o AS s2,
+    [{{'x': x, 'y': y, 'z': z, 'h': h}}, {{'x': lead(x, 1) OVER o, 'y': lead(y, 1) OVER o, 'z': lead(z, 1) OVER o, 'h': lead(h, 1) OVER o}}, {{'x': lead(x, 2) OVER o, 'y': lead(y, 2) OVER o, 'z': lead(z, 2) OVER o, 'h': lead(h, 2) OVER o}}] AS p, label
+  FROM s WINDOW o AS (PARTITION BY label ORDER BY vid)
+), c AS (
+  SELECT label, f, p, CASE WHEN s0 <> s1 THEN 0 ELSE 2 END AS ein, CASE WHEN s1 <> s2 THEN 1 ELSE 2 END AS eout, s0 <> s1 AND lag(f) OVER (PARTITION BY label ORDER BY f) = f - 1 AS goes
+  FROM w WHERE p[3].x IS NOT NULL AND NOT (s0 = s1 AND s1 = s2)
+), r AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (ORDER BY label, f) AS run FROM c),
+e AS (SELECT *, CAST(f + CASE ein WHEN 0 THEN 0 ELSE 0 END AS VARCHAR) || '-' || CAST(f + CASE ein WHEN 0 THEN 1 ELSE 2 END AS VARCHAR) AS first,
+  CAST(f + CASE eout WHEN 1 THEN 1 ELSE 0 END AS VARCHAR) || '-' || CAST(f + 2 AS VARCHAR) AS last, row_number() OVER (PARTITION BY run ORDER BY f) - 1 AS j, count(*) OVER (PARTITION BY run) AS m FROM r),
+q AS (SELECT *, p[1] AS a, p[CASE ein WHEN 0 THEN 2 ELSE 3 END] AS b, p[CASE eout WHEN 1 THEN 2 ELSE 1 END] AS c, p[3] AS d FROM e),
+k AS (SELECT run, m, j, f, first, last, a.x + (0.02 - a.h) / (b.h - a.h) * (b.x - a.x) AS x0, a.y + (0.02 - a.h) / (b.h - a.h) * (b.y - a.y) AS y0, a.z + (0.02 - a.h) / (b.h - a.h) * (b.z - a.z) AS z0,
+  c.x + (0.02 - c.h) / (d.h - c.h) * (d.x - c.x) AS x1, c.y + (0.02 - c.h) / (d.h - c.h) * (d.y - c.y) AS y1, c.z + (0.02 - c.h) / (d.h - c.h) * (d.z - c.z) AS z1 FROM q),
+t AS (SELECT run, arg_min(first, j) AS n0, min(f) AS f0, arg_max(last, j) AS n1, max(f) AS f1 FROM k GROUP BY run),
+u AS (SELECT run, j, m, f AS fwd, CASE WHEN j > 0 THEN f - 1 END AS bwd, x0 AS x, y0 AS y, z0 AS z FROM k UNION ALL SELECT run, m, m, NULL, f, x1, y1, z1 FROM k WHERE j = m - 1)
+SELECT CASE WHEN (n0, f0) < (n1, f1) THEN n0 || '/' || f0 ELSE n1 || '/' || f1 END AS contour, CAST(CASE WHEN (n0, f0) < (n1, f1) THEN j ELSE m - j END AS BIGINT) AS k,
+  round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(CASE WHEN (n0, f0) < (n1, f1) THEN fwd ELSE bwd END AS BIGINT) AS fid, false AS closed
+FROM u JOIN t USING (run)
+"""
+
+
+@query(_CONTOURS)
+def plane_contours(spark, sf_dir):
+    """The lines of the cut in order."""
+    verts, faces = meshes.merge(*_mesh(spark, sf_dir))
+    got = meshes.contours(verts.select("mesh", "vid", "x", "y", "z"), faces.withColumn("fid", F.col("v0")).drop("fragment"), NORMAL, DISTANCE)
+    return rounded(got.drop("mesh").withColumn("fid", F.col("fid").cast("long")), "contour", "k", "fid", "closed")
+
+
 @query()
 def cluster_points(spark, sf_dir):
-    return clusters.find_clusters(cloud(spark, sf_dir).withColumn("cloud_id", F.lit(0)), least=1 / 50, most=1 / 2)
+    return density.find_clusters(cloud(spark, sf_dir).withColumn("cloud_id", F.lit(0)), least=1 / 50, most=1 / 2)
 
 
 @query()

@@ -35,3 +35,11 @@ def materialise(df: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, rows: int) -> bool:
     """At most ``rows`` rows, without counting more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes from here on, a smaller setting of the session is kept: rows may hold whole blocks."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(key, str(size))
