@@ -6,9 +6,10 @@
    words is the pair of the ids of its first and its last k - 1 words: both are
    frequent if it is.  In every chunk adjacent ids are replaced by the id of their
    pair, level by level; infrequent places become marks and runs of marks one.
-3. Chunks ask for ids: each different pair of a chunk is one request, which is
-   joined with the pairs counted frequent.  A table of hash slots of frequent
-   pairs (``SLOTS`` rows at most, broadcast) drops most of the others first.
+3. Up to ``NAMES`` frequent words or pairs are sent to all executors with their
+   ids.  Beyond that chunks ask for ids: each different pair of a chunk is one
+   request, which is joined with the frequent pairs.  A table of hash slots of
+   frequent pairs (``SLOTS`` rows at most, broadcast) drops most others first.
 4. The ids of a pair are its parents.  Counts of all first and last parts come
    down these pointers, so every cut is there without looking at texts again; a
    phrase stands in a longer one with as many places exactly if it is a parent of
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 
 from stratlas.llm.textops import _LOWER, cut, for_python, strings
 
+#: So many names of one level are sent to all executors (24 bytes each, words their length more).
+NAMES = 1_000_000
 #: Hash slots that tell frequent pairs from most others.
 SLOTS = 1 << 20
 #: Parts of a language that find their own first phrases before all are ranked.
@@ -42,6 +46,7 @@ PARTS = 256
 #: So many languages' totals are sent to all executors; more are joined by shuffle.
 BROADCAST_LANGS = 100_000
 
+STATE = "chunk long, seq binary, ids binary"
 _END, _SPACE = 2, 1
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = _SPACE
@@ -107,13 +112,17 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += 1
 
 
+def _words(blob: bytes) -> pa.Array:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True).decode()
+    return pa.array(raw.split("\n") if raw else [], pa.string())
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, code, lang, word, n) of every different word of a chunk."""
     for batch in batches:
         for chunk, lang, blob, counts in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "words", "counts")], strict=True):
             n = _unpacked(counts)
-            words = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True).decode().split("\n") if len(n) else []
-            yield pa.RecordBatch.from_pydict({"chunk": np.full(len(n), chunk), "code": np.arange(len(n)), "lang": pa.array([lang] * len(n), pa.string()), "word": pa.array(words, pa.string()), "n": n})
+            yield pa.RecordBatch.from_pydict({"chunk": np.full(len(n), chunk), "code": np.arange(len(n)), "lang": pa.array([lang] * len(n), pa.string()), "word": _words(blob), "n": n})
 
 
 def _paired(seq: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,17 +149,54 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"chunk": np.full(len(n), chunk), "code": np.arange(len(n)), "first": first, "last": last, "n": n})
 
 
+def _renamed(chunk: int, code: np.ndarray, found: np.ndarray, id: np.ndarray) -> pa.RecordBatch:
+    """A chunk's codes (of its words, or of its pairs) as those of the codes found, with their ids; the others are marks."""
+    new = np.full(int(code.max(initial=-1)) + 2, -1)
+    new[found] = np.arange(len(found))
+    return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk]), "seq": pa.array([_packed(_collapsed(new[code]))], pa.binary()), "ids": pa.array([id.tobytes()], pa.binary())})
+
+
 def _renamer(paired: bool):
-    """The chunk's next codes (of its words, or of its pairs) with the ids that were found for them; the others are marks."""
+    """Chunks with the names that they asked for."""
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, seq, ids, names in zip(batch.column("chunk").to_pylist(), batch.column("seq").to_pylist(), batch.column("ids").to_pylist(), batch.column("names"), strict=True):
                 code = _paired(*_state(seq, ids))[0] if paired else _unpacked(seq)
-                found, id = (names.values.field(c).to_numpy() for c in ("code", "id"))
-                new = np.full(int(code.max(initial=-1)) + 2, -1)
-                new[found] = np.arange(len(found))
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk]), "seq": pa.array([_packed(_collapsed(new[code]))], pa.binary()), "ids": pa.array([id.tobytes()], pa.binary())})
+                yield _renamed(chunk, code, *(names.values.field(c).to_numpy() for c in ("code", "id")))
+
+    return rename
+
+
+def _word_namer(words: dict[str, tuple[pa.Array, np.ndarray]]):
+    """Chunks with the ids of frequent words, by language."""
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, seq, blob in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "seq", "words")], strict=True):
+                if lang in words:
+                    at = pc.index_in(_words(blob), words[lang][0]).fill_null(-1).to_numpy(zero_copy_only=False)
+                    found = np.flatnonzero(at >= 0)
+                    yield _renamed(chunk, _unpacked(seq), found, words[lang][1][at[found]])
+
+    return rename
+
+
+def _pair_namer(below: np.ndarray, first: np.ndarray, last: np.ndarray, id: np.ndarray):
+    """Chunks with the ids of frequent pairs of the sorted ids ``below``."""
+    key = np.searchsorted(below, first) * len(below) + np.searchsorted(below, last)
+    order = np.argsort(key)
+    key, id = key[order], id[order]
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, seq, ids in zip(*[batch.column(c).to_pylist() for c in ("chunk", "seq", "ids")], strict=True):
+                code, a, b, _ = _paired(*_state(seq, ids))
+                own = np.searchsorted(below, a) * len(below) + np.searchsorted(below, b)
+                at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                found = np.flatnonzero(key[at] == own)
+                if len(found):
+                    yield _renamed(chunk, code, found, id[at[found]])
 
     return rename
 
@@ -159,7 +205,23 @@ def _named(chunks: DataFrame, requests: DataFrame, paired: bool) -> DataFrame:
     """(chunk, seq, ids) of the next level; chunks without a frequent phrase go."""
     names = requests.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("names"))
     ids = F.col("ids") if paired else F.lit(None).cast("binary").alias("ids")
-    return cut(chunks.select("chunk", "seq", ids).join(names, "chunk").mapInArrow(_renamer(paired), "chunk long, seq binary, ids binary"))
+    return cut(chunks.select("chunk", "seq", ids).join(names, "chunk").mapInArrow(_renamer(paired), STATE))
+
+
+def _word_table(words: DataFrame) -> dict[str, tuple[pa.Array, np.ndarray]]:
+    t = words.select("lang", "phrase", "id").toArrow()
+    lang = t.column("lang").combine_chunks().dictionary_encode()
+    which = lang.indices.to_numpy(zero_copy_only=False)
+    rows = [(name, t.filter(pa.array(which == k))) for k, name in enumerate(lang.dictionary.to_pylist())]
+    return {name: (x.column("phrase").combine_chunks().cast(pa.string()), x.column("id").to_numpy()) for name, x in rows}
+
+
+def _numbered(names: DataFrame, few: bool, *by: str) -> tuple[DataFrame, bool]:
+    """``names`` with an id, and whether they (and those below) are few: then ids count from 1, which makes small shuffles, else they only differ."""
+    names = cut(names)
+    few = few and names.limit(NAMES + 1).count() <= NAMES
+    id = F.row_number().over(Window.orderBy(*by)).cast("long") if few else F.monotonically_increasing_id()
+    return cut(names.withColumn("id", id)), few
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text: str = "text", lang: str = "lang") -> tuple[list[DataFrame], DataFrame]:
@@ -175,13 +237,17 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text:
     counts = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f"))
     totals = cut(counts.groupBy("lang").agg(F.sum("f").alias("n")))
     none = F.array().cast("array<long>")
-    grams = [cut(counts.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", none.alias("firsts"), none.alias("lasts")))]
-    asked = vocabulary.select("chunk", "code", "lang", F.col("word").alias("phrase")).join(grams[0].select("lang", "phrase", "id"), ["lang", "phrase"])
-    chunks = _named(chunks, asked, False)
+    words, few = _numbered(counts.filter(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), "f"), True, "lang", "phrase")
+    grams = [words.select("id", "lang", "phrase", "f", none.alias("firsts"), none.alias("lasts"))]
+    if few:
+        chunks = cut(chunks.mapInArrow(_word_namer(_word_table(grams[0])), STATE))
+    else:
+        asked = vocabulary.select("chunk", "code", "lang", F.col("word").alias("phrase")).join(grams[0].select("lang", "phrase", "id"), ["lang", "phrase"])
+        chunks = _named(chunks, asked, False)
     for _ in range(longest - 1):
         pairs = chunks.mapInArrow(_pairs, "chunk long, code long, first long, last long, n long")
         often = pairs.groupBy("first", "last").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        often = cut(often.withColumn("id", F.monotonically_increasing_id()))
+        often, few = _numbered(often, few, "first", "last")
         below = grams[-1]
         first = below.select(F.col("id").alias("first"), "lang", "phrase", F.concat("firsts", F.array("f")).alias("firsts"))
         last = below.select(F.col("id").alias("last"), F.substring_index("phrase", " ", -1).alias("word"), F.concat("lasts", F.array("f")).alias("lasts"))
@@ -189,6 +255,11 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text:
         grams.append(cut(named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "f", "firsts", "lasts", "first", "last")))
         if len(grams) == longest or often.isEmpty():
             break
+        if few:
+            ids = np.sort(below.select("id").toArrow().column("id").to_numpy())
+            t = often.select("first", "last", "id").toArrow()
+            chunks = cut(chunks.mapInArrow(_pair_namer(ids, *[t.column(c).to_numpy() for c in ("first", "last", "id")]), STATE))
+            continue
         slot = F.pmod(F.xxhash64("first", "last"), F.lit(SLOTS)).alias("slot")
         slots = F.broadcast(cut(often.select(slot).distinct()))
         asked = pairs.select("chunk", "code", "first", "last", slot).join(slots, "slot", "left_semi").join(often.select("first", "last", "id"), ["first", "last"])

@@ -163,8 +163,10 @@ def mined(rows, least, top, percent=100, longest=5):
     return sorted((lang, i, p.decode(), -a, l, r, n[lang], -s) for lang, xs in found.items() for i, (s, a, p, l, r) in enumerate(sorted(xs)[:top], 1))
 
 
-@pytest.mark.parametrize("percent", [100, 60])
-def test_phrases(spark, percent):
+@pytest.mark.parametrize(("percent", "names"), [(100, 1_000_000), (60, 1_000_000), (100, 12), (60, 0)])
+def test_phrases(spark, percent, names, monkeypatch):
+    """Also with names that are joined instead of sent, from the second or the first level on."""
+    monkeypatch.setattr(phrases, "NAMES", names)
     rng = random.Random(5)
     words = ["New", "york", "city", "É", "of", "the", "x-y", "\U0001f600", "it's"]
     rows = [(" ".join(rng.choice(words) + rng.choice(["", "", "", ".", "\n", ",", "\t", "  "]) for _ in range(rng.randrange(60))), rng.choice(["en", "de", None])) for _ in range(80)]
