@@ -44,13 +44,15 @@ from pyspark.sql import types as T
 from stratlas.operators import locations
 from stratlas.operators.components import connected_components
 from stratlas.operators.locations import HIGH, LOW, XYZ
-from stratlas.session import bounded_batches, is_small, materialise
+from stratlas.session import Scratch, bounded_batches, is_small, materialise
 
 #: Points in a leaf, and the bits of a point's number there.
 LEAF, BITS = 1024, 11
 #: Distances that a pass keeps for the points that it has in work (8 bytes each).
 KEPT = 1 << 21
 MAX_ROUNDS = 300
+#: So many edges of the tree are followed in one task, when rounds have left no more.
+FINISH = 50_000
 #: Tables of at most so many rows are sent to all executors.
 SMALL = 100_000
 
@@ -82,7 +84,7 @@ def _packer(size: int, names: list[str]):
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            cloud = held.column("g").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cloud = held.column("g").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             start = 0
             while start < held.num_rows:
                 others = np.flatnonzero(cloud[start:] != cloud[start])
@@ -277,12 +279,13 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"comp": comp[at][first], "w": low[first], "lc": lc[first], "a": x[first], "b": y[first], "other": tcomp[j[first]]})
 
 
-def spanning_tree(tree: DataFrame) -> DataFrame:
+def spanning_tree(tree: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b, length) between point numbers, one fewer than points in each cloud."""
     bounded_batches(tree.sparkSession)
     pack = "leaf long, comp binary, comps array<long>, only long"
-    comps = materialise(tree.select("leaf", "core", "extent", "whole").mapInArrow(_singles, "comp long, rho double, tiny double, n long, whole long"))
-    state = materialise(tree.select("leaf", "n").mapInArrow(_numbers, pack))
+    tree = scratch.table(tree)
+    comps = scratch.table(tree.select("leaf", "core", "extent", "whole").mapInArrow(_singles, "comp long, rho double, tiny double, n long, whole long"))
+    state = scratch.table(tree.select("leaf", "n").mapInArrow(_numbers, pack))
     clouds = tree.select("g").distinct().count()
     fixed = tree.select("leaf", "g", "extent", *LOW, *HIGH)
     edges = None
@@ -290,27 +293,48 @@ def spanning_tree(tree: DataFrame) -> DataFrame:
         if comps.count() <= clouds:
             return edges if edges is not None else tree.sparkSession.createDataFrame([], "a long, b long, length double")
         reach = state.select("leaf", F.explode("comps").alias("comp")).join(_broadcast(comps.select("comp", "rho")), "comp").groupBy("leaf").agg(F.max("rho").alias("radius"))
-        now = materialise(fixed.join(reach, "leaf").join(state.select("leaf", "only"), "leaf"))
+        now = scratch.table(fixed.join(reach, "leaf").join(state.select("leaf", "only"), "leaf"))
         pairs = _near(now, now)
         sides = tree.select("leaf", "xyz", "core").join(state.select("leaf", "comp"), "leaf")
         rows = pairs.join(sides.join(now.select("leaf", "radius"), "leaf").withColumnRenamed("leaf", "q"), "q").join(sides.select(F.col("leaf").alias("t"), *[F.col(c).alias("t" + c) for c in ("xyz", "core", "comp")]), "t")
         found = rows.select("q", "t", "radius", "xyz", "core", "comp", "txyz", "tcore", "tcomp").mapInArrow(_least, "comp long, w double, lc double, a long, b long, other long")
         best = found.groupBy("comp").agg(F.min(F.struct("w", "lc", "a", "b", "other")).alias("e"))
-        judged = materialise(comps.join(best, "comp", "left").withColumn("sure", F.coalesce(F.col("e.w") <= F.col("rho"), F.lit(False))))
+        judged = scratch.table(comps.join(best, "comp", "left").withColumn("sure", F.coalesce(F.col("e.w") <= F.col("rho"), F.lit(False))))
         sure = judged.filter("sure").select("comp", "e.*")
-        new = materialise(sure.select("a", "b", F.col("w").alias("length")).distinct())
+        new = scratch.table(sure.select("a", "b", F.col("w").alias("length")).distinct())
         edges = new if edges is None else edges.union(new)
-        label = connected_components(comps.select(F.col("comp").alias("id")), sure.select(F.col("comp").alias("a"), F.col("other").alias("b")))
-        label = label.select(F.col("id").alias("comp"), F.col("component").alias("new"))
+        links = sure.select(F.col("comp").alias("a"), F.col("other").alias("b"))
+        if is_small(links, FINISH):
+            label = scratch.table(links.groupBy().applyInPandas(_linked, "id long, component long"))
+            label = comps.select("comp").join(label, comps["comp"] == label["id"], "left").select("comp", F.coalesce("component", "comp").alias("new"))
+        else:
+            label = connected_components(comps.select(F.col("comp").alias("id")), links)
+            label = label.select(F.col("id").alias("comp"), F.col("component").alias("new"))
         grown = judged.join(label, "comp")
         rho = F.when(F.max("sure"), F.min(F.when(F.col("sure"), F.col("e.w"))) * 2).otherwise(F.least(F.max("e.w"), F.max("rho") * 2))
         rho = F.when(F.sum("n") * 2 > F.max("whole"), F.lit(0.0)).otherwise(F.greatest(rho, F.max("tiny")))  # the others reach the largest one
         names = state.select("leaf", F.explode("comps").alias("comp")).join(_broadcast(label), "comp").groupBy("leaf").agg(F.collect_list(F.struct(F.col("comp").alias("old"), "new")).alias("names"))
-        state = materialise(state.join(names, "leaf").select("leaf", "comp", "names").mapInArrow(_relabel, pack))
-        comps = materialise(grown.groupBy(F.col("new").alias("comp")).agg(rho.alias("rho"), F.max("tiny").alias("tiny"), F.sum("n").alias("n"), F.max("whole").alias("whole")))
+        state = scratch.table(state.join(names, "leaf").select("leaf", "comp", "names").mapInArrow(_relabel, pack))
+        comps = scratch.table(grown.groupBy(F.col("new").alias("comp")).agg(rho.alias("rho"), F.max("tiny").alias("tiny"), F.sum("n").alias("n"), F.max("whole").alias("whole")))
     raise RuntimeError(f"the tree isn't whole after {MAX_ROUNDS} rounds")
 
 
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ends of links (a, b) with the smallest id that they reach."""
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    for a, b in zip(pdf.a, pdf.b, strict=True):
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return pd.DataFrame({"id": list(up), "component": [top(c) for c in up]}, dtype="int64")
+
+
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
@@ -325,7 +349,42 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"leaf": [leaf], "comp": pa.array([own.tobytes()], pa.binary()), "comps": pa.array([own.tolist()], pa.list_(pa.int64())), "only": pa.array([int(own[0]) if n == 1 else None], pa.int64())})
 
 
-def joining(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges that are left, shortest first, in one task; rows of edges (c, d, length, a, b), open nodes (c, n, need) and settled ones (c, root)."""
+    nodes = pdf[pdf.kind == 1]
+    size, need = dict(zip(nodes.c, nodes.n, strict=True)), dict(zip(nodes.c, nodes.need, strict=True))
+    root = dict(zip(pdf[pdf.kind == 2].c, pdf[pdf.kind == 2].root, strict=True))
+    members, up = {c: [c] for c in size}, {c: c for c in size}
+    came, between = [], []
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    def settle(c: int, at: int, length: float) -> None:
+        for x in members.pop(c):
+            root[x] = at
+            came.append((0, x, at, length))
+
+    edges = pdf[pdf.kind == 0].sort_values(["length", "a", "b"])
+    for c, d, length in zip(edges.c, edges.d, edges.length, strict=True):
+        if c in root and d in root:
+            between.append((1, root[c], root[d], length))
+        elif c in root or d in root:
+            settle(*(top(d), root[c]) if c in root else (top(c), root[d]), length)
+        else:
+            x, y = top(c), top(d)
+            up[y] = x
+            size[x] += size[y]
+            members[x] += members.pop(y)
+            if size[x] >= need[x]:
+                settle(x, min(members[x]), length)
+    return pd.DataFrame(came + between, columns=["kind", "c", "root", "length"])
+
+
+def joining(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """When points come to a cluster, from a spanning forest: rows (p, root, beta) and the edges (root, other, length) between clusters.
 
     ``nodes`` are (p, need), ``edges`` (a, b, length).  A root is a component that
@@ -333,41 +392,51 @@ def joining(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     one.  Points whose component never does are left out.
     """
     key = F.struct("length", "a", "b").alias("e")
-    open_ = materialise(edges.select(F.col("a").alias("c"), F.col("b").alias("d"), key))
-    small = materialise(nodes.select(F.col("p").alias("c"), "need", F.lit(1).cast("long").alias("n")))
+    open_ = scratch.table(edges.select(F.col("a").alias("c"), F.col("b").alias("d"), key))
+    small = scratch.table(nodes.select(F.col("p").alias("c"), "need", F.lit(1).cast("long").alias("n")))
     members = small.select(F.col("c").alias("p"), "c")
     out = settled = merges = None
     for _ in range(MAX_ROUNDS):
+        if is_small(open_, FINISH):
+            no = lambda kind: F.lit(0).cast(kind)  # noqa: E731  (pandas would make fractions of columns with nulls)
+            rows = open_.select(F.lit(0).alias("kind"), "c", "d", "e.*", no("long").alias("n"), no("long").alias("need"), no("long").alias("root"))
+            rows = rows.union(small.select(F.lit(1), "c", no("long"), no("double"), no("long"), no("long"), "n", "need", no("long")))
+            if settled is not None:
+                ends = open_.select("c").union(open_.select("d")).distinct()
+                rows = rows.union(settled.join(ends, "c", "left_semi").select(F.lit(2), "c", no("long"), no("double"), no("long"), no("long"), no("long"), no("long"), "root"))
+            # Only open nodes with an edge matter; the others are whole clouds that are too small.
+            done = scratch.table(rows.groupBy().applyInPandas(_finish, "kind int, c long, root long, length double"))
+            last = members.join(done.filter("kind = 0").select("c", "root", "length"), "c").select("p", "root", F.col("length").alias("beta"))
+            between = done.filter("kind = 1").select(F.col("c").alias("root"), F.col("root").alias("other"), "length")
+            return last if out is None else out.union(last), between if merges is None else merges.union(between)
         half = open_.union(open_.select("d", "c", "e")).join(small.select("c"), "c", "left_semi")
-        pick = materialise(half.groupBy("c").agg(F.min(F.struct("e", "d")).alias("m")).select("c", "m.e", "m.d"))
-        if pick.isEmpty():
-            return out, merges
+        pick = scratch.table(half.groupBy("c").agg(F.min(F.struct("e", "d")).alias("m")).select("c", "m.e", "m.d"))
         back = pick.select(F.col("c").alias("d"), F.col("d").alias("c"), F.col("e").alias("e2"))
         both = pick.join(back, ["c", "d"]).filter("e = e2 and c < d").select("c", "d", "e")
         size = small.select(F.col("c").alias("d"), F.col("n").alias("m"))
-        both = materialise(both.join(small, "c").join(size, "d").select("c", "d", "e", (F.col("n") + F.col("m")).alias("n"), "need"))
+        both = scratch.table(both.join(small, "c").join(size, "d").select("c", "d", "e", (F.col("n") + F.col("m")).alias("n"), "need"))
         big = both.filter("n >= need")
         now = big.select("c", F.col("e").alias("beta"), F.col("c").alias("root")).union(big.select("d", "e", "c"))
         if settled is not None:
             known = settled.select(F.col("c").alias("d"), "beta", "root")
             now = now.union(pick.join(known, "d").filter("beta < e").select("c", F.col("e").alias("beta"), "root"))
-        now = materialise(now)
+        now = scratch.table(now)
         merged = both.filter("n < need")
-        settled = now if settled is None else materialise(settled.union(now))
+        settled = now if settled is None else scratch.table(settled.union(now))
         came = members.join(now, "c").select("p", "root", F.col("beta.length").alias("beta"))
-        out = materialise(came) if out is None else out.union(materialise(came))
-        names = materialise(merged.select(F.col("d").alias("old"), F.col("c").alias("new")))
+        out = scratch.table(came) if out is None else out.union(scratch.table(came))
+        names = scratch.table(merged.select(F.col("d").alias("old"), F.col("c").alias("new")))
         renamed = lambda df, c: df.join(names, df[c] == names["old"], "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
-        members = materialise(renamed(members.join(now.select("c"), "c", "left_anti"), "c"))
+        members = scratch.table(renamed(members.join(now.select("c"), "c", "left_anti"), "c"))
         sizes = merged.select("c", F.col("n").alias("more"))
         small = small.join(now.select("c"), "c", "left_anti").join(names, small["c"] == names["old"], "left_anti")
-        small = materialise(small.join(sizes, "c", "left").select("c", "need", F.coalesce("more", "n").alias("n")))
+        small = scratch.table(small.join(sizes, "c", "left").select("c", "need", F.coalesce("more", "n").alias("n")))
         used = both.select("e").union(now.select(F.col("beta").alias("e")))
-        open_ = materialise(renamed(renamed(open_.join(used.distinct(), "e", "left_anti").select("c", "d", "e"), "c"), "d"))
+        open_ = scratch.table(renamed(renamed(open_.join(used.distinct(), "e", "left_anti").select("c", "d", "e"), "c"), "d"))
         ends = open_.join(settled.select("c", F.col("root").alias("x")), "c", "left").join(settled.select(F.col("c").alias("d"), F.col("root").alias("y")), "d", "left")
-        ends = materialise(ends)
+        ends = scratch.table(ends)
         between = ends.filter("x is not null and y is not null").select(F.col("x").alias("root"), F.col("y").alias("other"), F.col("e.length").alias("length"))
-        merges = materialise(between) if merges is None else merges.union(materialise(between))
+        merges = scratch.table(between) if merges is None else merges.union(scratch.table(between))
         open_ = ends.filter("x is null or y is null").select("c", "d", "e")
     raise RuntimeError(f"components are open after {MAX_ROUNDS} rounds")
 
@@ -461,11 +530,10 @@ def find_clusters(points: DataFrame, cloud: str = "cloud_id", least: float = 1 /
     count = materialise(good.groupBy("g").agg(F.count("*").alias("whole")))
     tree = core_distances(leaves(good, least, size))
     nodes = materialise(tree.select("g", "k", "leaf", F.posexplode("ids").alias("i", "idx")).select("g", (F.shiftleft("leaf", BITS) + F.col("i")).alias("p"), "idx", F.col("k").alias("need")))
-    came, merges = joining(nodes.select("p", "need"), spanning_tree(tree))
+    scratch = Scratch(base.sparkSession)
+    came, merges = joining(nodes.select("p", "need"), spanning_tree(tree, scratch), scratch)
     out = [F.col("g").alias(cloud), "idx", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")]
-    if came is None:
-        return base.select(out[0], "idx", F.lit(-1).alias("cluster"))
-    came = materialise(came)
+    came, merges = scratch.table(came), scratch.table(merges)
     of = nodes.select(F.col("p").alias("root"), "g")
     births = came.groupBy("root").agg(F.min("beta").alias("length")).join(of, "root").select("g", "root", F.lit(None).cast("long").alias("other"), "length")
     frame = births.union(merges.join(of, "root").select("g", "root", "other", "length"))
@@ -498,6 +566,7 @@ def find_clusters(points: DataFrame, cloud: str = "cloud_id", least: float = 1 /
     named = materialise(named)
     numbers = named.groupBy("g", "cluster").agg(F.min("idx").alias("least")).select(F.col("g").alias("_g"), F.col("cluster").alias("_c"), (F.row_number().over(Window.partitionBy("g").orderBy("least")) - 1).alias("number"))
     numbers = materialise(numbers)
+    scratch.clear()
     labels = named.join(_broadcast(numbers), F.col("g").eqNullSafe(F.col("_g")) & (F.col("cluster") == F.col("_c"))).select("p", F.col("number").alias("cluster"))
     known = nodes.join(labels, "p", "left").select(*out)
     noise = base.filter(~whole).select(F.col("g").alias(cloud), "idx", F.lit(-1).alias("cluster"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SHARED = "/tmp/checkpoints/stratlas"
@@ -43,3 +45,25 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     now = spark.conf.get(key, None)
     if now is None or not now.isdigit() or not 0 < int(now) <= size:
         spark.conf.set(key, str(size))
+
+
+class Scratch:
+    """Tables in the shared folder for as long as a loop needs them.
+
+    A table that is read again knows nothing of how it was made or dealt out, so
+    plans of many rounds stay as small as those of one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove all of them; what is still to be read has to be materialised before."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratlas.functions import geometry as G
 from stratlas.functions import ids, names
-from stratlas.operators import assignment, clusters, components, features, hierarchy, locations, meshes, registry, similarity, tabular, voxels
+from stratlas.operators import assignment, clusters, components, density, features, hierarchy, locations, meshes, registry, similarity, tabular, voxels
 from stratlas.sources import chunks, files, sinks, specs
 
 
@@ -287,6 +287,120 @@ def test_clusters_are_found():
     assert [len(set(got[k * 60 : (k + 1) * 60]) - {-1}) for k in range(3)] == [1, 1, 1] and len(set(got) - {-1}) == 3
 
 
+def _clustered(spark, clouds, least, most, size=256):
+    rows = [(c, i, *map(float, p)) for c, points in clouds.items() for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "cloud_id string, idx long, x double, y double, z double")
+    got = density.find_clusters(df, least=least, most=most, size=size).collect()
+    assert len(got) == len(rows)
+    return {c: np.array([r.cluster for r in sorted((r for r in got if r.cloud_id == c), key=lambda r: r.idx)]) for c in clouds}
+
+
+@pytest.mark.parametrize("finish", [50_000, 100])
+def test_clusters_of_several_clouds(spark, finish, monkeypatch):
+    """As the array function finds them: 2,000 points on a coarse lattice (many ties, equal points), and a small cloud beside them; by rounds and in one task."""
+    monkeypatch.setattr(density, "FINISH", finish)
+    rng = np.random.default_rng(3)
+    blobs = [rng.normal(rng.uniform(0, 10, 3), rng.uniform(0.05, 0.5), (rng.integers(60, 250), 3)) for _ in range(12)]
+    cloud = np.vstack([*blobs, rng.uniform(-3, 13, (300, 3))])[:2000]
+    clouds = {"fine": cloud[rng.permutation(len(cloud))[:700]], None: np.round(cloud * 2) / 2, "tiny": cloud[:1]}
+    got = _clustered(spark, clouds, 1 / 100, 1 / 4)
+    for c in ("fine", None):
+        n = len(clouds[c])
+        want = clusters.density_clusters(clouds[c], n // 100, n // 4)
+        assert want.max() > 1 and (got[c] == want).all()
+    assert got["tiny"].tolist() == [-1]
+
+
+def test_clusters_of_odd_points(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, 0, nan, 0.0, 0.0), (1, 1, None, 0.0, 0.0), (1, 2, 0.0, inf, 0.0)] + [(1, i, 1.0, 1.0, 1.0) for i in range(3, 43)], "cloud_id int, idx int, x double, y double, z double")
+    got = density.find_clusters(df, least=1 / 4, most=1.0).collect()
+    assert len(got) == 43 and {r.cluster for r in got} == {-1}  # equal points are one whole, which is none
+    assert density.find_clusters(df.limit(0)).count() == 0
+
+
+def _torus(n, m):
+    point = lambda i, j: ((3 + math.cos(2 * math.pi * j / m)) * math.cos(2 * math.pi * i / n), (3 + math.cos(2 * math.pi * j / m)) * math.sin(2 * math.pi * i / n), math.sin(2 * math.pi * j / m))
+    verts = [point(i, j) for i in range(n) for j in range(m)]
+    at = lambda i, j: (i % n) * m + j % m
+    faces = [f for i in range(n) for j in range(m) for f in ((at(i, j), at(i + 1, j), at(i, j + 1)), (at(i + 1, j), at(i, j + 1), at(i + 1, j + 1)))]
+    return verts, faces
+
+
+def _sheet(n):
+    verts = [(float(i), float(j), math.sin(i) + 0.1 * j) for i in range(n) for j in range(n)]
+    faces = [f for i in range(n - 1) for j in range(n - 1) for f in ((i * n + j, (i + 1) * n + j, i * n + j + 1), ((i + 1) * n + j, i * n + j + 1, (i + 1) * n + j + 1))]
+    return verts, faces
+
+
+def _walked(verts, faces, normal, d):
+    """Lines by walking from face to face: name -> (edges in order, faces, closed)."""
+    above = [sum(a * b for a, b in zip(normal, v, strict=True)) >= d for v in verts]
+    cut = {}
+    for f, vs in enumerate(faces):
+        e = [f"{min(a, b)}-{max(a, b)}" for a, b in itertools.combinations(vs, 2) if above[a] != above[b]]
+        if e:
+            cut[f] = e
+    at = {}
+    for f, e in cut.items():
+        for x in e:
+            at.setdefault(x, []).append(f)
+    left, out = set(cut), {}
+    starts = sorted((x, fs[0]) for x, fs in at.items() if len(fs) != 2) + sorted((x, min(fs)) for x, fs in at.items() if len(fs) == 2)
+    for edge, f in starts:
+        if f not in left:
+            continue
+        line, way, x = [edge], [], edge
+        while f in left:
+            left.remove(f)
+            way.append(f)
+            x = next(e for e in cut[f] if e != x)
+            line.append(x)
+            f = next((g for g in at[x] if g in left), None) if len(at[x]) == 2 else None
+        out[f"{edge}/{way[0]}"] = (line[:-1] if x == edge else line, way, x == edge)
+    return out
+
+
+@pytest.mark.parametrize(("mesh", "normal", "d"), [(_torus(24, 12), (0.0, 0.0, 1.0), 0.3), (_torus(17, 9), (0.6, 0.0, 0.8), 0.1), (_sheet(9), (0.0, 0.0, 1.0), 0.4), (_torus(5, 4), (0.0, 1.0, 0.0), 9.0)])
+def test_contours_in_order(spark, mesh, normal, d):
+    verts, faces = mesh
+    v = spark.createDataFrame([("m", i, *p) for i, p in enumerate(verts)], "mesh string, vid int, x double, y double, z double")
+    f = spark.createDataFrame([("m", i, *p) for i, p in enumerate(faces)], "mesh string, fid int, v0 int, v1 int, v2 int")
+    got = {}
+    for r in meshes.contours(v, f, normal, d).collect():
+        got.setdefault(r.contour, []).append(r)
+    want = _walked(verts, faces, normal, d)
+    assert set(got) == set(want)
+    for name, (line, way, closed) in want.items():
+        rows = sorted(got[name], key=lambda r: r.k)
+        assert [r.k for r in rows] == list(range(len(line))) and [r.fid for r in rows] == way + [None] * (len(line) - len(way)) and all(r.closed == closed for r in rows)
+        for r, e in zip(rows, line, strict=True):
+            a, b = (np.array(verts[int(i)]) for i in e.split("-"))
+            p = np.array([r.x, r.y, r.z])
+            assert abs(np.dot(normal, p) - d) < 1e-9 and np.linalg.norm(np.cross(p - a, b - a)) < 1e-9
+
+
+def test_components_with_negative_places(spark):
+    mask = spark.createDataFrame([(0, 0, 0, 1.0), (0, -1, (1 << 20) - 4, 1.0), (-1, 0, 1, 1.0)], "x int, y int, z int, value double")
+    got = {(r.x, r.y, r.z): r.component for r in components.label_mask(mask).collect()}
+    assert len(set(got.values())) == 2 and got[0, 0, 0] == got[-1, 0, 1]
+    far = spark.createDataFrame([(0, 0, 0, 1.0), (0, -1, (1 << 20) - 1, 1.0)], "x int, y int, z int, value double")
+    with pytest.raises(ValueError, match="places at most"):
+        components.label_mask(far)
+
+
+def test_wide_density(spark):
+    """Three passes give the cubic kernel's values."""
+    p = spark.createDataFrame([(0, 0, 0), (0, 0, 0), (2, -1, 5)], "x int, y int, z int")
+    got = {(r.x, r.y, r.z): r.value for r in voxels.density(p, 1.5).collect()}
+    want = {}
+    for at, n in (((0, 0, 0), 2), ((2, -1, 5), 1)):
+        for i, j, k, w in G.gaussian_kernel(1.5):
+            key = (at[0] + i, at[1] + j, at[2] + k)
+            want[key] = want.get(key, 0) + n * w / 3
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want) and abs(sum(got.values()) - 1) < 1e-9
+
+
 def test_enclosing_patch(spark):
     p = spark.createDataFrame([(float(i), float(i), 0.0) for i in range(10)], "x double, y double, z double")
     mean, axes, low, high = clusters.enclosing_patch(p)
