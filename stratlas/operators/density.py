@@ -52,7 +52,7 @@ LEAF, BITS = 1024, 11
 KEPT = 1 << 21
 MAX_ROUNDS = 300
 #: So many edges of the tree are followed in one task, when rounds have left no more.
-FINISH = 50_000
+FINISH = 500_000
 #: Tables of at most so many rows are sent to all executors.
 SMALL = 100_000
 

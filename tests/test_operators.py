@@ -295,7 +295,7 @@ def _clustered(spark, clouds, least, most, size=256):
     return {c: np.array([r.cluster for r in sorted((r for r in got if r.cloud_id == c), key=lambda r: r.idx)]) for c in clouds}
 
 
-@pytest.mark.parametrize("finish", [50_000, 100])
+@pytest.mark.parametrize("finish", [500_000, 100])
 def test_clusters_of_several_clouds(spark, finish, monkeypatch):
     """As the array function finds them: 2,000 points on a coarse lattice (many ties, equal points), and a small cloud beside them; by rounds and in one task."""
     monkeypatch.setattr(density, "FINISH", finish)
