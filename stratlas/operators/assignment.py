@@ -13,12 +13,14 @@ from stratlas.functions import geometry as G
 from stratlas.operators import components, similarity, voxels as V
 
 XYZ = ("x", "y", "z")
+# Codes and verbs of qualifications.
 CODES = {"EXACT": 1, "APPROXIMATE": 2, "OTHER_VERSION": 3, "CONTAINED": 4, "CONTAINS": 5, "OVERLAPS": 6, "HOMOLOGOUS": 7}
 VERBS = {1: "coincides with", 2: "approximates to", 3: "is another version of", 4: "is contained in", 5: "contains", 6: "overlaps with", 7: "is homologous to"}
 _INVERSE = {4: 5, 5: 4}
 #: Voxels of uncertainty from which a point is a blob.
 BLOB = 3
 
+# The columns of an assignment, in their order.
 COLUMNS = ("input_structure", "centroid", "volume", "fragment", "region", "correlation", "intersection_over_union", "map_value", "map_weighted_mean", "map_containedness", "input_weighted_mean", "input_containedness")
 
 

@@ -14,8 +14,9 @@
    component for each local maximum of density.
 4. The tree is followed from its shortest edges only until a component has the
    smallest size of a cluster: two components that are each other's least edge
-   join, and one whose least edge leads to a cluster joins that.  What is left
-   are the edges between clusters, fewer than points by the smallest size.
+   join, and one whose least edge leads to a cluster joins that.  Rounds end when
+   ``FINISH`` edges are left, which one task follows.  What remains are the edges
+   between clusters, at most as many as points by the smallest size.
 5. The clusters' tree of one cloud is a few rows (at most cloud size by smallest
    cluster); the points' densities are summed over all points by cluster.
 
