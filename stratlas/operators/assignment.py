@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratlas.functions import geometry as G
-from stratlas.operators import components, similarity, voxels as V
+from stratlas.operators import components, locations, similarity, voxels as V
+from stratlas.session import materialise
 
 XYZ = ("x", "y", "z")
 # Codes and verbs of qualifications.
@@ -116,3 +117,43 @@ def _compared(parts: DataFrame, by: str, table: DataFrame, index: DataFrame, pla
         input_weighted_mean=F.col("input_weighted_mean"),
         input_containedness=F.col("input_contained"),
     )
+
+
+def assign_regions(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_boxes: DataFrame | None = None, b_boxes: DataFrame | None = None) -> DataFrame:
+    """How the regions of two maps lie to one another: (a_id, b_id, qualification, shared, by), pairs that meet.
+
+    ``a`` and ``b`` are masks of one grid (id, x, y, z).  A pair with equal masks is
+    EXACT, a mask in the other CONTAINED, the other way round CONTAINS, else they
+    OVERLAP; ``shared`` counts the voxels of both.  A region without a mask may have
+    a box (id, x0 to z1 in voxels, upper ends one beyond the last): its pairs are
+    told from the two boxes, with ``shared`` null and ``by`` "box" instead of "mask".
+    A region with a mask doesn't need its box.  Repeated voxels count once, and rows
+    without an id or place are left out.
+
+    Places are grouped by the set of regions that they belong to before any pair is
+    made, so pairs are counted per set and not per voxel.
+    """
+    side = lambda df, id, n: df.dropna(subset=[id, *XYZ]).select(*XYZ, *[(F.col(id) if i == n else F.lit(None).cast((a.schema[a_id], b.schema[b_id])[i].dataType)).alias("ab"[i]) for i in (0, 1)])
+    a, b = a.select(a_id, *XYZ), b.select(b_id, *XYZ)
+    sets = side(a, a_id, 0).union(side(b, b_id, 1)).groupBy(*XYZ).agg(F.sort_array(F.collect_set("a")).alias("sa"), F.sort_array(F.collect_set("b")).alias("sb"))
+    sets = materialise(sets.groupBy("sa", "sb").agg(F.count("*").alias("n")))
+    own = [sets.select(F.explode("s" + c).alias(c), "n").groupBy(c).agg(F.sum("n").alias("n" + c)) for c in "ab"]
+    met = sets.withColumn("a", F.explode("sa")).withColumn("b", F.explode("sb")).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    met = met.join(own[0], "a").join(own[1], "b")
+    whole = [F.col("shared") == F.col("n" + c) for c in "ab"]
+    how = F.when(whole[0] & whole[1], "EXACT").when(whole[0], "CONTAINED").when(whole[1], "CONTAINS").otherwise("OVERLAPS")
+    out = met.select(F.col("a").alias(a_id), F.col("b").alias(b_id), how.alias("qualification"), "shared", F.lit("mask").alias("by"))
+    if a_boxes is None and b_boxes is None:
+        return out
+
+    def boxed(mask: DataFrame, id: str, given: DataFrame | None, ends: str) -> DataFrame:
+        box = mask.dropna(subset=[id, *XYZ]).groupBy(id).agg(*[F.min(c).cast("double").alias(c + "0") for c in XYZ], *[(F.max(c) + 1).cast("double").alias(c + "1") for c in XYZ], F.lit(True).alias("has" + ends))
+        if given is None:
+            return box
+        rest = given.join(box.select(id), id, "left_anti").select(id, *[F.col(c).cast("double").alias(c) for c in (*locations.LOW, *locations.HIGH)], F.lit(False).alias("has" + ends))
+        return box.unionByName(rest)
+
+    left, right = materialise(boxed(a, a_id, a_boxes, "")), materialise(boxed(b, b_id, b_boxes, "_b"))
+    pairs = locations.intersect_boxes(left.drop("has"), right.drop("has_b"), a_id, b_id).select(a_id, b_id)
+    full = pairs.join(left, a_id).join(right.select(b_id, "has_b", *[F.col(c).alias(c + "_b") for c in (*locations.LOW, *locations.HIGH)]), b_id)
+    return out.union(full.filter(~(F.col("has") & F.col("has_b"))).select(a_id, b_id, locations.relation().alias("qualification"), F.lit(None).cast("long").alias("shared"), F.lit("box").alias("by")))

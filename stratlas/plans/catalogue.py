@@ -10,7 +10,7 @@ import importlib
 
 from stratlas.plans.registry import ORACLES, QUERIES
 
-for _module in ("spatial", "patches", "trees", "measurements", "anchors", "stored"):
+for _module in ("spatial", "trees", "measurements", "anchors", "stored", "patches"):
     importlib.import_module(f"stratlas.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,12 +1,14 @@
-"""Patches of the points' planes, and the image under them."""
+"""Patches of the points' planes and the image under them, regions assigned to regions, volumes at several scales."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratlas.operators import patches, voxels
+from stratlas.operators import assignment, patches, voxels
 from stratlas.plans.registry import query
 from stratlas.plans.spatial import CLOUD, DISTANCE, GRID, NORMAL, TO_MM, cloud, grid
+from stratlas.plans.stored import _folder
+from stratlas.sources import pyramids
 
 _CORNERS = [f"c{k}_{c}" for k in range(4) for c in "xyz"]
 
@@ -110,3 +112,61 @@ def surface_patches(spark, sf_dir):
     image = grid(spark, sf_dir).groupBy("x", "y", "z").agg(F.sum("value").alias("value"))
     got = patches.surface_patches(sections, layers, faces, "4", image, TO_MM, 2.0, (0.125, 0.125), 0.1)
     return _spread(got, "section", "mesh", "vid", "relevance", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+_IN = lambda p, q: " AND ".join(f"{p}.{c}0 >= {q}.{c}0 AND {p}.{c}1 <= {q}.{c}1" for c in "xyz")
+_ENDS = ", ".join(f"min({c}) AS {c}0, max({c}) + 1 AS {c}1" for c in "xyz")
+
+
+@query(f"""
+WITH {GRID}, a AS (SELECT volume AS region, x, y, z FROM grid), b AS (SELECT volume AS other, x, y, z FROM grid WHERE value > 1 AND volume < 8),
+na AS (SELECT region, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT other, count(*) AS nb FROM b GROUP BY 1), s AS (SELECT region, other, count(*) AS shared FROM a JOIN b USING (x, y, z) GROUP BY ALL),
+ba AS (SELECT region, {_ENDS} FROM a GROUP BY 1), bb AS (SELECT volume AS other, {_ENDS} FROM grid WHERE value > 1 AND volume >= 8 GROUP BY 1)
+SELECT region, other, CASE WHEN shared = na AND shared = nb THEN 'EXACT' WHEN shared = na THEN 'CONTAINED' WHEN shared = nb THEN 'CONTAINS' ELSE 'OVERLAPS' END AS qualification, shared, 'mask' AS by FROM s JOIN na USING (region) JOIN nb USING (other)
+UNION ALL SELECT region, other, CASE WHEN {_IN('ba', 'bb')} AND {_IN('bb', 'ba')} THEN 'EXACT' WHEN {_IN('ba', 'bb')} THEN 'CONTAINED' WHEN {_IN('bb', 'ba')} THEN 'CONTAINS' ELSE 'OVERLAPS' END, NULL, 'box'
+FROM ba JOIN bb ON {" AND ".join(f"greatest(ba.{c}0, bb.{c}0) < least(ba.{c}1, bb.{c}1)" for c in "xyz")}
+""")
+def assign_regions(spark, sf_dir):
+    """Each label's volume to the labels' cores (voxels of several points); labels from 8 on have only their core's box."""
+    g = grid(spark, sf_dir)
+    core = g.filter("value > 1").withColumnRenamed("volume", "other")
+    boxes = voxels.bounding_box(core.filter("other >= 8"), "other")
+    return assignment.assign_regions(g.withColumnRenamed("volume", "region"), core.filter("other < 8"), "region", "other", b_boxes=boxes)
+
+
+_ALL = f"{GRID}, al AS (SELECT x, y, z, sum(value) AS value, max(volume) + 1.0 AS label FROM grid GROUP BY ALL)"
+
+
+def _stored(spark, sf_dir, labels):
+    value = F.max("volume") + 1 if labels else F.sum("value")
+    folder = _folder(spark)
+    pyramids.write_pyramid(grid(spark, sf_dir).groupBy("x", "y", "z").agg(value.alias("value")), folder, 0.125, (17, 17, 17), 4, labels, 4)
+    return folder
+
+
+def _every_scale(spark, sf_dir, labels):
+    folder, out = _stored(spark, sf_dir, labels), None
+    for k in range(4):
+        scale, at = pyramids.read_pyramid(spark, folder, 0.125 * 2**k)
+        at = at.select(F.lit(scale.scale).alias("scale"), "x", "y", "z", F.round("value", 9).alias("value"))
+        out = at if out is None else out.union(at)
+    return out
+
+
+@query(f"WITH {_ALL} SELECT k AS scale, " + ", ".join(f"CAST({c} // (1 << k) AS INTEGER) AS {c}" for c in "xyz") + ", round(sum(value / (1 << (3 * k))), 9) AS value FROM al, (VALUES (0), (1), (2), (3)) s(k) GROUP BY ALL")
+def value_pyramid(spark, sf_dir):
+    """All points' density at four scales."""
+    return _every_scale(spark, sf_dir, False)
+
+
+@query(f"WITH {_ALL} SELECT k AS scale, " + ", ".join(f"CAST({c} // (1 << k) AS INTEGER) AS {c}" for c in "xyz") + ", CAST(label AS DOUBLE) AS value FROM al, (VALUES (0), (1), (2), (3)) s(k) WHERE " + " AND ".join(f"{c} % (1 << k) = 0" for c in "xyz"))
+def label_pyramid(spark, sf_dir):
+    """The largest label of each voxel at four scales."""
+    return _every_scale(spark, sf_dir, True)
+
+
+@query(f"WITH {_ALL} SELECT 0.25::DOUBLE AS resolution_mm, " + ", ".join(f"CAST({c} // 2 AS INTEGER) AS {c}" for c in "xyz") + ", round(sum(value) / 8, 9) AS value FROM al WHERE x // 2 BETWEEN 2 AND 5 AND y // 2 BETWEEN 3 AND 4 AND z // 2 BETWEEN 0 AND 6 GROUP BY ALL")
+def pyramid_box(spark, sf_dir):
+    """A box of the density at the coarsest scale that resolves 0.3 mm."""
+    scale, at = pyramids.read_pyramid(spark, _stored(spark, sf_dir, False), 0.3, ((0.6, 0.75, -0.1), (1.4, 1.25, 1.7)))
+    return at.select(F.lit(scale.resolution_mm).alias("resolution_mm"), "x", "y", "z", F.round("value", 9).alias("value"))
