@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratlas.operators import assignment, patches, voxels
+from stratlas.operators import assignment, patches, polygons, voxels
 from stratlas.plans.registry import query
 from stratlas.plans.spatial import CLOUD, DISTANCE, GRID, NORMAL, TO_MM, cloud, grid
 from stratlas.plans.stored import _folder
@@ -170,3 +171,18 @@ def pyramid_box(spark, sf_dir):
     """A box of the density at the coarsest scale that resolves 0.3 mm."""
     scale, at = pyramids.read_pyramid(spark, _stored(spark, sf_dir, False), 0.3, ((0.6, 0.75, -0.1), (1.4, 1.25, 1.7)))
     return at.select(F.lit(scale.resolution_mm).alias("resolution_mm"), "x", "y", "z", F.round("value", 9).alias("value"))
+
+
+@query(f"""
+WITH {CLOUD}, v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY idx) AS k, count(*) OVER (PARTITION BY label) AS n, floor(x * 80 + 80) / 4 AS x, floor(z * 80 + 80) / 4 AS y FROM cloud),
+e AS (SELECT a.label, a.x, a.y, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.label = b.label AND b.k = a.k % a.n + 1),
+t AS (SELECT DISTINCT label, p.x AS px, q.y AS py, bool_or(abs((x2 - e.x) * (q.y - e.y) - (y2 - e.y) * (p.x - e.x)) < 1e-9 AND p.x BETWEEN least(e.x, x2) AND greatest(e.x, x2) AND q.y BETWEEN least(e.y, y2) AND greatest(e.y, y2)) AS edge,
+  count(*) FILTER (WHERE (e.y <= q.y) <> (y2 <= q.y) AND p.x < e.x + (q.y - e.y) * (x2 - e.x) / (y2 - e.y)) % 2 = 1 AS inside FROM e, range(0, 41) p(x), range(0, 41) q(y) GROUP BY ALL)
+SELECT label AS polygon, CAST(px AS INTEGER) AS x, CAST(py AS INTEGER) AS y FROM t WHERE edge OR inside
+""")
+def polygon_rasters(spark, sf_dir):
+    """The polygon of each label's points in their order, in quarters of a pixel."""
+    quarter = lambda c: (F.floor(F.col(c) * 80 + 80) / 4)
+    c = cloud(spark, sf_dir)
+    k = F.row_number().over(Window.partitionBy("label").orderBy("idx")) - 1
+    return polygons.raster(c.select(F.col("label").alias("polygon"), F.lit(0).alias("ring"), k.alias("k"), quarter("x").alias("x"), quarter("z").alias("y")))
