@@ -11,12 +11,13 @@ there are few levels.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratlas.functions import geometry as G
-from stratlas.session import is_small, materialise
+from stratlas.session import materialise
 
 LOW, HIGH = ("x0", "y0", "z0"), ("x1", "y1", "z1")
 XYZ = ("x", "y", "z")
@@ -163,45 +164,82 @@ def enclosing_cubes(points: DataFrame, width: float) -> DataFrame:
     return points.withColumns({a: F.col(c) - width / 2 for c, a in zip(XYZ, LOW, strict=True)} | {b: F.col(c) + width / 2 for c, b in zip(XYZ, HIGH, strict=True)})
 
 
-#: Up to so many points are sent to all executors, 27 cells each, in place of dealing targets by cell.
-BROADCAST_POINTS = 2_000
+#: Targets in a leaf of the tree that ``nearest`` goes down.
+LEAF = 16
+#: So many nodes of a level, or targets in leaves, are sent to all executors; more are joined by a shuffle.
+SEND_NODES, SEND_TARGETS = 100_000, 500_000
+#: Points of one task of the descent, and levels after which it is written.
+DESCENT, LEVELS_AT_ONCE = 20_000, 12
 
 
-def nearest(points: DataFrame, targets: DataFrame, id: str, target_id: str, cell: float) -> DataFrame:
+def _tree(targets: DataFrame) -> tuple[list[tuple[DataFrame, int]], DataFrame, int]:
+    """Levels of nodes (parent, node, box, a target of it as rx, ry, rz) with their numbers, leaves (node, of) with ``LEAF`` targets at most, and the number of targets.
+
+    Targets (_t, x, y, z) lie at different places.  A node is cut at the middle of
+    the box of its own targets, in up to eight, so each cut parts some of them,
+    however close they are, and one far away costs a level.
+    """
+    aggs = [f(c).alias(name) for c, lo, hi in zip(XYZ, LOW, HIGH, strict=True) for f, name in ((F.min, lo), (F.max, hi), (F.first, "r" + c))]
+    # first() of three columns is that of one row, as none is null.
+    left, parts, levels, whole = targets.withColumns({"parent": F.lit(""), "node": F.lit("")}), [], [], None
+    while True:
+        nodes = materialise(left.groupBy("parent", "node").agg(F.count("*").alias("n"), *aggs))
+        number, rows, large = nodes.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+        levels.append((nodes.drop("n"), number))
+        whole = rows if whole is None else whole
+        octant = F.lit(0)
+        for i, (lo, hi) in enumerate(zip(LOW, HIGH, strict=True)):
+            middle = F.greatest(F.col(lo), F.col(lo) / 2 + F.col(hi) / 2)
+            octant = octant + F.when(F.col(XYZ[i]) > F.when(middle < F.col(hi), middle).otherwise(F.col(lo)), 1 << i).otherwise(0)
+        known = nodes.select("node", "n", *LOW, *HIGH)
+        cut = left.join(F.broadcast(known) if number <= SEND_NODES else known, "node")
+        cut = materialise(cut.select("_t", *XYZ, "node", F.when(F.col("n") > LEAF, F.concat("node", octant.cast("string"))).alias("next")))
+        parts.append(cut.filter("next is null").select("node", "_t", *XYZ))
+        if not large or large <= LEAF:
+            break
+        left = cut.filter("next is not null").select("_t", *XYZ, F.col("node").alias("parent"), F.col("next").alias("node"))
+    leaves = reduce(DataFrame.union, parts).groupBy("node").agg(F.collect_list(F.struct("_t", *XYZ)).alias("of"))
+    return levels, materialise(leaves), whole or 0
+
+
+def nearest(points: DataFrame, targets: DataFrame, id: str, target_id: str, cell: float | None = None) -> DataFrame:
     """(id, target_id, distance): the nearest target of each point, the smallest id of several.
 
-    Targets in a point's 27 cells are compared; a result within one cell's width
-    is the nearest for certain, and the other points try again with cells twice
-    as large, so every point ends with its nearest target.  When few points are
-    left they are broadcast, so that targets aren't gathered in few large cells.
+    Points go down a tree of the targets level by level.  A node's box bounds the
+    distance from below, one of its targets from above, and only nodes that may
+    hold a nearest target are gone into, so a point looks at a few nodes of each level,
+    however many targets there are and however they lie.  A point's nodes
+    stay together and in order, so rounds need neither shuffle nor sort while levels are broadcast.
 
-    Points and targets without three finite coordinates are left out.
+    Points and targets without three finite coordinates are left out.  The result
+    doesn't depend on ``cell``, which is kept for callers.
     """
     finite = lambda xyz: [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in xyz]  # noqa: E731  (NaN is above all numbers)
     whole = lambda df, xyz: df.filter(finite(xyz)[0] & finite(xyz)[1] & finite(xyz)[2])
-    left = whole(points, XYZ).select(F.col(id).alias("_p"), *[F.col(c).alias("p" + c) for c in XYZ])
-    right = whole(targets, XYZ).select(F.col(target_id).alias("_t"), *XYZ)
-    ends = [df.agg(*[f(p + c) for c in XYZ for f in (F.min, F.max)]).first() for df, p in ((left, "p"), (right, ""))]
-    if ends[0][0] is None or ends[1][0] is None:
-        return points.select(id, F.lit(None).cast(targets.schema[target_id].dataType).alias(target_id), F.lit(None).cast("double").alias("distance")).limit(0)
-    extent = max(max(e[i + 1] for e in ends) - min(e[i] for e in ends) for i in (0, 2, 4))
-    done = None
-    for _ in range(max(0, math.ceil(math.log2(max(2 * extent, cell) / cell))) + 2):
-        few = is_small(left, BROADCAST_POINTS)
-        around = left
-        for i, c in enumerate(XYZ):
-            around = around.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col("p" + c) / cell) + d for d in (-1, 0, 1)])))
-        cells = right.withColumns({f"c{i}": F.floor(F.col(c) / cell) for i, c in enumerate(XYZ)})
-        d = G.distance([F.col("p" + c) for c in XYZ], [F.col(c) for c in XYZ])
-        met = cells.join(F.broadcast(around), ["c0", "c1", "c2"]) if few else around.join(cells, ["c0", "c1", "c2"])
-        best = met.groupBy("_p").agg(F.min(F.struct(d.alias("d"), F.col("_t").alias("t"))).alias("m")).select("_p", "m.*").filter(F.col("d") <= cell)
-        best = materialise(best)
-        done = best if done is None else done.union(best)
-        left = materialise(left.join(best.select("_p"), "_p", "left_anti"))
-        if left.isEmpty():
-            return done.select(F.col("_p").alias(id), F.col("t").alias(target_id), F.col("d").alias("distance"))
-        cell *= 2
-    raise ValueError("points are left though a cell holds all targets")
+    place = lambda p: [F.col(c).cast("double").alias(p + c) for c in XYZ]
+    left = whole(points, XYZ).select(F.col(id).alias("_p"), *place("p"))
+    # Of targets at one place the smallest id stays.
+    right = whole(targets, XYZ).select(F.col(target_id).alias("_t"), *place("")).groupBy(*XYZ).agg(F.min("_t").alias("_t"))
+    levels, leaves, n = _tree(right)
+    p, box = [F.col("p" + c) for c in XYZ], [F.least(F.greatest(F.col("p" + c), F.col(a)), F.col(b)) for c, a, b in zip(XYZ, LOW, HIGH, strict=True)]
+    # Both bounds are sums of the same form as the distances, so rounding never puts a nearest target out of them.
+    below, above = G.distance(p, box), G.distance(p, [F.col("r" + c) for c in XYZ])
+    own = Window.partitionBy("_p")
+    deal = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(left.count() / DESCENT))
+    state = left.repartition(deal, "_p").withColumns({"at": F.lit(""), "low": F.lit(0.0), "up": F.lit(float("inf"))})
+    for k, (nodes, number) in enumerate(levels):
+        kids = nodes.withColumnRenamed("parent", "at").withColumnRenamed("node", "kid")
+        # A leaf has no nodes below it and waits for the end.
+        state = state.join(F.broadcast(kids) if number <= SEND_NODES else kids, "at", "left" if k else "inner")
+        state = state.select("_p", *["p" + c for c in XYZ], F.coalesce("kid", "at").alias("at"), F.coalesce(below, "low").alias("low"), F.least("up", above).alias("up")).filter("low <= up")
+        state = state.withColumn("up", F.min("up").over(own)).filter("low <= up")
+        if (k + 1) % LEVELS_AT_ONCE == 0:
+            state = materialise(state)
+    leaves = leaves.withColumnRenamed("node", "at")
+    met = state.join(F.broadcast(leaves) if n <= SEND_TARGETS else leaves, "at")
+    best = F.array_min(F.transform("of", lambda t: F.struct(G.distance(p, [t[c] for c in XYZ]).alias("d"), t["_t"].alias("t"))))
+    best = met.select("_p", best.alias("m")).groupBy("_p").agg(F.min("m").alias("m"))
+    return materialise(best.select(F.col("_p").alias(id), F.col("m.t").alias(target_id), F.col("m.d").alias("distance")))
 
 
 def contour_segments(points: DataFrame, cloud: str = "cloud_id", index: str = "idx") -> DataFrame:
