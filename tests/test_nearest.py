@@ -55,3 +55,39 @@ def test_surface_patches_compare_no_surface_with_all_its_crossings(spark, joined
     for r in got:
         assert r.vid == min(verts, key=lambda v: (math.dist(v[1:], (r.x, r.y, r.z)), v[0]))[0]
     assert max(joined) < 300 * len(got)
+
+
+def _search(spark, points, targets):
+    table = lambda rows, name: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rows)], f"{name} int, {XYZ}")
+    return {r.p: (r.t, r.distance) for r in locations.nearest(table(points, "p"), table(targets, "t"), "p", "t", 1.0).collect()}
+
+
+def _brute(points, targets):
+    # sum() would add more exactly than the columns do, and ties would differ.
+    length = lambda p, t: math.sqrt((p[0] - t[0]) * (p[0] - t[0]) + (p[1] - t[1]) * (p[1] - t[1]) + (p[2] - t[2]) * (p[2] - t[2]))
+    return {i: min((length(p, t), k) for k, t in enumerate(targets))[::-1] for i, p in enumerate(points)}
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_nearest_takes_few_targets_of_a_dense_cloud(spark, joined, far):
+    """All in one cell, or half of the points far from the dense cloud: 4,000 targets, and a point meets a few hundred nodes at most."""
+    rng = random.Random(5)
+    points = [[rng.gauss(30 if far and i % 2 else 0.5, 0.1) for _ in "xyz"] for i in range(100)]
+    targets = [[rng.gauss(0.5, 0.1) for _ in "xyz"] for _ in range(4000)]
+    assert _search(spark, points, targets) == _brute(points, targets)
+    assert max(joined) < 600 * len(points)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_nearest_on_odd_clouds(spark, monkeypatch, shuffled):
+    """Ties, copies, clouds of very different sizes and neighbouring numbers; with levels sent to all executors, and joined by shuffles."""
+    if shuffled:
+        for name, bound in (("SEND_NODES", 3), ("SEND_TARGETS", 10), ("LEVELS_AT_ONCE", 2)):
+            monkeypatch.setattr(locations, name, bound)
+    rng = random.Random(9)
+    lattice = lambda n: [[rng.randrange(5) for _ in "xyz"] for _ in range(n)]
+    tiny = [[rng.gauss(0, 1e-9) for _ in "xyz"] for _ in range(150)] + [[rng.gauss(5, 1e-3) for _ in "xyz"] for _ in range(150)] + [[1e12, 0, 0], [-3e30, 1, 1]]
+    close = [[1 + k * 2.0**-52, 0, 0] for k in range(60)]
+    clouds = [(lattice(60), lattice(600)), (tiny[::7] + lattice(20), tiny), (close[::9], close), ([[0, 0, 0], [3, 2, 1]], [[1, 2, 3], [-1, 0, 0]] * 50), ([[0, 0, 0]], [[k * 5e-324, 0, 0] for k in range(40)])]
+    for points, targets in clouds:
+        assert _search(spark, points, targets) == _brute(points, targets)
