@@ -78,6 +78,26 @@ def test_nearest_takes_few_targets_of_a_dense_cloud(spark, joined, far):
     assert max(joined) < 600 * len(points)
 
 
+def test_rows_of_a_point_hardly_grow_with_the_targets(spark, joined):
+    """Eight times the targets in the same place: a task holds the joined rows of its points, which grew as much."""
+    rng = random.Random(3)
+    points = [[rng.gauss(0.5, 0.1) for _ in "xyz"] for _ in range(200)]
+    most = []
+    for n in (1000, 8000):
+        joined.clear()
+        targets = [[rng.gauss(0.5, 0.1) for _ in "xyz"] for _ in range(n)]
+        assert _search(spark, points, targets) == _brute(points, targets)
+        most.append(max(joined))
+    assert most[1] < 3 * most[0]
+
+
+@pytest.mark.parametrize("some", ["points", "targets", None])
+def test_nearest_without_points_or_targets(spark, some):
+    table = lambda name: spark.createDataFrame([(1, 0.0, 0.0, 0.0)] if some == name else [], f"{name} int, {XYZ}")
+    got = locations.nearest(table("points"), table("targets"), "points", "targets", 1.0)
+    assert got.columns == ["points", "targets", "distance"] and got.count() == 0
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_nearest_on_odd_clouds(spark, monkeypatch, shuffled):
     """Ties, copies, clouds of very different sizes and neighbouring numbers; with levels sent to all executors, and joined by shuffles."""
